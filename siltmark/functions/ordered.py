@@ -11,6 +11,9 @@ bucket (``d1``, ``d2``), each level having at most ``FANOUT`` children:
   per bucket, keep the bucket that holds the rank, descend. Shuffled rows are
   bucket counts, whose number does not grow with the data.
 
+Inputs that Spark itself estimates as small (see ``sizing``) take the plain
+window instead: fewer stages, same results.
+
 The bucket function uses exact minima and maxima and no sampling, so any plan
 branch that is recomputed (lost executor, exchange not reused) sees the same
 buckets.
@@ -24,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltmark.functions.sizing import is_small
+
 FANOUT = 4096
 
 # log1p(largest double) is 709.78; infinities are placed just outside.
@@ -77,6 +82,12 @@ def running_totals(
     such groups is bounded by the catalogue, so that their ranges may be broadcast.
     """
     keys, sums = list(keys), list(sums)
+    if is_small(counts):
+        w = (
+            W.partitionBy(*keys).orderBy(value)
+            .rowsBetween(W.unboundedPreceding, W.currentRow)
+        )
+        return counts.withColumns({f"cum_{c}": F.sum(c).over(w) for c in sums})
     ranges = value_ranges(counts, range_group, value)
     placed = _with_ranges(counts, ranges, range_group, bounded)
     d1, d2 = _digits(F.col(value), F.col("_low"), F.col("_high"))
@@ -131,6 +142,10 @@ def order_statistics(
     keys = list(keys)
     small = F.broadcast if bounded else (lambda d: d)
     rows = df.select(*keys, value)
+    if is_small(rows):
+        w = W.partitionBy(*keys).orderBy(value)
+        ranked = rows.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
+        return ranked.join(targets, [*keys, "rank"]).select(*targets.columns, value)
     ranges = value_ranges(rows, range_group, value)
     d1, d2 = _digits(F.col(value), F.col("_low"), F.col("_high"))
     rows = (
@@ -177,6 +192,8 @@ def exact_quantiles(
     """``keys, n, quantiles ARRAY<DOUBLE>`` with linear interpolation, exact."""
     keys = list(keys)
     rows = df.select(*keys, value).filter(F.col(value).isNotNull())
+    if is_small(rows):
+        return _small_quantiles(rows, probabilities, keys, value)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     probs = F.array(*[F.lit(float(p)) for p in probabilities])
     spots = sizes.select(*keys, "n", F.posexplode(probs).alias("_i", "_p")).withColumn(
@@ -204,6 +221,34 @@ def exact_quantiles(
     return pairs.groupBy(*keys, "n").agg(F.transform(listed, lambda s: s["v"]).alias("quantiles"))
 
 
+def _small_quantiles(
+    rows: DataFrame, probabilities: Sequence[float], keys: list[str], value: str
+) -> DataFrame:
+    """One sort per key group over its distinct values."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    ordered = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    spans = counts.withColumns({
+        "_end": F.sum("_c").over(ordered), "n": F.sum("_c").over(W.partitionBy(*keys)),
+    })
+
+    def at(rank: Column) -> Column:
+        hit = (F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end"))
+        return F.max(F.when(hit, F.col(value)))
+
+    picked, points = [], []
+    for i, p in enumerate(probabilities):
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        picked += [
+            at(F.floor(pos)).alias(f"_lo{i}"),
+            at(F.least(F.floor(pos) + 1, F.col("n") - 1)).alias(f"_hi{i}"),
+        ]
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        points.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (pos - F.floor(pos))))
+    return spans.groupBy(*keys, "n").agg(*picked).select(
+        *keys, "n", F.array(*points).alias("quantiles")
+    )
+
+
 def approx_quantiles(
     df: DataFrame,
     probabilities: Sequence[float],

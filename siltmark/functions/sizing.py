@@ -1,0 +1,29 @@
+"""Size checks before a plan relies on data being small.
+
+The estimate is Spark's own statistic of the optimised plan (file sizes scaled by
+the columns read), so nothing is run. Unknown sizes count as huge: the caller then
+takes the distributed way.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_INPUT = "spark.siltmark.smallInputBytes"
+DEFAULT_SMALL_INPUT = 128 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Estimated size of the plan output, or None where no estimate is to be had."""
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(str(stats.sizeInBytes()))
+    except Exception:  # e.g. a remote session, which has no local plan
+        return None
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether one task may hold a group of ``df`` in memory."""
+    limit = int(df.sparkSession.conf.get(SMALL_INPUT, str(DEFAULT_SMALL_INPUT)))
+    size = estimated_bytes(df)
+    return size is not None and size <= limit

@@ -7,11 +7,11 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.config import Feature
+from siltmark.config import Feature, numerical
 from siltmark.functions.columns import rounded
 from siltmark.functions.ordered import running_totals
 from siltmark.functions.pvalues import ks_p_value
-from siltmark.operators.longform import to_long_numerical
+from siltmark.operators.longform import present, to_long_numerical
 
 
 def ks_statistic(
@@ -19,29 +19,32 @@ def ks_statistic(
 ) -> DataFrame:
     """``keys, feature, d, ref_n, cur_n``; ``d`` is unrounded, 0 if a side is empty."""
     features, keys = list(features), list(keys)
+    names = [f.name for f in present(cur, numerical(features))]
     ref_long = to_long_numerical(ref, features)
     cur_long = to_long_numerical(cur, features, keys)
-    return _grouped(ref_long, cur_long, keys) if keys else _single(ref_long, cur_long)
+    return _grouped(ref_long, cur_long, keys) if keys else _single(ref_long, cur_long, names)
 
 
-def _single(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
+def _single(ref_long: DataFrame, cur_long: DataFrame, names: list[str]) -> DataFrame:
     both = ref_long.withColumn("_ref", F.lit(1)).unionByName(cur_long.withColumn("_ref", F.lit(0)))
-    found = F.col("value").isNotNull()
-    sizes = both.groupBy("feature").agg(
-        F.count_if(found & (F.col("_ref") == 1)).alias("ref_n"),
-        F.count_if(found & (F.col("_ref") == 0)).alias("cur_n"),
-    )
-    counts = both.filter(found).groupBy("feature", "value").agg(
+    counts = both.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(
         F.sum(F.col("_ref").cast("long")).alias("r"),
         F.sum((1 - F.col("_ref")).cast("long")).alias("c"),
     )
+    # One row per catalogued feature, also for features without any value.
+    zero = F.lit(0).cast("long")
+    catalogue = counts.sparkSession.createDataFrame([(n,) for n in names], "feature string")
+    found = counts.groupBy("feature").agg(F.sum("r").alias("_r"), F.sum("c").alias("_c"))
+    sizes = catalogue.join(F.broadcast(found), "feature", "left").select(
+        "feature", F.coalesce("_r", zero).alias("ref_n"), F.coalesce("_c", zero).alias("cur_n")
+    )
     ecdf = running_totals(
         counts, ["feature"], ["r", "c"], range_group=["feature"], bounded=True
     )
     gap = F.abs(F.col("cum_r") / F.col("ref_n") - F.col("cum_c") / F.col("cur_n"))
     usable = (F.col("ref_n") > 0) & (F.col("cur_n") > 0)
     top = (
-        ecdf.join(F.broadcast(sizes), "feature")  # one row per catalogued feature
+        ecdf.join(F.broadcast(sizes), "feature")
         .filter(usable).groupBy("feature").agg(F.max(gap).alias("d"))
     )
     return sizes.join(F.broadcast(top), "feature", "left").select(
