@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +34,6 @@ def rounded(column: Column, digits: int) -> Column:
     return F.round(column, digits) + F.lit(0.0)
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    """Equality on ``names`` that also matches NULL keys."""
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
+def fixed(column: Column, digits: int) -> Column:
+    """Text with ``digits`` decimals, rounded on the exact binary value."""
+    return F.call_function("format_number", column, F.lit("0." + "0" * digits))

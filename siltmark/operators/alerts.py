@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltmark.config import Rules
+from siltmark.functions.columns import fixed
 
 ALERT_COLUMNS = (
     "run_id", "feature_name", "alert_type", "severity", "message", "dedup_key",
@@ -42,7 +44,7 @@ def alert_candidates(
     The inputs carry ``run_id`` and the time of the run. ``position`` is the order
     in which one run emits its candidates.
     """
-    f, psi = F.col("feature"), F.format_string("%.4f", F.col("psi"))
+    f, psi = F.col("feature"), fixed(F.col("psi"), 4)
     severe = F.col("status") == "DRIFT"
     p = F.col("ks_p_value") if "ks_p_value" in metrics.columns else F.lit(None).cast("double")
     p_text = F.coalesce(p.cast("string"), F.lit("N/A"))
@@ -134,7 +136,7 @@ def cooldown_replay(candidates: DataFrame) -> DataFrame:
     ordered = rows.repartition("dedup_key").sortWithinPartitions(
         "dedup_key", "candidate_at", "_order"
     ).drop("_order")
-    schema = ordered.schema.add("delivered", "boolean")
+    schema = T.StructType([*ordered.schema.fields, T.StructField("delivered", T.BooleanType())])
     return ordered.mapInPandas(_replay, schema)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import CATEGORICAL, NUMERICAL, Feature
-from siltmark.functions.columns import rounded
+from siltmark.functions.columns import fixed, rounded
 from siltmark.operators.binning import (
     category_counts,
     histogram_arrays,
@@ -198,10 +198,10 @@ def numerical_breakdown(both: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.posexplode(F.arrays_zip("ref_counts", "cur_counts", "components")).alias("bin", "_b"),
     )
     low = F.when(F.col("bin") == 0, "-inf").otherwise(
-        F.format_string("%.2f", F.get("bin_edges", F.col("bin")))
+        fixed(F.get("bin_edges", F.col("bin")), 2)
     )
     high = F.when(F.col("bin") == F.col("_k") - 1, "+inf").otherwise(
-        F.format_string("%.2f", F.get("bin_edges", F.col("bin") + 1))
+        fixed(F.get("bin_edges", F.col("bin") + 1), 2)
     )
     return rows.select(
         *keys, "feature", F.lit(NUMERICAL).alias("feature_type"), "bin",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import Feature, Rules
-from siltmark.functions.columns import numeric, rounded
+from siltmark.functions.columns import fixed, numeric, rounded
 
 VIOLATION_SCHEMA = (
     "feature string, check string, severity string, metric_value double, message string"
@@ -94,7 +94,7 @@ def feature_quality(
 
 
 def percent(value: Column) -> Column:
-    return F.concat(F.format_string("%.1f", value * 100), F.lit("%"))
+    return F.concat(fixed(value * 100, 1), F.lit("%"))
 
 
 def violations(

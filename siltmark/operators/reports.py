@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,14 +48,17 @@ def filter_metrics(metrics: DataFrame, search: str = "", status: str = "ALL") ->
 
 
 def reclassify(
-    metrics: DataFrame, thresholds: DataFrame, keys: Sequence[str] = ()
+    metrics: DataFrame, thresholds: Iterable[tuple[float, float]], keys: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """Status under other thresholds: ``(features, overall)``.
+    """Status under other ``(warn, severe)`` thresholds: ``(features, overall)``.
 
-    ``thresholds(warn, severe)`` is a handful of rows chosen by a user; each gives
-    its own classification.
+    Each pair chosen by the user gives its own classification of all metrics.
     """
-    swept = metrics.join(F.broadcast(thresholds))
+    pairs = F.array(*[
+        F.struct(F.lit(float(w)).alias("warn"), F.lit(float(s)).alias("severe"))
+        for w, s in thresholds
+    ])
+    swept = metrics.select("*", F.inline(pairs))
     status = (
         F.when(F.col("psi") >= F.col("severe"), "DRIFT")
         .when(F.col("psi") >= F.col("warn"), "WARNING").otherwise("STABLE")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import Rules
+from siltmark.functions.columns import fixed
 
 
 def retrain_decision(
@@ -45,10 +46,10 @@ def retrain_decision(
             F.lit(f" features have severe drift (PSI >= {rules.psi_drift:.2f}): "), names)),
         F.when(F.col("_pred").isNotNull(), F.concat(
             F.lit("Model prediction score distribution has severe drift (PSI: "),
-            F.format_string("%.4f", "_pred"), F.lit(")"))),
+            fixed(F.col("_pred"), 4), F.lit(")"))),
         F.when(F.col("_first").isNotNull(), F.concat(
             F.lit("High-importance feature "), F.col("_first.feature"),
-            F.lit(" drifted severely (PSI: "), F.format_string("%.4f", "_first.psi"), F.lit(")"))),
+            F.lit(" drifted severely (PSI: "), fixed(F.col("_first.psi"), 4), F.lit(")"))),
     ))
     return agg.select(
         *keys, "severe_count", reasons.alias("reasons"),

@@ -55,13 +55,13 @@ cur AS (SELECT * FROM orders WHERE {ORDERS_CURRENT})"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as an inference log: ``value`` is missing for the last user ids seen at
-    night, ``k`` is the number inside ``props`` as text."""
+    """Events as an inference log: most ``value`` cells of the small hours are missing,
+    ``k`` is the number inside ``props`` as text."""
     e = table(spark, sf_dir, "events")
     return e.withColumns({
         "timestamp": F.col("ts").cast("timestamp"),
         "value": F.when(
-            (F.hour(F.col("ts").cast("timestamp")) >= 3) | (F.col("value") < 100), F.col("value")
+            (F.hour(F.col("ts").cast("timestamp")) >= 3) | (F.col("value") < 20), F.col("value")
         ),
         "k": F.get_json_object("props", "$.k"),
         "prediction_score": F.least(F.lit(1.0), F.col("value") / 120.0),
@@ -70,7 +70,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVENTS_SQL = """
 ev AS (SELECT event_id, ts AS "timestamp", user_id, event_type,
-              CASE WHEN hour(ts) >= 3 OR value < 100 THEN value END AS value,
+              CASE WHEN hour(ts) >= 3 OR value < 20 THEN value END AS value,
               json_extract_string(props, '$.k') AS k,
               least(1.0::DOUBLE, value / 120.0::DOUBLE) AS prediction_score
        FROM events)"""

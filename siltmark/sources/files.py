@@ -13,7 +13,7 @@ JSON = ("json", "jsonl", "ndjson")
 # Separators in the order they are tried.
 SEPARATORS = (",", ";", "\t")
 
-_BOM = "﻿"
+_BOM = "\ufeff"
 
 
 class UnsupportedFormat(ValueError):
@@ -27,7 +27,7 @@ def _first_line(spark: SparkSession, paths: str | Sequence[str], encoding: str)
 
 def _encoding(line: str) -> str:
     """UTF-8 unless the line holds bytes that are not UTF-8."""
-    return "ISO-8859-1" if "�" in line else "UTF-8"
+    return "ISO-8859-1" if "\ufffd" in line else "UTF-8"
 
 
 def separator_of(line: str) -> str:

@@ -124,7 +124,7 @@ def _read_group(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame |
                 return None
             df = reader.options(
                 header=True, inferSchema=True, sep=separator_of(first[0][0]),
-                encoding="ISO-8859-1" if "�" in first[0][0] else "UTF-8",
+                encoding="ISO-8859-1" if "\ufffd" in first[0][0] else "UTF-8",
             ).csv(paths)
         elif kind in JSON:
             first = spark.read.text(paths).limit(1).collect()

@@ -13,6 +13,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -197,7 +198,7 @@ def stream_alert_cooldown(
     A batch holds the candidates of the runs that just ended, so the rows of one
     key in one batch are few.
     """
-    schema = candidates.schema.add("delivered", "boolean")
+    schema = T.StructType([*candidates.schema.fields, T.StructField("delivered", T.BooleanType())])
     marked = candidates.groupBy("dedup_key").applyInPandasWithState(
         _cooldown, schema, "until long", "append", GroupStateTimeout.NoTimeout
     )
