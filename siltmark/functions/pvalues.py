@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # Above this size of the larger sample the exact lattice count gives way to the
 # one-sample law of the effective sample size.
 EXACT_LIMIT = 10_000
+# Up to this effective size the one-sample law is computed exactly, beyond by a series.
+MATRIX_LIMIT = 5_000
 
 
 def ks_exact(d: float, n: int, m: int) -> float:
@@ -106,7 +108,7 @@ def ks_effective(d: float, n: int, m: int) -> float:
     size = max(1, round(n * m / (n + m)))
     if size * d * d > 18:
         return min(1.0, 2 * math.exp(-2 * size * d * d))
-    if size <= 1000:
+    if size <= MATRIX_LIMIT:
         return max(0.0, 1.0 - _one_sample_matrix(d, size))
     root = math.sqrt(size)
     z = root * d

@@ -1,7 +1,7 @@
 """From raw tables to the canonical schema: rename, derive, map, default, coerce, order.
 
 Each step is a ``DataFrame -> DataFrame`` function; Catalyst collapses the chain
-into one projection over the scan.
+into narrow projections over the scan: no shuffle, no Python.
 """
 
 from __future__ import annotations

@@ -57,7 +57,10 @@ cur AS (SELECT * FROM orders WHERE {ORDERS_CURRENT})"""
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an inference log: most ``value`` cells of the small hours are missing,
     ``k`` is the number inside ``props`` as text."""
-    e = table(spark, sf_dir, "events")
+    return log_columns(table(spark, sf_dir, "events"))
+
+
+def log_columns(e: DataFrame) -> DataFrame:
     return e.withColumns({
         "timestamp": F.col("ts").cast("timestamp"),
         "value": F.when(

@@ -131,13 +131,14 @@ def window_psi_from_counts(
     report-sized; empty bins come from the baseline's grid.
     """
     group = ["window_start", *keys, "feature"]
-    seen = counts.groupBy(*group).agg(
+    base = ref_counts.select("feature", F.col("counts").alias("_ref"), F.col("n").alias("ref_n"))
+    numbers = counts.join(F.broadcast(base.select("feature")), "feature", "left_semi")
+    seen = numbers.groupBy(*group).agg(
         F.map_from_entries(F.collect_list(
-            F.when(F.col("cell").isNotNull(), F.struct(F.col("cell").cast("int"), F.col("count")))
+            F.when(F.col("cell").isNotNull(), F.struct(F.col("cell").try_cast("int"), F.col("count")))
         )).alias("_m"),
         F.coalesce(F.sum(F.when(F.col("cell").isNotNull(), F.col("count"))), F.lit(0)).alias("cur_n"),
     )
-    base = ref_counts.select("feature", F.col("counts").alias("_ref"), F.col("n").alias("ref_n"))
     joined = seen.join(F.broadcast(base), "feature")
     k = F.size("_ref")
     zero = F.lit(0).cast("long")

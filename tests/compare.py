@@ -70,9 +70,9 @@ def session(cpus: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("siltmark-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled","false").config("spark.sql.dataFrameQueryContext.enabled","false")
+        .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
