@@ -169,4 +169,6 @@ def categorical(features: Iterable[Feature]) -> list[Feature]:
 def features_table(spark: SparkSession, features: Iterable[Feature]) -> DataFrame:
     """The catalogue as a DataFrame: one row per feature, bounded by the config."""
     rows = [(f.name, f.type, f.importance, i) for i, f in enumerate(features)]
-    return spark.createDataFrame(rows, FEATURE_SCHEMA)
+    from siltmark.functions.columns import inline_table
+
+    return inline_table(spark, rows, FEATURE_SCHEMA)

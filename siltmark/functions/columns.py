@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed pattern: what counts as a number in text input. Java would also accept
@@ -26,7 +28,10 @@ def nan_to_null(column: Column) -> Column:
 
 def numeric(df: DataFrame, name: str) -> Column:
     """Column ``name`` of ``df`` as a clean DOUBLE."""
-    return parse_number(F.col(f"`{name}`"), dict(df.dtypes)[name])
+    kind = df.schema[name].dataType.simpleString()
+    if kind == "string":
+        return parse_number(F.col(f"`{name}`"), kind)
+    return F.expr(f"nanvl(CAST(`{name}` AS DOUBLE), CAST(NULL AS DOUBLE)) + 0D")
 
 
 def rounded(column: Column, digits: int) -> Column:
@@ -34,6 +39,28 @@ def rounded(column: Column, digits: int) -> Column:
     return F.round(column, digits) + F.lit(0.0)
 
 
+def _literal(value, kind: str) -> str:
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    if isinstance(value, (list, tuple)):
+        return f"CAST(array({', '.join(_literal(v, 'string') if isinstance(v, str) else repr(v) for v in value)}) AS {kind})"
+    if isinstance(value, str):
+        text = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"CAST('{text}' AS {kind})"
+    return f"CAST({value!r} AS {kind})"
+
+
+def inline_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few configuration rows as a literal relation: no job, and its size is known."""
+    fields = [tuple(part.split(None, 1)) for part in schema.split(", ")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    values = ", ".join(
+        "(" + ", ".join(_literal(v, kind) for v, (_, kind) in zip(row, fields)) + ")" for row in rows
+    )
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(n for n, _ in fields)})")
+
+
 def fixed(column: Column, digits: int) -> Column:
     """Text with ``digits`` decimals, rounded on the exact binary value."""
     return F.call_function("format_number", column, F.lit("0." + "0" * digits))

@@ -227,25 +227,24 @@ def _small_quantiles(
     """One sort per key group over its distinct values."""
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     ordered = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    spans = counts.withColumns({
-        "_end": F.sum("_c").over(ordered), "n": F.sum("_c").over(W.partitionBy(*keys)),
-    })
-
-    def at(rank: Column) -> Column:
-        hit = (F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end"))
-        return F.max(F.when(hit, F.col(value)))
-
-    picked, points = [], []
-    for i, p in enumerate(probabilities):
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        picked += [
-            at(F.floor(pos)).alias(f"_lo{i}"),
-            at(F.least(F.floor(pos) + 1, F.col("n") - 1)).alias(f"_hi{i}"),
-        ]
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        points.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (pos - F.floor(pos))))
-    return spans.groupBy(*keys, "n").agg(*picked).select(
-        *keys, "n", F.array(*points).alias("quantiles")
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    spans = counts.withColumn("_end", F.sum("_c").over(ordered))
+    # Small by the caller's check; a window total would buffer every row instead.
+    spans = spans.join(F.broadcast(sizes), keys) if keys else spans.crossJoin(F.broadcast(sizes))
+
+    lows, highs = [], []
+    for p in probabilities:
+        low = f"floor({float(p)!r}D * (n - 1))"
+        for ends, rank in ((lows, low), (highs, f"least({low} + 1, n - 1)")):
+            ends.append(f"max(if(_end - _c <= {rank} AND {rank} < _end, `{value}`, NULL))")
+    probs = f"array({', '.join(f'{float(p)!r}D' for p in probabilities)})"
+    spot = f"(element_at({probs}, i + 1) * (n - 1))"
+    return spans.groupBy(*keys, "n").agg(
+        F.expr(f"array({', '.join(lows)}) AS _lo"), F.expr(f"array({', '.join(highs)}) AS _hi")
+    ).selectExpr(
+        *keys, "n",
+        f"transform(sequence(0, {len(probabilities) - 1}), i -> if(_lo[i] = _hi[i], _lo[i],"
+        f" _lo[i] + (_hi[i] - _lo[i]) * ({spot} - floor({spot})))) AS quantiles",
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import Feature, categorical
-from siltmark.functions.columns import rounded
+from siltmark.functions.columns import inline_table, rounded
 from siltmark.functions.ordered import approx_quantiles, exact_quantiles
 
 # Bin edges of a probability score.
@@ -65,21 +65,18 @@ def histogram_arrays(
         .otherwise(F.col("bin_edges")).alias("bin_edges"),
     )
     rows = long.join(F.broadcast(checked), "feature")
-    at_least = [
-        F.count_if(F.col("value") >= F.get("bin_edges", F.lit(i))).alias(f"_ge{i}")
-        for i in range(1, max_bins)
-    ]
+    # Running "at least" counts: n, >=e1, >=e2, ...; 0 past the last bin.
+    steps = ["count(value)", *[f"count_if(value >= get(bin_edges, {i}))" for i in range(1, max_bins)]]
     # Only primitive buffers: carrying the edges along would force a sort aggregate.
-    grouped = rows.groupBy(*keys, "feature").agg(F.count("value").alias("n"), *at_least)
+    grouped = rows.groupBy(*keys, "feature").agg(
+        F.count("value").alias("n"), F.expr(f"array({', '.join(steps)}) AS _steps")
+    )
     grouped = grouped.join(F.broadcast(checked), "feature")
-    bins = F.size("bin_edges") - 1
-    # Running "at least" counts: n, >=e1, >=e2, ..., then 0 past the last bin.
-    steps = F.array(F.col("n"), *[F.col(f"_ge{i}") for i in range(1, max_bins)])
-    inner = F.slice(steps, F.lit(1), bins)
-    counts = F.transform(
-        inner, lambda c, i: c - F.coalesce(F.get(inner, i + 1), F.lit(0).cast("long"))
+    return grouped.selectExpr(
+        *keys, "feature", "bin_edges",
+        "transform(slice(_steps, 1, size(bin_edges) - 1), (x, i) ->"
+        " x - if(i + 2 < size(bin_edges), coalesce(get(_steps, i + 1), 0L), 0L)) AS counts", "n",
     )
-    return grouped.select(*keys, "feature", "bin_edges", counts.alias("counts"), "n")
 
 
 def histogram_by_edges(
@@ -144,8 +141,7 @@ def category_frequencies(
     counts = category_counts(long, keys)
     totals = counts.groupBy(*keys, "feature").agg(F.sum("count").alias("n"))
     listed = [(f.name, v) for f in categorical(features) for v in f.allowed_values]
-    spark = long.sparkSession
-    domain = spark.createDataFrame(listed, "feature string, value string")
+    domain = inline_table(long.sparkSession, listed, "feature string, value string")
     grid = totals.select(*keys, "feature").join(F.broadcast(domain), "feature")
     every = counts.select(*keys, "feature", "value", "count").unionByName(
         grid.select(*keys, "feature", "value", F.lit(0).cast("long").alias("count"))

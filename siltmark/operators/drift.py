@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import NUMERICAL, Feature, Rules, categorical, features_table, numerical
-from siltmark.functions.columns import rounded
+from siltmark.functions.columns import inline_table, rounded
+from siltmark.functions.pvalues import ks_p_value
 from siltmark.operators.binning import DECILE_EDGES
 from siltmark.operators.chi2 import chi2_from_cells
+from siltmark.operators.comparison import numerical_comparison
 from siltmark.operators.ks import ks_two_sample
 from siltmark.operators.longform import present, with_window
-from siltmark.operators.profile import categorical_profile, numeric_profile
+from siltmark.operators.profile import categorical_profile
 from siltmark.operators.psi import (
     categorical_bins,
-    numerical_bins,
+    components,
     psi_from_cells,
     psi_numerical,
 )
@@ -81,7 +83,6 @@ def feature_drift(
     keys: Sequence[str] = (),
     p_values: bool = True,
     histograms: bool = False,
-    accuracy: int | None = None,
 ) -> DataFrame:
     """One row per key group and feature with every statistic of the report.
 
@@ -95,18 +96,20 @@ def feature_drift(
     cat_feats = present(cur, categorical(features))
     parts = []
     if num_feats:
-        both = numerical_bins(
-            ref, cur, num_feats, edges, rules.num_bins, rules.epsilon, keys
+        both = components(
+            numerical_comparison(ref, cur, num_feats, edges, rules.num_bins, keys), rules.epsilon
         )
-        psi = F.aggregate("components", F.lit(0.0), lambda a, x: a + x)
-        num = both.select(
-            *group, rounded(F.coalesce(psi, F.lit(0.0)), 5).alias("psi"),
-            "degenerate_bins", "ref_n", "cur_n",
+        usable = (F.col("ref_n") > 0) & (F.col("cur_n") > 0)
+        p = ks_p_value(F.when(usable, F.col("d")), F.col("ref_n"), F.col("cur_n"))
+        parts.append(both.select(
+            *group, F.expr(
+                "round(coalesce(aggregate(components, 0D, (a, x) -> a + x), 0D), 5) + 0D AS psi"
+            ),
+            "degenerate_bins", "ref_n", "cur_n", F.expr("round(d, 5) + 0D AS ks_statistic"),
+            *([rounded(p, 6).alias("ks_p_value")] if p_values else []),
+            *[F.expr(t) for t in _PROFILE],
             *([_numerical_histogram().alias("histogram")] if histograms else []),
-        )
-        ks = ks_two_sample(ref, cur, num_feats, keys, "auto" if p_values else None)
-        num = num.join(ks.drop("ref_n", "cur_n"), group)
-        parts.append(_with_profiles(num, ref, cur, num_feats, keys, accuracy, numeric_profile))
+        ))
     if cat_feats:
         free = categorical_bins(ref, cur, cat_feats, None, rules.epsilon, keys)
         cells = free if listed is None else categorical_bins(
@@ -117,7 +120,7 @@ def feature_drift(
         cat = cat.join(chi, group)
         if histograms:
             cat = cat.join(_categorical_histogram(cells, rules.epsilon, group), group)
-        parts.append(_with_profiles(cat, ref, cur, cat_feats, keys, None, categorical_profile))
+        parts.append(_with_categories(cat, ref, cur, cat_feats, keys))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -141,10 +144,17 @@ def _with_flags(out: DataFrame, rules: Rules) -> DataFrame:
     return out.withColumns(flags)
 
 
-def _with_profiles(table, ref, cur, feats, keys, accuracy, profile) -> DataFrame:
-    options = {} if accuracy is None else {"accuracy": accuracy}
-    now = profile(cur, feats, keys, **options)
-    base = profile(ref, present(ref, feats), (), **options)
+_PROFILE = [
+    text for side, name in (("cur", "current"), ("ref", "baseline")) for text in (
+        *[f"round({side}_{c}, 2) + 0D AS {name}_{c}" for c in ("mean", "std", "median", "min", "max")],
+        f"round(({side}_rows - {side}_n) / greatest({side}_rows, 1L), 4) + 0D AS {name}_missing_pct",
+    )
+]
+
+
+def _with_categories(table, ref, cur, feats, keys) -> DataFrame:
+    now = categorical_profile(cur, feats, keys)
+    base = categorical_profile(ref, present(ref, feats))
     stats = [c for c in now.columns if c not in {*keys, "feature"}]
     now = now.select(*keys, "feature", *[F.col(c).alias(f"current_{c}") for c in stats])
     base = base.select("feature", *[F.col(c).alias(f"baseline_{c}") for c in stats])
@@ -183,8 +193,8 @@ def _categorical_histogram(cells: DataFrame, epsilon: float, group: list[str]) -
 
 
 def decile_edges_table(df: DataFrame, score: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        [(score, list(DECILE_EDGES))], "feature string, bin_edges array<double>"
+    return inline_table(
+        df.sparkSession, [(score, list(DECILE_EDGES))], "feature string, bin_edges array<double>"
     )
 
 

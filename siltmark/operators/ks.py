@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import Feature, numerical
-from siltmark.functions.columns import rounded
+from siltmark.functions.columns import inline_table, rounded
 from siltmark.functions.ordered import running_totals
 from siltmark.functions.pvalues import ks_p_value
 from siltmark.operators.longform import present, to_long_numerical
@@ -33,7 +33,7 @@ def _single(ref_long: DataFrame, cur_long: DataFrame, names: list[str]) -> DataF
     )
     # One row per catalogued feature, also for features without any value.
     zero = F.lit(0).cast("long")
-    catalogue = counts.sparkSession.createDataFrame([(n,) for n in names], "feature string")
+    catalogue = inline_table(counts.sparkSession, [(n,) for n in names], "feature string")
     found = counts.groupBy("feature").agg(F.sum("r").alias("_r"), F.sum("c").alias("_c"))
     sizes = catalogue.join(F.broadcast(found), "feature", "left").select(
         "feature", F.coalesce("_r", zero).alias("ref_n"), F.coalesce("_c", zero).alias("cur_n")

@@ -62,12 +62,13 @@ def numerical_bins(
         *keys, "feature", "bin_edges", F.col("counts").alias("cur_counts"),
         F.col("n").alias("cur_n"), "ref_counts", "ref_n",
     )
-    return _components(both, epsilon)
+    return components(both, epsilon)
 
 
-def _components(both: DataFrame, epsilon: float) -> DataFrame:
+def components(both: DataFrame, epsilon: float) -> DataFrame:
+    """Add the index components of aligned ``ref_counts`` and ``cur_counts`` arrays."""
     k = F.size("cur_counts")
-    components = F.zip_with(
+    parts = F.zip_with(
         "cur_counts", "ref_counts",
         lambda c, r: psi_component(
             smoothed(c, F.col("cur_n"), k, epsilon), smoothed(r, F.col("ref_n"), k, epsilon)
@@ -75,7 +76,7 @@ def _components(both: DataFrame, epsilon: float) -> DataFrame:
     )
     usable = (F.col("ref_n") > 0) & (F.col("cur_n") > 0)
     return both.withColumns({
-        "components": F.when(usable, components),
+        "components": F.when(usable, parts),
         "degenerate_bins": k < 2,
     })
 
