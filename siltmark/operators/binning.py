@@ -128,9 +128,15 @@ def numeric_score(df: DataFrame, name: str) -> Column:
 
 
 def category_counts(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """``keys, feature, value, count`` over non-null cells; map-side combined."""
-    rows = long.filter(F.col("value").isNotNull())
-    return rows.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("count"))
+    """``keys, feature, value, count, known``; map-side combined.
+
+    Missing cells are one row per feature with ``known`` 0. Consumers filter on
+    ``known``: a filter on ``value`` would be pushed below the counting and cost
+    each of them its own scan instead of sharing this shuffle.
+    """
+    return long.groupBy(*keys, "feature", "value").agg(
+        F.count(F.lit(1)).alias("count"), F.count("value").alias("known")
+    )
 
 
 def category_frequencies(
@@ -138,7 +144,7 @@ def category_frequencies(
 ) -> DataFrame:
     """Share of each category among non-null cells; listed but unseen ones get 0."""
     keys = list(keys)
-    counts = category_counts(long, keys)
+    counts = category_counts(long, keys).filter("known > 0")
     totals = counts.groupBy(*keys, "feature").agg(F.sum("count").alias("n"))
     listed = [(f.name, v) for f in categorical(features) for v in f.allowed_values]
     domain = inline_table(long.sparkSession, listed, "feature string, value string")

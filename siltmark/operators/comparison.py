@@ -19,14 +19,20 @@ from siltmark.operators.binning import edges_from_quantiles
 from siltmark.operators.longform import to_long_numerical
 
 
+# Missing cells stay in the counts as one row per feature. Filters use this aggregate
+# instead of ``value IS NOT NULL``, which would be pushed below the counting and
+# give every consumer its own scan instead of the shared shuffle.
+_KNOWN = "count(value) AS known"
+
+
 def _moments(w: str, side: str) -> list[str]:
-    known = f"value IS NOT NULL AND {w} > 0"
-    n = f"sum(if(value IS NULL, 0L, {w}))"
+    has = f"known > 0 AND {w} > 0"
+    n = f"sum(if(known > 0, {w}, 0L))"
     return [
         f"sum({w}) AS {side}_rows", f"{n} AS {side}_n",
-        f"sum(if({known}, value * {w}, NULL)) / nullif({n}, 0) AS {side}_mean",
-        f"min(if({known}, value, NULL)) AS {side}_min",
-        f"max(if({known}, value, NULL)) AS {side}_max",
+        f"sum(if({has}, value * {w}, NULL)) / nullif({n}, 0) AS {side}_mean",
+        f"min(if({has}, value, NULL)) AS {side}_min",
+        f"max(if({has}, value, NULL)) AS {side}_max",
     ]
 
 
@@ -74,7 +80,7 @@ def _histogram(
         ) for side, w in sides.items()
     }
     binned = _aggregate(
-        counts.filter("value IS NOT NULL").join(F.broadcast(edges), "feature"), group,
+        counts.filter("known > 0").join(F.broadcast(edges), "feature"), group,
         [f"array({s}) AS _{side}" for side, s in steps.items()],
     ).join(F.broadcast(edges), "feature")
     return binned.selectExpr(*group, "bin_edges", *[
@@ -113,9 +119,9 @@ def numerical_comparison(
         both = ref_long.selectExpr("feature", "value", "1L AS r", "0L AS c").unionByName(
             cur_long.selectExpr("feature", "value", "0L AS r", "1L AS c")
         )
-        counts = _aggregate(both, ["feature", "value"], ["sum(r) AS r", "sum(c) AS c"])
+        counts = _aggregate(both, ["feature", "value"], ["sum(r) AS r", "sum(c) AS c", _KNOWN])
         sizes = _aggregate(counts, ["feature"], _moments("r", "ref") + _moments("c", "cur"))
-        ecdf = running_totals(counts.filter("value IS NOT NULL"), ["feature"], ["r", "c"], **scale)
+        ecdf = running_totals(counts.filter("known > 0"), ["feature"], ["r", "c"], **scale)
         stats = _aggregate(
             ecdf.join(F.broadcast(sizes), "feature"), ["feature"],
             [gap, *_ends("r", "ref", probs), *_ends("c", "cur", [0.5])],
@@ -128,17 +134,17 @@ def numerical_comparison(
         hist = _histogram(counts, grid, num_bins, ["feature"], {"ref": "r", "cur": "c"})
         out = stats.join(F.broadcast(hist), "feature", "left")
     else:
-        ref_counts = _aggregate(ref_long, ["feature", "value"], ["count(1) AS r"])
-        cur_counts = _aggregate(cur_long, [*group, "value"], ["count(1) AS c"])
+        ref_counts = _aggregate(ref_long, ["feature", "value"], ["count(1) AS r", _KNOWN])
+        cur_counts = _aggregate(cur_long, [*group, "value"], ["count(1) AS c", _KNOWN])
         ref_sizes = _aggregate(ref_counts, ["feature"], _moments("r", "ref"))
         cur_sizes = _aggregate(cur_counts, group, _moments("c", "cur"))
         # The reference ECDF at every value of either side; current groups look it up.
         points = _aggregate(
-            ref_counts.unionByName(cur_counts.selectExpr("feature", "value", "0L AS r")),
-            ["feature", "value"], ["sum(r) AS r"],
-        ).filter("value IS NOT NULL")
+            ref_counts.unionByName(cur_counts.selectExpr("feature", "value", "0L AS r", "known")),
+            ["feature", "value"], ["sum(r) AS r", "sum(known) AS known"],
+        ).filter("known > 0")
         ref_ecdf = running_totals(points, ["feature"], ["r"], **scale)
-        cur_ecdf = running_totals(cur_counts.filter("value IS NOT NULL"), group, ["c"], **scale)
+        cur_ecdf = running_totals(cur_counts.filter("known > 0"), group, ["c"], **scale)
         ref_stats = ref_sizes.join(F.broadcast(_aggregate(
             ref_ecdf.join(F.broadcast(ref_sizes), "feature"), ["feature"], _ends("r", "ref", probs)
         )), "feature", "left").selectExpr(*ref_sizes.columns, *_finish("ref", probs))

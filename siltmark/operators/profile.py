@@ -84,10 +84,11 @@ def categorical_profile(
     """
     group = [*keys, "feature"]
     long = to_long_categorical(df, list(features), keys)
-    sizes = long.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("value").isNull()).alias("_missing")
+    counts = category_counts(long, keys)
+    sizes = counts.groupBy(*group).agg(
+        F.sum("count").alias("_rows"), F.expr("sum(if(known > 0, 0L, count)) AS _missing")
     )
-    tops = category_counts(long, keys).groupBy(*group).agg(
+    tops = counts.filter("known > 0").groupBy(*group).agg(
         F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("_top"),
         F.count(F.lit(1)).alias("_distinct"),
     )

@@ -115,12 +115,12 @@ def categorical_bins(
     """
     features, keys = list(features), list(keys)
     group = [*keys, "feature"]
-    ref_counts = category_counts(to_long_categorical(ref, features))
-    cur_long = to_long_categorical(cur, features, keys)
-    cur_counts = category_counts(cur_long, keys)
-    ref_n = ref_counts.groupBy("feature").agg(F.sum("count").alias("ref_n"))
-    # Groups come from the rows themselves so that all-null features still show.
-    groups = cur_long.groupBy(*group).agg(F.count("value").alias("cur_n"))
+    ref_all = category_counts(to_long_categorical(ref, features))
+    cur_all = category_counts(to_long_categorical(cur, features, keys), keys)
+    ref_n = ref_all.groupBy("feature").agg(F.expr("sum(if(known > 0, count, 0L)) AS ref_n"))
+    # All-null features still show: their group has a row with ``known`` 0.
+    groups = cur_all.groupBy(*group).agg(F.expr("sum(if(known > 0, count, 0L)) AS cur_n"))
+    ref_counts, cur_counts = ref_all.filter("known > 0"), cur_all.filter("known > 0")
     zero = F.lit(0).cast("long")
 
     ref_cells = ref_counts.select("feature", F.col("value").alias("category"), "count")
