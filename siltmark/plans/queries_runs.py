@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltmark.config import Feature, Rules
-from siltmark.functions.columns import rounded
 from siltmark.operators import alerts as A
-from siltmark.operators import drift, quality, reports, retrain, verdict
+from siltmark.operators import quality, reports, retrain, verdict
 from siltmark.operators.longform import with_window
 from siltmark.plans import twins as S
-from siltmark.plans.datasets import EVENTS, EVENTS_SIDES_SQL, EVENTS_SQL, events, events_sides
+from siltmark.plans.datasets import EVENTS, EVENTS_SIDES_SQL, events, events_sides
 from siltmark.plans.drift_run import drift_run
 from siltmark.plans.queries_drift import DECILES_SQL, WINDOW_PSI
 from siltmark.plans.registry import query, table

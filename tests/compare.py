@@ -9,7 +9,6 @@ import argparse
 import math
 import time
 from datetime import datetime
-from pathlib import Path
 
 import duckdb
 from pyspark.sql import SparkSession
