@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltmark.llm.bpe import encoded
 from siltmark.llm.mixing import SEED, mixing_plan
 from siltmark.llm.quality_rules import quality_verdicts
 from siltmark.llm.sharding import assign_shards
+from siltmark.llm.token_counts import token_counts
 from siltmark.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -73,3 +76,17 @@ FROM drawn"""
 def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@register
+def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@register
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
