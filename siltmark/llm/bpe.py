@@ -16,6 +16,7 @@ an empty table gives no rows; input columns named like an output are replaced.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -30,8 +31,12 @@ from pyspark.sql import types as T
 
 #: The byte-level pre-tokenizer's pattern and the white space of Unicode.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ASCII_WHITE = b"\t\n\x0b\x0c\r "
+RARE = re.compile(
+    rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+)
 CACHED = 1 << 19
+LONG = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,7 +55,10 @@ class ByteBpe:
         letters = byte_letters()
         self.ids = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.ranks = {tuple(bytes(letters[c] for c in side) for side in m): k for k, m in enumerate(merges)}
+        vocab = spec["model"]["vocab"]
+        self.pairs = {vocab[a] << 32 | vocab[b]: k for k, (a, b) in enumerate(merges)}
+        self.results = [vocab[a + b] for a, b in merges]
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.tokens = {i: b for b, i in self.ids.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: s.encode() for s, i in self.added.items()}
@@ -58,65 +66,80 @@ class ByteBpe:
         for token in self.ids:
             inside[list(token[:-1]), list(token[1:])] = True
         self.certain = ~inside
+        self.cut_pairs = self.certain.tobytes()
         self.cached, self.cache = cached, {}
         self.pieces = regex.compile(PIECES)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.cut, self.rare = self._cuts()
+        self.cut = self._cuts()
 
-    def _cuts(self):
-        """``(pattern of fragments, pattern of what needs another)``.
+    def _cuts(self) -> re.Pattern[bytes]:
+        """The pattern of fragments: they end at certain pairs of a non-space's last byte and a white-space byte.
 
-        Fragments end where a non-space meets a white-space character whose pair of bytes is certain, whatever the
-        non-space: its last byte is an ASCII byte or 0x80-0xBF. White space of other kinds can stand before the
-        character; texts that hold such are one fragment.
+        White space of Unicode beyond ASCII may stand before the white-space byte, where the byte-level pattern
+        doesn't split for sure; texts that hold such are one fragment (``RARE``).
         """
-        ends = [b for b in range(256) if b < 0xC0 and chr(b) not in "\t\n\x0b\x0c\r "]
-        white = "".join(c for c in "\t\n\x0b\x0c\r " if self.certain[ends, ord(c)].all())
-        if not white:
-            return None, None
-        others = "".join(c for c in WHITE if c not in white)
-        return re.compile(f"[{white}]*[^{white}]+|[{white}]+"), re.compile(f"[{others}]")
+        ends = [b for b in range(256) if b < 0xC0 and b not in ASCII_WHITE]
+        joined = {b for b in ends for w in ASCII_WHITE if not self.certain[b, w]}
+        white = b"[" + re.escape(ASCII_WHITE) + b"]"
+        other = b"[^" + re.escape(ASCII_WHITE) + b"]"
+        more = b"(?:(?<=[" + re.escape(bytes(sorted(joined))) + b"])" + white + b"+" + other + b"+)*" if joined else b""
+        return re.compile(white + b"*" + other + b"+" + more + b"|" + white + b"+")
 
     def _merge(self, part: bytes) -> list[int]:
-        found = self.ids.get(part)
-        word = [part[k : k + 1] for k in range(len(part))]
-        if len(word) == 1:
-            return [found]
-        ranks = self.ranks
-        while len(word) > 1:
-            best = min(((ranks[p], p) for p in zip(word, word[1:]) if p in ranks), default=None)
-            if best is None:
+        """Ids of one part: the pair of lowest rank merges first, the leftmost of equal ones."""
+        word = [self.byte_ids[b] for b in part]
+        if len(word) > LONG:
+            return self._merge_long(word)
+        pairs, never = self.pairs, len(self.results)
+        ranks = [pairs.get(a << 32 | b, never) for a, b in zip(word, word[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == never:
                 break
-            pair, out, k = best[1], [], 0
-            while k < len(word):
-                if k + 1 < len(word) and word[k] == pair[0] and word[k + 1] == pair[1]:
-                    out.append(pair[0] + pair[1])
-                    k += 2
-                else:
-                    out.append(word[k])
-                    k += 1
-            word = out
-        return [self.ids[w] for w in word]
+            k = ranks.index(best)
+            word[k : k + 2] = [self.results[best]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = pairs.get(word[k] << 32 | word[k + 1], never)
+            if k:
+                ranks[k - 1] = pairs.get(word[k - 1] << 32 | word[k], never)
+        return word
+
+    def _merge_long(self, word: list[int]) -> list[int]:
+        """The same by a heap over a linked list, for parts of many bytes."""
+        pairs, size = self.pairs, len(word)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        heap = [(r, k) for k in range(size - 1) if (r := pairs.get(word[k] << 32 | word[k + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, k = heapq.heappop(heap)
+            j = after[k] if word[k] >= 0 else size
+            if j >= size or pairs.get(word[k] << 32 | word[j]) != rank:
+                continue
+            word[k], word[j], after[k] = self.results[rank], -1, after[j]
+            if after[k] < size:
+                before[after[k]] = k
+            for x, y in ((before[k], k), (k, after[k])):
+                if x >= 0 and y < size and (r := pairs.get(word[x] << 32 | word[y])) is not None:
+                    heapq.heappush(heap, (r, x))
+        return [w for w in word if w >= 0]
 
     def parts(self, piece: bytes) -> list[bytes]:
         """The piece cut at every certain pair."""
-        if len(piece) < 2:
-            return [piece]
-        codes = np.frombuffer(piece, np.uint8)
-        at = (np.flatnonzero(self.certain[codes[:-1], codes[1:]]) + 1).tolist()
-        return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)])]
+        cut = self.cut_pairs
+        at = [k for k, (a, b) in enumerate(zip(piece, piece[1:]), 1) if cut[a << 8 | b]]
+        return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)])] if at else [piece]
 
-    def _fragment(self, fragment: str) -> tuple[int, ...]:
+    def _fragment(self, fragment: bytes) -> tuple[int, ...]:
         ids: list[int] = []
-        for piece in self.pieces.findall(fragment):
+        for piece in self.pieces.findall(fragment.decode()):
             for part in self.parts(piece.encode()):
                 ids += self._merge(part)
         return tuple(ids)
 
     def _plain(self, text: str, out: list[int]) -> None:
-        cache = self.cache
-        whole = self.cut is None or self.rare.search(text)
-        for fragment in [text] if whole else self.cut.findall(text):
+        cache, raw = self.cache, text.encode()
+        for fragment in [raw] if RARE.search(raw) else self.cut.findall(raw):
             ids = cache.get(fragment)
             if ids is None:
                 ids = self._fragment(fragment)
