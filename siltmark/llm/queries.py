@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltmark.llm.bpe import encoded
 from siltmark.llm.mixing import SEED, mixing_plan
+from siltmark.llm.mtree import top_inner_products
 from siltmark.llm.quality_rules import quality_verdicts
 from siltmark.llm.sharding import assign_shards
 from siltmark.llm.token_counts import token_counts
@@ -90,3 +91,23 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@register
+def op4_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+ORACLES["op4_mtree_top_k"] = """
+WITH unnested AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS k, floor(64 * unnest(embedding)::DOUBLE)::BIGINT AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+v AS (SELECT vec_id, list(x::DOUBLE ORDER BY k) AS v FROM unnested GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
