@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.llm.bpe import encoded
+from siltmark.llm.lsh_forest import near_duplicates
 from siltmark.llm.mixing import SEED, mixing_plan
 from siltmark.llm.mtree import top_inner_products
 from siltmark.llm.quality_rules import quality_verdicts
@@ -111,3 +112,8 @@ scored AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
+@register
+def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
