@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.llm.bpe import encoded
+from siltmark.llm.html_extract import main_text
 from siltmark.llm.lsh_forest import near_duplicates
 from siltmark.llm.mixing import SEED, mixing_plan
 from siltmark.llm.mtree import top_inner_products
+from siltmark.llm.paragraph_dedup import without_repeats
 from siltmark.llm.quality_rules import quality_verdicts
 from siltmark.llm.sharding import assign_shards
 from siltmark.llm.token_counts import token_counts
@@ -117,3 +119,14 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 @register
 def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
+
+
+@register
+def op8_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@register
+def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
