@@ -14,6 +14,7 @@ from siltmark.llm.mtree import top_inner_products
 from siltmark.llm.paragraph_dedup import without_repeats
 from siltmark.llm.quality_rules import quality_verdicts
 from siltmark.llm.sharding import assign_shards
+from siltmark.llm.suffix_dedup import without_repeated_strings
 from siltmark.llm.token_counts import token_counts
 from siltmark.plans.registry import Query, table
 
@@ -130,3 +131,9 @@ def op8_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register
+def op2_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
