@@ -188,7 +188,7 @@ def encoded(docs: DataFrame, vocabulary: str, text_col: str = "text", ids: bool
                     hashlib.sha256(np.asarray(found, "<u4").tobytes()).hexdigest(),
                     hashlib.sha256(back.encode()).hexdigest(),
                 )
-                rows.append((*row, found, back) if ids else row)
+                rows.append((*row, np.asarray(found, np.int32), back) if ids else row)
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
 
     return docs.select(*keep, apply(F.col(text_col)).alias("_bpe")).select(*keep, "_bpe.*")

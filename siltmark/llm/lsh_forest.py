@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.llm.components import components
+from siltmark.llm.shared_keys import picked, row_id
 from siltmark.llm.shingles import MinHasher, WordHashes, digest, shingle_hashes, words_of
 from siltmark.llm.text import written
 
@@ -42,7 +43,7 @@ BROADCAST_NODES = 1_000_000
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str, trees: int, depth: int) -> DataFrame:
-    """``doc_id, n_shingles, node, sig``: size, digest and signature of every document's shingle set."""
+    """``uid, doc_id, n_shingles, node, sig``: size, digest and signature of every document's shingle set."""
 
     @F.pandas_udf("n_shingles long, node binary, sig binary")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -56,7 +57,9 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str, trees: i
                 sigs.append(minhash(values).tobytes() if values.size else b"")
             yield pd.DataFrame({"n_shingles": sizes, "node": nodes, "sig": sigs})
 
-    return docs.select(F.col(id_col).alias("doc_id"), sign(F.col(text_col)).alias("_s")).select("doc_id", "_s.*")
+    return docs.select(
+        row_id(id_col, F.col(text_col)).alias("uid"), F.col(id_col).alias("doc_id"), sign(F.col(text_col)).alias("_s")
+    ).select("uid", "doc_id", "_s.*")
 
 
 def region_key(tree: int, depth: int, whole: int) -> Column:
@@ -148,7 +151,7 @@ def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
     trees: int = TREES, depth: int = DEPTH, least_depth: int = LEAST_DEPTH,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row; ``kept`` where the document names its group."""
+    """``doc_id, n_shingles, component_id, kept, uid`` for every row; ``kept`` where the document names its group."""
     rows = written(signatures(docs, width, id_col, text_col, trees, depth), "signatures")
     nodes = written(
         rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "nodes"
@@ -185,8 +188,28 @@ def near_duplicates(
     placed = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     groups = placed.join(named, "root").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(groups, "node", "left")
+    out = rows.select("doc_id", "n_shingles", "node", "uid").join(groups, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "uid").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    ).select("doc_id", "n_shingles", "component_id", "kept", "uid")
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group: of the rows that name the group, the one with the smallest row number.
+
+    Rows are dropped by an anti-join with what goes, so texts that stay move only if that table is too large to broadcast.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    verdicts = written(near_duplicates(docs.select(id_col, text_col), **options), "verdicts")
+    group = F.when((F.col("n_shingles") > 0) & F.col("component_id").isNotNull(), F.struct("component_id")).otherwise(F.lit(None))
+    grouped = verdicts.withColumn("_g", group)
+    stay = grouped.filter("kept AND _g IS NOT NULL").groupBy("_g").agg(F.min("uid").alias("_stay"))
+    gone = grouped.filter("_g IS NOT NULL").join(stay, "_g").filter("uid <> _stay").select("uid").distinct()
+    rows = docs.withColumn("_uid", row_id(id_col, F.col(text_col)))
+    left = picked(rows.withColumnRenamed("_uid", "uid") if "uid" not in docs.columns else rows.drop("uid").withColumnRenamed("_uid", "uid"), written(gone, "dropped"), "left_anti")
+    repeated = verdicts.groupBy("uid").agg(F.count("*").alias("n"), F.max("n_shingles").alias("s")).filter("n > 1 AND s > 0")
+    repeated = written(repeated.select("uid"), "repeated-rows")
+    if repeated.count():  # rows equal in id and text: one of them
+        left = picked(left, repeated, "left_anti").unionByName(picked(left, repeated, "left_semi").dropDuplicates(["uid"]))
+    return left.select(*[c for c in docs.columns if c != "uid"])
