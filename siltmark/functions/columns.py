@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import inspect
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +66,27 @@ def inline_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
 def fixed(column: Column, digits: int) -> Column:
     """Text with ``digits`` decimals, rounded on the exact binary value."""
     return F.call_function("format_number", column, F.lit("0." + "0" * digits))
+
+
+def wrapped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Key columns inside structs: a NULL key then groups and joins like any other value."""
+    return df.withColumns({k: F.struct(F.col(k).alias("key")) for k in keys}) if keys else df
+
+
+def unwrapped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumns({k: F.col(k)["key"] for k in keys}) if keys else df
+
+
+def null_safe_keys(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators with arguments ``cur`` and ``keys``: NULL segments and windows are groups of their own."""
+    signature = inspect.signature(operator)
+
+    @wraps(operator)
+    def call(*args, **options) -> DataFrame:
+        bound = signature.bind(*args, **options)
+        bound.apply_defaults()
+        keys = list(bound.arguments["keys"])
+        bound.arguments["cur"] = wrapped(bound.arguments["cur"], keys)
+        return unwrapped(operator(*bound.args, **bound.kwargs), keys)
+
+    return call

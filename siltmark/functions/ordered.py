@@ -11,8 +11,7 @@ bucket (``d1``, ``d2``), each level having at most ``FANOUT`` children:
   per bucket, keep the bucket that holds the rank, descend. Shuffled rows are
   bucket counts, whose number does not grow with the data.
 
-Inputs that Spark itself estimates as small (see ``sizing``) take the plain
-window instead: fewer stages, same results.
+There is one plan for every input size. Values must not be NULL: callers leave missing cells out.
 
 The bucket function uses exact minima and maxima and no sampling, so any plan
 branch that is recomputed (lost executor, exchange not reused) sees the same
@@ -27,8 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltmark.functions.sizing import is_small
-
 FANOUT = 4096
 
 # log1p(largest double) is 709.78; infinities are placed just outside.
@@ -82,12 +79,6 @@ def running_totals(
     such groups is bounded by the catalogue, so that their ranges may be broadcast.
     """
     keys, sums = list(keys), list(sums)
-    if is_small(counts):
-        w = (
-            W.partitionBy(*keys).orderBy(value)
-            .rowsBetween(W.unboundedPreceding, W.currentRow)
-        )
-        return counts.withColumns({f"cum_{c}": F.sum(c).over(w) for c in sums})
     ranges = value_ranges(counts, range_group, value)
     placed = _with_ranges(counts, ranges, range_group, bounded)
     d1, d2 = _digits(F.col(value), F.col("_low"), F.col("_high"))
@@ -142,10 +133,6 @@ def order_statistics(
     keys = list(keys)
     small = F.broadcast if bounded else (lambda d: d)
     rows = df.select(*keys, value)
-    if is_small(rows):
-        w = W.partitionBy(*keys).orderBy(value)
-        ranked = rows.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
-        return ranked.join(targets, [*keys, "rank"]).select(*targets.columns, value)
     ranges = value_ranges(rows, range_group, value)
     d1, d2 = _digits(F.col(value), F.col("_low"), F.col("_high"))
     rows = (
@@ -192,8 +179,6 @@ def exact_quantiles(
     """``keys, n, quantiles ARRAY<DOUBLE>`` with linear interpolation, exact."""
     keys = list(keys)
     rows = df.select(*keys, value).filter(F.col(value).isNotNull())
-    if is_small(rows):
-        return _small_quantiles(rows, probabilities, keys, value)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     probs = F.array(*[F.lit(float(p)) for p in probabilities])
     spots = sizes.select(*keys, "n", F.posexplode(probs).alias("_i", "_p")).withColumn(
@@ -221,33 +206,6 @@ def exact_quantiles(
     return pairs.groupBy(*keys, "n").agg(F.transform(listed, lambda s: s["v"]).alias("quantiles"))
 
 
-def _small_quantiles(
-    rows: DataFrame, probabilities: Sequence[float], keys: list[str], value: str
-) -> DataFrame:
-    """One sort per key group over its distinct values."""
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ordered = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    spans = counts.withColumn("_end", F.sum("_c").over(ordered))
-    # Small by the caller's check; a window total would buffer every row instead.
-    spans = spans.join(F.broadcast(sizes), keys) if keys else spans.crossJoin(F.broadcast(sizes))
-
-    lows, highs = [], []
-    for p in probabilities:
-        low = f"floor({float(p)!r}D * (n - 1))"
-        for ends, rank in ((lows, low), (highs, f"least({low} + 1, n - 1)")):
-            ends.append(f"max(if(_end - _c <= {rank} AND {rank} < _end, `{value}`, NULL))")
-    probs = f"array({', '.join(f'{float(p)!r}D' for p in probabilities)})"
-    spot = f"(element_at({probs}, i + 1) * (n - 1))"
-    return spans.groupBy(*keys, "n").agg(
-        F.expr(f"array({', '.join(lows)}) AS _lo"), F.expr(f"array({', '.join(highs)}) AS _hi")
-    ).selectExpr(
-        *keys, "n",
-        f"transform(sequence(0, {len(probabilities) - 1}), i -> if(_lo[i] = _hi[i], _lo[i],"
-        f" _lo[i] + (_hi[i] - _lo[i]) * ({spot} - floor({spot})))) AS quantiles",
-    )
-
-
 def approx_quantiles(
     df: DataFrame,
     probabilities: Sequence[float],

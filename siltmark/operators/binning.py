@@ -45,6 +45,11 @@ def round_edges(edges: Column, decimals: int | None) -> Column:
     return edges if decimals is None else F.transform(edges, lambda e: F.round(e, decimals))
 
 
+def most_bins(edges: DataFrame) -> int:
+    """The largest number of bins in a stored edge table, which has one row per catalogued feature."""
+    return edges.agg(F.coalesce(F.max(F.size("bin_edges")), F.lit(2))).first()[0] - 1
+
+
 def histogram_arrays(
     long: DataFrame,
     edges: DataFrame,

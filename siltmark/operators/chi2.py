@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import Feature
-from siltmark.functions.columns import rounded
+from siltmark.functions.columns import null_safe_keys, rounded
 from siltmark.functions.pvalues import chi2_p_value
 from siltmark.operators.psi import categorical_bins
 
@@ -56,6 +56,7 @@ def chi2_from_cells(
     return summed.select(*out, "ref_n", "cur_n")
 
 
+@null_safe_keys
 def chi2_homogeneity(
     ref: DataFrame,
     cur: DataFrame,

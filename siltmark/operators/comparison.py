@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siltmark.config import Feature
 from siltmark.functions.ordered import running_totals
-from siltmark.operators.binning import edges_from_quantiles
+from siltmark.operators.binning import edges_from_quantiles, most_bins
 from siltmark.operators.longform import to_long_numerical
 
 
@@ -107,6 +107,7 @@ def numerical_comparison(
     """
     features, keys = list(features), list(keys)
     group = [*keys, "feature"]
+    bins = num_bins if edges is None else most_bins(edges)
     ref_long = to_long_numerical(ref, features)
     cur_long = to_long_numerical(cur, features, keys)
     probs = [i / num_bins for i in range(num_bins + 1)] + [0.5]
@@ -131,7 +132,7 @@ def numerical_comparison(
             *sizes.columns, "d", *_finish("ref", probs), *_finish("cur", [0.5])
         )
         grid = _edges(stats, edges, num_bins)
-        hist = _histogram(counts, grid, num_bins, ["feature"], {"ref": "r", "cur": "c"})
+        hist = _histogram(counts, grid, bins, ["feature"], {"ref": "r", "cur": "c"})
         out = stats.join(F.broadcast(hist), "feature", "left")
     else:
         ref_counts = _aggregate(ref_long, ["feature", "value"], ["count(1) AS r", _KNOWN])
@@ -156,8 +157,8 @@ def numerical_comparison(
             _aggregate(looked, group, [gap, *_ends("c", "cur", [0.5])]), group, "left"
         ).selectExpr(*cur_sizes.columns, "d", *_finish("cur", [0.5]))
         grid = _edges(ref_stats, edges, num_bins)
-        ref_hist = _histogram(ref_counts, grid, num_bins, ["feature"], {"ref": "r"})
-        cur_hist = _histogram(cur_counts, grid, num_bins, group, {"cur": "c"})
+        ref_hist = _histogram(ref_counts, grid, bins, ["feature"], {"ref": "r"})
+        cur_hist = _histogram(cur_counts, grid, bins, group, {"cur": "c"})
         out = (
             cur_stats.join(cur_hist.drop("bin_edges"), group, "left")
             .join(F.broadcast(ref_stats), "feature", "left")
@@ -178,9 +179,7 @@ def numerical_comparison(
 
 def _edges(stats: DataFrame, edges: DataFrame | None, num_bins: int) -> DataFrame:
     if edges is not None:
-        too_many = F.raise_error(F.lit(f"more than {num_bins} bins; raise num_bins"))
-        return edges.select("feature", F.when(F.size("bin_edges") > num_bins + 1, too_many)
-                            .otherwise(F.col("bin_edges")).alias("bin_edges"))
+        return edges.select("feature", "bin_edges")
     quantiles = F.slice("ref_quantiles", 1, num_bins + 1)
     return stats.filter("ref_n > 0").select(
         "feature", edges_from_quantiles(quantiles).alias("bin_edges")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import NUMERICAL, Feature, Rules, categorical, features_table, numerical
-from siltmark.functions.columns import inline_table, rounded
+from siltmark.functions.columns import inline_table, null_safe_keys, rounded, unwrapped, wrapped
 from siltmark.functions.pvalues import ks_p_value
 from siltmark.operators.binning import DECILE_EDGES
 from siltmark.operators.chi2 import chi2_from_cells
@@ -29,6 +29,7 @@ def feature_status(psi: Column, warning: float = 0.10, drift: float = 0.20) -> C
     return F.when(psi >= drift, "DRIFT").when(psi >= warning, "WARNING").otherwise("STABLE")
 
 
+@null_safe_keys
 def psi_table(
     ref: DataFrame,
     cur: DataFrame,
@@ -44,13 +45,29 @@ def psi_table(
     """
     features, keys = list(features), list(keys)
     edges, listed = _stored(bins)
+    shared = present(ref, present(cur, features))
     num = psi_numerical(
-        ref, cur, features, bins=edges, num_bins=rules.num_bins,
+        ref, cur, shared, bins=edges, num_bins=rules.num_bins,
         epsilon=rules.epsilon, keys=keys,
     )
-    cells = categorical_bins(ref, cur, features, listed, rules.epsilon, keys)
+    cells = categorical_bins(ref, cur, shared, listed, rules.epsilon, keys)
     cat = psi_from_cells(cells, rules.epsilon, keys)
-    return _labelled(num.unionByName(cat), features, rules, keys)
+    found = num.unionByName(cat).unionByName(_absent(ref, cur, features, keys))
+    return _labelled(found, features, rules, keys)
+
+
+def _absent(ref: DataFrame, cur: DataFrame, features: list[Feature], keys: Sequence[str]) -> DataFrame:
+    """A row of index 0 per key group for every declared feature that a side does not have."""
+    names = [f.name for f in features if f not in present(ref, present(cur, features))]
+    groups = cur.select(*keys).distinct() if keys else cur.limit(1).select()
+    listed = F.array(*[F.lit(n) for n in names]) if names else F.lit(None).cast("array<string>")
+    zero = F.lit(0).cast("long")
+    return groups.select(
+        *keys, F.explode(listed).alias("feature")
+    ).select(
+        *keys, "feature", F.lit(0.0).alias("psi"), zero.alias("ref_n"), zero.alias("cur_n"),
+        F.lit(True).alias("degenerate_bins"),
+    )
 
 
 def _stored(bins: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
@@ -74,6 +91,7 @@ def _labelled(
     )
 
 
+@null_safe_keys
 def feature_drift(
     ref: DataFrame,
     cur: DataFrame,
@@ -92,9 +110,9 @@ def feature_drift(
     features, keys = list(features), list(keys)
     group = [*keys, "feature"]
     edges, listed = _stored(bins)
-    num_feats = present(cur, numerical(features))
-    cat_feats = present(cur, categorical(features))
-    parts = []
+    shared = present(ref, present(cur, features))
+    num_feats, cat_feats = numerical(shared), categorical(shared)
+    parts = [_absent(ref, cur, features, keys)]
     if num_feats:
         both = components(
             numerical_comparison(ref, cur, num_feats, edges, rules.num_bins, keys), rules.epsilon
@@ -198,6 +216,7 @@ def decile_edges_table(df: DataFrame, score: str) -> DataFrame:
     )
 
 
+@null_safe_keys
 def prediction_drift(
     ref: DataFrame,
     cur: DataFrame,
@@ -244,7 +263,8 @@ def segment_drift(
     table = psi_table(ref, cur, features, bins, rules, [segment])
     sizes = cur.groupBy(segment).agg(F.count(F.lit(1)).alias("sample_count"))
     worst = table.groupBy(segment).agg(F.max("psi").alias("max_psi"))
-    return table.join(sizes, segment).join(worst, segment)
+    parts = [wrapped(x, [segment]) for x in (table, sizes, worst)]
+    return unwrapped(parts[0].join(parts[1], segment).join(parts[2], segment), [segment])
 
 
 def window_drift_series(

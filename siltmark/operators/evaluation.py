@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.functions.columns import rounded
+from siltmark.functions.columns import nan_to_null, rounded
 from siltmark.functions.ordered import running_totals
 
 
@@ -17,13 +17,14 @@ def ranking_metrics(
     """Unrounded ``keys, rows, positives, roc_auc, pr_auc``.
 
     Scores are counted per distinct value; running totals over them give the rank
-    statistic (ties averaged) and the precision at each threshold.
+    statistic (ties averaged) and the precision at each threshold. Rows without a score or
+    label (NULL or NaN) take no part and are not in ``rows``.
     """
     keys = list(keys)
     y = F.col(label).cast("long")
-    counts = df.groupBy(*keys, F.col(score).cast("double").alias("value")).agg(
-        F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")
-    )
+    counts = df.filter(nan_to_null(F.col(score).cast("double")).isNotNull() & y.isNotNull()).groupBy(
+        *keys, nan_to_null(F.col(score).cast("double")).alias("value")
+    ).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N_"))
     cum = running_totals(counts, keys, ["pos", "neg"], range_group=keys)
     cum = cum.join(totals, keys) if keys else cum.crossJoin(F.broadcast(totals))  # one row
@@ -52,8 +53,8 @@ def ranking_metrics(
 def threshold_metrics(
     df: DataFrame, score: str, label: str, keys: Sequence[str] = ("model",)
 ) -> DataFrame:
-    """Unrounded ``keys, f1_score, log_loss``: F1 at 0.5 and mean log loss of clipped scores."""
-    y, s = F.col(label) == 1, F.col(score)
+    """Unrounded ``keys, f1_score, log_loss``: F1 at 0.5 and mean log loss of clipped scores, over scored rows."""
+    y, s = F.col(label) == 1, nan_to_null(F.col(score).cast("double"))
     hit = s >= 0.5
     p = F.least(F.greatest(s, F.lit(1e-6)), F.lit(1.0 - 1e-6))
     loss = F.when(y, -F.ln(p)).otherwise(-F.ln(1.0 - p))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import Feature, numerical
-from siltmark.functions.columns import inline_table, rounded
+from siltmark.functions.columns import inline_table, null_safe_keys, rounded
 from siltmark.functions.ordered import running_totals
 from siltmark.functions.pvalues import ks_p_value
 from siltmark.operators.longform import present, to_long_numerical
@@ -102,6 +102,7 @@ def _grouped(ref_long: DataFrame, cur_long: DataFrame, keys: list[str]) -> DataF
     )
 
 
+@null_safe_keys
 def ks_two_sample(
     ref: DataFrame,
     cur: DataFrame,

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import CATEGORICAL, NUMERICAL, Feature
-from siltmark.functions.columns import fixed, rounded
+from siltmark.functions.columns import fixed, null_safe_keys, rounded
 from siltmark.operators.binning import (
     category_counts,
     histogram_arrays,
+    most_bins,
     quantile_bin_edges,
 )
 from siltmark.operators.longform import to_long_categorical, to_long_numerical
@@ -40,7 +41,6 @@ def numerical_bins(
     num_bins: int = 10,
     epsilon: float = 1e-4,
     keys: Sequence[str] = (),
-    max_bins: int | None = None,
 ) -> DataFrame:
     """One row per key group and feature with aligned arrays of counts and components.
 
@@ -49,9 +49,9 @@ def numerical_bins(
     """
     features, keys = list(features), list(keys)
     ref_long = to_long_numerical(ref, features)
+    limit = num_bins if bins is None else most_bins(bins)
     if bins is None:
         bins = quantile_bin_edges(ref_long, num_bins)
-    limit = max_bins or num_bins
     edges = bins.filter(F.col("bin_edges").isNotNull()).select("feature", "bin_edges")
     left = histogram_arrays(to_long_numerical(cur, features, keys), edges, limit, keys)
     right = histogram_arrays(ref_long, edges, limit)
@@ -87,12 +87,19 @@ def _total(components: Column) -> Column:
     )
 
 
+@null_safe_keys
 def psi_numerical(
-    ref: DataFrame, cur: DataFrame, features: Iterable[Feature], **options
+    ref: DataFrame,
+    cur: DataFrame,
+    features: Iterable[Feature],
+    bins: DataFrame | None = None,
+    num_bins: int = 10,
+    epsilon: float = 1e-4,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """``keys, feature, psi, ref_n, cur_n, degenerate_bins``."""
-    keys = list(options.get("keys", ()))
-    both = numerical_bins(ref, cur, features, **options)
+    keys = list(keys)
+    both = numerical_bins(ref, cur, features, bins, num_bins, epsilon, keys)
     return both.select(
         *keys, "feature", rounded(_total(F.col("components")), 5).alias("psi"),
         "ref_n", "cur_n", "degenerate_bins",
@@ -173,6 +180,7 @@ def psi_from_cells(cells: DataFrame, epsilon: float, keys: Sequence[str] = ()) -
     )
 
 
+@null_safe_keys
 def psi_categorical(
     ref: DataFrame,
     cur: DataFrame,
@@ -227,6 +235,7 @@ def categorical_breakdown(
     ).withColumn("band", component_band(F.col("psi_component")))
 
 
+@null_safe_keys
 def psi_breakdown(
     ref: DataFrame,
     cur: DataFrame,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import Feature, Rules
-from siltmark.functions.columns import fixed, numeric, rounded
+from siltmark.functions.columns import fixed, numeric, rounded, unwrapped, wrapped
 
 VIOLATION_SCHEMA = (
     "feature string, check string, severity string, metric_value double, message string"
@@ -184,7 +184,10 @@ def quality_report(
         F.count_if(F.col("severity") == "CRITICAL").alias("_crit"),
         F.count_if(F.col("severity") == "WARNING").alias("_warn"),
     )
-    joined = groups.join(tally, keys, "left") if keys else groups.crossJoin(F.broadcast(tally))
+    joined = (
+        unwrapped(wrapped(groups, keys).join(wrapped(tally, keys), keys, "left"), keys)
+        if keys else groups.crossJoin(F.broadcast(tally))
+    )
     zero = F.lit(0).cast("long")
     summary = joined.select(
         *keys, (F.coalesce("_crit", zero) == 0).alias("passed"), "total_rows",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import Rules
-from siltmark.functions.columns import rounded
+from siltmark.functions.columns import rounded, unwrapped, wrapped
 
 
 def min_sample_gate(
@@ -56,6 +56,8 @@ def combine_runs(
     Inputs have one row per run. A run below the sample gate reports no drift.
     """
     keys = list(keys)
+    gate, counts, quality = (wrapped(x, keys) for x in (gate, counts, quality))
+    prediction = prediction if prediction is None else wrapped(prediction, keys)
 
     def attach(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(right, keys, "left") if keys else left.crossJoin(F.broadcast(right))
@@ -76,20 +78,20 @@ def combine_runs(
     severe = F.coalesce("severe_drift_count", zero)
     warn = F.coalesce("warning_drift_count", zero)
     status = overall_status(
-        severe, warn, F.col("prediction_status"), F.coalesce("passed", F.lit(True)),
+        severe, warn, F.col("prediction_status"), F.col("passed"),
         F.coalesce("warning_count", zero), rules,
     )
     note = F.concat(
         F.lit("Batch contained "), F.col("sample_count").cast("string"),
         F.lit(f" samples (minimum required: {rules.min_samples}). Drift computation skipped."),
     )
-    return runs.select(
+    return unwrapped(runs, keys).select(
         *keys, "sample_count",
         F.when(enough, status).otherwise(F.col("gate")).alias("overall_status"),
         F.when(enough, F.coalesce("max_psi", F.lit(0.0))).otherwise(F.lit(0.0)).alias("max_psi"),
         F.when(enough, severe).otherwise(zero).alias("severe_drift_count"),
         F.when(enough, warn).otherwise(zero).alias("warning_drift_count"),
-        F.coalesce("passed", F.lit(True)).alias("quality_passed"),
+        F.col("passed").alias("quality_passed"),
         F.coalesce("violations_count", zero).alias("violations_count"),
         F.when(enough, F.col("prediction_psi")).alias("prediction_psi"),
         F.when(enough, F.col("prediction_status")).alias("prediction_status"),

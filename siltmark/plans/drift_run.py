@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import Feature, Rules
+from siltmark.functions.columns import unwrapped, wrapped
 from siltmark.operators.drift import feature_drift, prediction_drift, psi_table
 from siltmark.operators.quality import quality_report
 from siltmark.operators.verdict import combine_runs, min_sample_gate, run_counts
@@ -52,7 +53,10 @@ def drift_run(
     else:
         metrics = psi_table(ref, cur, features, bins, rules, keys)
     ok = gate.filter("gate = 'OK'").select(*(keys or [F.lit(1).alias("_ok")]))
-    metrics = metrics.join(ok, keys, "left_semi") if keys else metrics.join(F.broadcast(ok)).drop("_ok")
+    if keys:
+        metrics = unwrapped(wrapped(metrics, keys).join(wrapped(ok, keys), keys, "left_semi"), keys)
+    else:
+        metrics = metrics.join(F.broadcast(ok)).drop("_ok")  # one row or none
     prediction = None
     score = rules.prediction_column
     if score in cur.columns and score in ref.columns:

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import pytest
 
-from siltmark.functions.sizing import SMALL_INPUT
 from tests.compare import duck, session
 
 
@@ -11,14 +10,6 @@ def spark():
     return session()
 
 
-@pytest.fixture
-def distributed(spark):
-    """Force the bucketed paths that large inputs take."""
-    spark.conf.set(SMALL_INPUT, "0")
-    yield
-    spark.conf.unset(SMALL_INPUT)
-
-
 @pytest.fixture(scope="session")
 def small_dir():
     return "/root/testdata/sf0.001"

@@ -23,16 +23,3 @@ def test_runs(spark, small_dir, name):
 def test_contract(spark):
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
     assert entry_point.entry(spark).count() == 4
-
-
-DISTRIBUTED = (
-    "quantile_edges_lineitem", "psi_numerical_lineitem", "ks_lineitem", "ks_windows_events",
-    "baseline_profile_windows_events", "baseline_build_lineitem", "reference_sample_orders",
-    "stratified_split_orders", "binary_metrics", "feature_drift_lineitem", "impute_scale",
-)
-
-
-@pytest.mark.parametrize("name", DISTRIBUTED)
-def test_twin_on_bucketed_path(spark, distributed, small_dir, small_duck, name):
-    note = difference(QUERIES[name](spark, small_dir), small_duck, ORACLES[name])
-    assert note is None, note
