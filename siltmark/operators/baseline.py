@@ -23,6 +23,9 @@ from siltmark.operators.longform import to_long_categorical, to_long_numerical
 # Hexadecimal digits of the md5 used as a sampling key: 52 bits, exact in a double.
 _KEY_DIGITS = 13
 
+#: Groups up to which the cuts of a split are broadcast; beyond that they are joined by shuffle.
+BROADCAST_GROUPS = 10_000
+
 
 def sampling_key(identity: Sequence[Column], seed: int) -> Column:
     """Uniform pseudo-random DOUBLE per row identity, stable across runs and engines."""
@@ -41,13 +44,15 @@ def lowest_keys(
     keys = list(keys)
     keyed = df.withColumn("_key", key)
     sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # Few groups, counted: their cuts are broadcast and the table is not shuffled by group.
+    few = not keys or sizes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     targets = sizes.select(*keys, F.least(wanted, F.col("_n")).cast("long").alias("_w"))
     ranks = targets.filter(F.col("_w") > 0).select(*keys, (F.col("_w") - 1).alias("rank"))
     cuts = order_statistics(
-        keyed.select(*keys, "_key"), keys, ranks, "_key"
+        keyed.select(*keys, "_key"), keys, ranks, "_key", bounded=few
     ).select(*keys, F.col("_key").alias("_cut"))
     if keys:
-        marked = keyed.join(cuts, keys, "left")
+        marked = keyed.join(F.broadcast(cuts) if few else cuts, keys, "left")
     else:
         marked = keyed.crossJoin(F.broadcast(cuts))  # one row
     picked = F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False))

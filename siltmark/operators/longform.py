@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltmark.config import Feature, categorical, numerical
 from siltmark.functions.columns import numeric
+from siltmark.sources.partitions import event_time
 
 
 def present(df: DataFrame, features: Iterable[Feature]) -> list[Feature]:
@@ -52,7 +53,8 @@ def _unpivot(
 def with_window(
     df: DataFrame, time_column: str = "timestamp", size: str = "6 hours", slide: str | None = None
 ) -> DataFrame:
-    """Add ``window_start``; half-open windows that tile the time line."""
-    ts = F.col(time_column).cast("timestamp")
-    w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return df.withColumn("_w", w).withColumn("window_start", F.col("_w.start")).drop("_w")
+    """Add ``window_start``; half-open windows that tile the time line. Rows whose time cannot be read
+    are in no window; ``unparsable_timestamps`` counts them."""
+    timed = df.withColumn("_at", event_time(df, time_column))
+    w = F.window("_at", size, slide) if slide else F.window("_at", size)
+    return timed.withColumn("_w", w).drop("_at").withColumn("window_start", F.col("_w.start")).drop("_w")

@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import Feature, categorical, numerical
-from siltmark.functions.columns import numeric
+from siltmark.functions.columns import NUMBER_PATTERN, nan_to_null, numeric
 from siltmark.operators.baseline import build_baseline, lowest_keys, sampling_key
 from siltmark.operators.longform import to_long_numerical
 from siltmark.operators.profile import categorical_profile, medians
+from siltmark.sources.partitions import event_time
 
 MIN_RECENT_ROWS = 100
 
@@ -29,15 +30,27 @@ def training_label(df: DataFrame) -> Column:
     """Known label, else ``target``, else score >= 0.5, else 0."""
     tries = [F.col(c) for c in ("prediction_label", "target") if c in df.columns]
     if "prediction_score" in df.columns:
-        tries.append((F.col("prediction_score") >= 0.5).cast("int"))
+        tries.append((numeric(df, "prediction_score") >= 0.5).cast("int"))
     return F.coalesce(*[t.cast("int") for t in tries], F.lit(0))
 
 
+def recent_logs(logs: DataFrame, now: str, days: int = 7, time_column: str = "timestamp") -> DataFrame:
+    """Logs of the ``days`` up to ``now``, both ends included."""
+    at, end = event_time(logs, time_column), F.lit(now).cast("timestamp")
+    return logs.filter((at >= end - F.make_dt_interval(F.lit(days))) & (at <= end))
+
+
 def training_set(
-    base: DataFrame, logs: DataFrame | None, features: Iterable[Feature], keep: Sequence[str] = ()
+    base: DataFrame, logs: DataFrame | None, features: Iterable[Feature], keep: Sequence[str] = (),
+    now: str | None = None, days: int = 7, time_column: str = "timestamp",
 ) -> DataFrame:
-    """Baseline rows plus recent logs (if there are at least 100), features and label."""
+    """Baseline rows plus recent logs (if there are at least 100), features and label.
+
+    With ``now``, logs are recent within ``days`` of it; without, all given logs are.
+    """
     both = base.withColumn("_recent", F.lit(False))
+    if logs is not None and now:
+        logs = recent_logs(logs, now, days, time_column)
     if logs is not None:
         enough = logs.agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_RECENT_ROWS)
         recent = logs.join(F.broadcast(enough)).drop("_n")  # one row, or none
@@ -85,6 +98,13 @@ def impute_and_scale(df: DataFrame, features: Iterable[Feature]) -> DataFrame:
     return joined.withColumns(out).select(*df.columns)
 
 
+def _number(df: DataFrame, name: str) -> str:
+    """SQL of a cell as a number: NULL for NaN and for text that is none, as in ``numeric``."""
+    if dict(df.dtypes)[name] == "string":
+        return f"CASE WHEN `{name}` RLIKE r'{NUMBER_PATTERN}' THEN try_cast(trim(`{name}`) AS DOUBLE) END"
+    return f"nanvl(CAST(`{name}` AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
 def preprocessing(df: DataFrame, features: Iterable[Feature]) -> Pipeline:
     """Unfitted ML pipeline up to the vector column ``features``.
 
@@ -99,13 +119,13 @@ def preprocessing(df: DataFrame, features: Iterable[Feature]) -> Pipeline:
     } if cats else {}
     parts = ["*"]
     for f in nums:
-        s = stats[f.name]
+        s = stats.get(f.name) or dict.fromkeys(("median", "mean", "std"))
+        middle, mean = (0.0 if s[c] is None else s[c] for c in ("median", "mean"))  # all missing: a constant
         parts.append(
-            f"(coalesce(try_cast(`{f.name}` AS DOUBLE), {s['median']!r}D) - {s['mean']!r}D)"
-            f" / {(s['std'] or 1.0)!r}D AS `_num_{f.name}`"
+            f"(coalesce({_number(df, f.name)}, {middle!r}D) - {mean!r}D) / {(s['std'] or 1.0)!r}D AS `_num_{f.name}`"
         )
     for f in cats:
-        mode = modes[f.name].replace("'", "\\'")
+        mode = (modes.get(f.name) or "").replace("\\", "\\\\").replace("'", "\\'")
         parts.append(f"coalesce(CAST(`{f.name}` AS STRING), '{mode}') AS `_cat_{f.name}`")
     stages: list = [SQLTransformer(statement=f"SELECT {', '.join(parts)} FROM __THIS__")]
     inputs = [f"_num_{f.name}" for f in nums]
@@ -139,7 +159,8 @@ def train_challenger(
 
 
 def score_batch(df: DataFrame, model: PipelineModel, version: str) -> DataFrame:
-    """Add probability of class 1 (clipped), label and model version."""
+    """Add probability of class 1 (clipped), label and model version; earlier ones are overwritten."""
+    df = df.drop("prediction_score", "prediction_label", "model_version")
     scored = model.transform(df)
     p = F.get(vector_to_array("probability"), F.lit(1))
     return with_label(
@@ -148,7 +169,9 @@ def score_batch(df: DataFrame, model: PipelineModel, version: str) -> DataFrame:
 
 
 def with_label(df: DataFrame, score: str = "prediction_score") -> DataFrame:
-    clipped = F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0))
+    """Score clipped to [0, 1] and its label; without a score (NULL or NaN) both are NULL."""
+    known = nan_to_null(F.col(score).cast("double"))
+    clipped = F.when(known.isNotNull(), F.least(F.greatest(known, F.lit(0.0)), F.lit(1.0)))
     return df.withColumn(score, clipped).withColumn(
         "prediction_label", (F.col(score) >= 0.5).cast("long")
     )
@@ -167,7 +190,8 @@ def heuristic_score(df: DataFrame) -> Column:
     def field(name: str) -> Column:
         return numeric(df, name) if name in df.columns else F.lit(_ABSENT[name])
 
-    credit, income = field("credit_score"), F.greatest(field("annual_income"), F.lit(1000.0))
+    credit, income = field("credit_score"), field("annual_income")
+    income = F.when(income.isNotNull(), F.greatest(income, F.lit(1000.0)))  # unknown stays unknown
     score = (
         F.lit(0.2)
         + F.when(credit < 580, 0.35).when(credit < 670, 0.15).otherwise(0.0)

@@ -99,15 +99,14 @@ def stream_cooldown(spark, sf_dir):
     )
     every.write.parquet(f"{base}/all")
     every = spark.read.parquet(f"{base}/all")
-    cuts = ["2024-01-01", "2024-01-16", "2024-01-23", "2024-03-01"]
-    for low, high in zip(cuts, cuts[1:]):
-        part = every.filter((F.col("candidate_at") >= F.lit(low).cast("timestamp"))
-                            & (F.col("candidate_at") < F.lit(high).cast("timestamp")))
-        part.repartition(1).write.mode("append").parquet(f"{base}/history")
-    history = (
-        spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1)
-        .parquet(f"{base}/history")
-    )
-    q = jobs.stream_alert_cooldown(history, f"{base}/out", f"{base}/checkpoint", "availableNow")
-    q.awaitTermination()
+    first, last = every.agg(F.min("candidate_at"), F.max("candidate_at")).first()
+    parts = 3
+    for k in range(parts):  # each part arrives while the state of the ones before is kept
+        low, high = (F.lit(first + (last - first) * j / parts) for j in (k, k + 1))
+        at = F.col("candidate_at")
+        part = every.filter((at >= low) & ((at <= high) if k == parts - 1 else (at < high)))
+        part.write.mode("append").parquet(f"{base}/history")
+        history = spark.readStream.schema(every.schema).parquet(f"{base}/history")
+        q = jobs.stream_alert_cooldown(history, f"{base}/out", f"{base}/checkpoint", "availableNow")
+        q.awaitTermination()
     return spark.read.parquet(f"{base}/out")

@@ -9,14 +9,15 @@ from datetime import datetime, timedelta, timezone
 from typing import Any
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.config import Feature
 from siltmark.operators.harmonize import harmonize
 from siltmark.operators.model import score_batch
-from siltmark.sources.files import DELIMITED, JSON, read_any, separator_of
+from siltmark.sources.files import DELIMITED, JSON, not_utf8, read_any, read_delimited, read_json_any
 from siltmark.sources.partitions import write_partitioned
+from siltmark.sources.workspace import workspace
 
 LEDGER_SCHEMA = "path string, hash string, processed_at timestamp, row_count long"
 
@@ -51,24 +52,21 @@ def read_window_query(
 
 
 def list_files(spark: SparkSession, pattern: str, content_hash: bool = True) -> DataFrame:
-    """``path, hash, first_line``: executors read and hash the files.
+    """``path, uri, hash, header``: executors read and hash the files; ``header`` is a hash of the first line.
 
-    Files are whole values in one row (Spark's limit is 2 GB per file). With
-    ``content_hash=False`` length and modification time stand in for the content
-    and no byte is read.
+    ``uri`` is the encoded name that readers report, ``path`` the plain one. Files are whole values in one
+    row (Spark's limit is 2 GB per file). With ``content_hash=False`` length and modification time stand in for
+    the content and no byte is read; then every file is a reading group of its own.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern)
     )
-    name = F.regexp_replace("path", "^file:/+", "/")
+    names = [F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("_metadata.file_path").alias("uri")]
     if not content_hash:
         stamp = F.md5(F.concat_ws("|", "length", "modificationTime"))
-        return files.select(name.alias("path"), stamp.alias("hash"),
-                            F.lit(None).cast("string").alias("first_line"))
-    line = F.substring_index(F.decode(F.substring("content", 1, 65536), "ISO-8859-1"), "\n", 1)
-    return files.select(
-        name.alias("path"), F.md5("content").alias("hash"), F.rtrim(line).alias("first_line")
-    )
+        return files.select(*names, stamp.alias("hash"), F.md5("path").alias("header"))
+    line = F.rtrim(F.substring_index(F.decode("content", "ISO-8859-1"), "\n", 1))
+    return files.select(*names, F.md5("content").alias("hash"), F.md5(line).alias("header"))
 
 
 def ingest_new_files(
@@ -80,65 +78,84 @@ def ingest_new_files(
 ) -> tuple[DataFrame | None, DataFrame]:
     """``(rows, ledger)``: rows of files that are new or changed, and the ledger after.
 
-    A file counts as done when the ledger has its path with the same hash. Files
-    sharing format and header are read by one scan, the groups are united by
-    name. Empty or unreadable files stay out of the ledger, so they are tried
-    again. ``rows`` is None when nothing is new.
+    A file counts as done when the ledger has its path with the same hash. Files sharing format and header are
+    read by one scan into a table in the shared folder, so every file is parsed once and wholly. Where a group
+    cannot be read (clashing types, a damaged file, a malformed line), its files are read one by one, and what
+    still fails is warned about, gives no rows and stays out of the ledger, so it is tried again. ``rows`` is None
+    when nothing is new.
     """
     known = ledger if ledger is not None else spark.createDataFrame([], LEDGER_SCHEMA)
     fresh = list_files(spark, pattern, content_hash).join(
         known.select("path", "hash"), ["path", "hash"], "left_anti"
     )
-    # File names and header lines, not data: what the readers need to be opened.
-    todo = fresh.collect()
+    todo = fresh.collect()  # names and hashes of new files: what the readers need to be opened
     groups: dict[tuple[str, str], list[str]] = {}
     for r in todo:
         kind = r["path"].rsplit(".", 1)[-1].lower()
-        same = (r["first_line"] or r["path"]) if kind in DELIMITED else ""
-        if kind in JSON:
-            same = (r["first_line"] or "").lstrip()[:1]
-        groups.setdefault((kind, same), []).append(r["path"])
-    parts = [p for p in (_read_group(spark, k, paths) for (k, _), paths in groups.items())
-             if p is not None]
+        groups.setdefault((kind, r["header"] if kind in DELIMITED else ""), []).append(r["path"])
+    parts = [part for (kind, _), paths in groups.items() for part in _read_group(spark, kind, paths)]
     if not parts:
         return None, known
     rows = parts[0]
     for p in parts[1:]:
-        rows = rows.unionByName(p, allowMissingColumns=True)
+        rows = union_widened(rows, p)
     moment = F.lit((now or datetime.now(timezone.utc)).isoformat()).cast("timestamp")
-    seen = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("row_count"))
-    hashes = spark.createDataFrame([(r["path"], r["hash"]) for r in todo], "path string, hash string")
-    done = seen.join(F.broadcast(hashes), seen["_path"] == hashes["path"]).select(
+    seen = rows.groupBy("_uri").agg(F.count(F.lit(1)).alias("row_count"))
+    hashes = spark.createDataFrame([(r["path"], r["uri"], r["hash"]) for r in todo], "path string, uri string, hash string")
+    done = seen.join(hashes, seen["_uri"] == hashes["uri"]).select(
         "path", "hash", moment.alias("processed_at"), "row_count"
     )
     kept = known.join(done.select("path"), "path", "left_anti")
-    return rows.drop("_path"), kept.unionByName(done)
+    return rows.drop("_uri"), kept.unionByName(done)
+
+
+def union_widened(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Union by name; a column whose types have no common one becomes text on both sides."""
+    left, right = dict(a.dtypes), dict(b.dtypes)
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    clash = [
+        c for c in left.keys() & right.keys()
+        if left[c] != right[c] and not (left[c] in numbers and right[c] in numbers)
+    ]
+    text = {c: F.col(f"`{c}`").cast("string") for c in clash}
+    return a.withColumns(text).unionByName(b.withColumns(text), allowMissingColumns=True) if clash else a.unionByName(
+        b, allowMissingColumns=True
+    )
 
 
-def _read_group(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame | None:
-    reader = spark.read.option("ignoreCorruptFiles", True)
+def _read_group(spark: SparkSession, kind: str, paths: list[str]) -> list[DataFrame]:
+    """The group as written tables with ``_uri``; one by one where the group fails, none of a file that fails."""
+    if kind not in (*DELIMITED, *JSON, "parquet"):
+        warnings.warn(f"unsupported format {kind!r}: {len(paths)} file(s) skipped", stacklevel=3)
+        return []
     try:
-        if kind in DELIMITED:
-            first = spark.read.text(paths).limit(1).collect()
-            if not first:
-                return None
-            df = reader.options(
-                header=True, inferSchema=True, sep=separator_of(first[0][0]),
-                encoding="ISO-8859-1" if "\ufffd" in first[0][0] else "UTF-8",
-            ).csv(paths)
-        elif kind in JSON:
-            first = spark.read.text(paths).limit(1).collect()
-            whole = bool(first) and first[0][0].lstrip().startswith("[")
-            df = reader.option("multiLine", whole).json(paths)
-        elif kind == "parquet":
-            df = reader.option("mergeSchema", True).parquet(*paths)
-        else:
-            warnings.warn(f"unsupported format {kind!r}: {len(paths)} file(s) skipped", stacklevel=3)
-            return None
-    except Exception as e:  # an unreadable group must not stop the others
-        warnings.warn(f"{len(paths)} {kind} file(s) skipped: {e}", stacklevel=3)
-        return None
-    return df.withColumn("_path", F.regexp_replace("_metadata.file_path", "^file:/+", "/"))
+        sets = [paths]
+        if kind in DELIMITED:  # files of one header may differ in encoding
+            odd = {r["uri"] for r in not_utf8(spark, paths).collect()}
+            uris = {p: u for p, u in spark.read.format("binaryFile").load(paths).select(
+                F.regexp_replace("path", "^file:/+", "/"), "_metadata.file_path").collect()} if odd else {}
+            sets = [[p for p in paths if uris.get(p) not in odd], [p for p in paths if uris.get(p) in odd]]
+        out = []
+        for k, part in enumerate(sets):
+            if not part:
+                continue
+            if kind in DELIMITED:
+                df = read_delimited(spark, part, encoding=("UTF-8", "ISO-8859-1")[k])
+            elif kind in JSON:
+                df = read_json_any(spark, part)
+            else:
+                df = spark.read.option("mergeSchema", True).parquet(*part)
+            if not df.columns:
+                continue
+            staged = workspace(spark, "ingest")
+            df.withColumn("_uri", F.col("_metadata.file_path")).write.parquet(staged)
+            out.append(spark.read.parquet(staged))
+        return out
+    except Exception as e:  # an unreadable file must not stop the others
+        if len(paths) > 1:
+            return [part for p in paths for part in _read_group(spark, kind, [p])]
+        warnings.warn(f"{paths[0]} skipped: {str(e)[:200]}", stacklevel=3)
+        return []
 
 
 @dataclass
@@ -167,25 +184,30 @@ def ingest(
     """Extract, harmonize, optionally score, append to the partitioned log.
 
     ``source``: a DataFrame (records or a window query), a glob (read
-    incrementally against ``ledger``) or one file. The count and the three sample
-    rows come from what was written.
+    incrementally against ``ledger``) or one file. The harmonized rows are staged once in the
+    shared folder; count, sample and the log come from there. ``sources`` names the processed files.
     """
     features = list(features)
     after = ledger
     if isinstance(source, DataFrame):
         raw, names = source, ["records"]
     elif any(c in source for c in "*?["):
+        before = ledger if ledger is not None else spark.createDataFrame([], LEDGER_SCHEMA)
         raw, after = ingest_new_files(spark, source, ledger)
-        names = [source]
+        names = [r["path"] for r in after.join(before, ["path", "hash"], "left_anti").select("path").orderBy("path").collect()]
     else:
         raw, names = read_any(spark, source), [source]
-    if raw is None or raw.isEmpty():
+    if raw is None:
         return IngestResult("NO_NEW_DATA", 0, ledger=after)
     clean = harmonize(raw, mapping, features, now)
     if model is not None:
         clean = score_batch(clean, model, model_version)
-    counted = Observation()
-    watched = clean.observe(counted, F.count(F.lit(1)).alias("rows"))
-    path = write_partitioned(watched, out, batch_time, time_col)
+    staged = workspace(spark, "harmonized")
+    clean.write.parquet(staged)
+    clean = spark.read.schema(clean.schema).parquet(staged)
+    count = clean.count()
+    if not count:
+        return IngestResult("NO_NEW_DATA", 0, ledger=after)
+    path = write_partitioned(clean, out, batch_time, time_col)
     sample = [r.asDict() for r in clean.limit(3).collect()]
-    return IngestResult("SUCCESS", counted.get["rows"], names, path, sample, after)
+    return IngestResult("SUCCESS", count, names, path, sample, after)

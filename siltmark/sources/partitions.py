@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +21,9 @@ def _utc(moment: datetime | str) -> datetime:
 
 
 def partition_columns(at: Column) -> dict[str, Column]:
-    return {name: F.date_format(at, fmt) for name, fmt in PARTITIONS.items()}
+    """Folder names of an instant, in UTC whatever the session's zone."""
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    return {name: F.date_format(utc, fmt) for name, fmt in PARTITIONS.items()}
 
 
 def write_partitioned(
@@ -34,10 +36,11 @@ def write_partitioned(
 
     The partition is the write time (or ``batch_time``); ``time_col`` partitions
     by a column instead, and then a rebalance keeps one hour in few files while a
-    hot hour is split.
+    hot hour is split. Rows whose time cannot be read go to the default partition, which no
+    window scan opens; ``unparsable_timestamps`` counts them.
     """
     if time_col:
-        out = df.withColumns(partition_columns(F.col(time_col).cast("timestamp")))
+        out = df.withColumns(partition_columns(event_time(df, time_col)))
         out = out.hint("rebalance", *[F.col(c) for c in PARTITIONS])
     else:
         t = _utc(batch_time) if batch_time else datetime.now(timezone.utc)
@@ -59,13 +62,32 @@ def hour_range(start: datetime, end: datetime) -> Column:
     return code.between(low, high)
 
 
-def _open(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
+def hour_folders(spark: SparkSession, path: str, start: datetime, end: datetime) -> list[str]:
+    """The existing hour folders of the window; only folders inside it are listed."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    day = start.replace(hour=0, minute=0, second=0, microsecond=0)
+    while day <= end:
+        folder = f"{path}/year={day:%Y}/month={day:%m}/day={day:%d}"
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder)):
+            hours = range(start.hour if day.date() == start.date() else 0, end.hour + 1 if day.date() == end.date() else 24)
+            for h in hours:
+                hour = f"{folder}/hour={h:02d}"
+                if files.exists(spark._jvm.org.apache.hadoop.fs.Path(hour)):
+                    found.append(hour)
+        day += timedelta(days=1)
+    return found
+
+
+def _open(spark: SparkSession, path: str, folders: list[str], fmt: str) -> DataFrame | None:
+    """Rows of the given hour folders; schemas and footers of these alone are read."""
     pattern = {"parquet": "*.parquet", "jsonl": "*.jsonl"}[fmt]
-    reader = spark.read.option("pathGlobFilter", pattern).option("mergeSchema", True)
+    reader = spark.read.options(pathGlobFilter=pattern, mergeSchema=True, basePath=path)
     try:
-        return reader.parquet(path) if fmt == "parquet" else reader.json(path)
+        return reader.parquet(*folders) if fmt == "parquet" else reader.json(folders)
     except AnalysisException as e:
-        if any(s in str(e) for s in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND")):
+        if "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
         raise
 
@@ -80,15 +102,16 @@ def scan_window(
     time_col: str = "timestamp",
     formats: Sequence[str] = ("parquet", "jsonl"),
 ) -> DataFrame:
-    """Log rows of ``[start, end]``: hour folders are pruned, then events filtered.
+    """Log rows of ``[start, end]``: only the window's hour folders are opened, then events filtered.
 
     Text timestamps are parsed as UTC; a row whose timestamp cannot be parsed is
     dropped. Without a timestamp column all rows of the hours are kept.
     """
     first, last = _utc(start), _utc(end)
     parts = []
-    for fmt in formats:
-        df = _open(spark, path, fmt)
+    folders = hour_folders(spark, path, first, last)
+    for fmt in formats if folders else ():
+        df = _open(spark, path, folders, fmt)
         if df is None or not set(PARTITIONS) <= set(df.columns):
             continue
         df = df.filter(hour_range(first, last)).drop(*PARTITIONS)
@@ -107,10 +130,18 @@ def scan_window(
 
 
 def event_time(df: DataFrame, time_col: str) -> Column:
+    """The time column as a timestamp, NULL where its text cannot be read; text without an offset is UTC."""
     c = F.col(time_col)
-    if dict(df.dtypes)[time_col] == "string":
-        return F.try_to_timestamp(c)
-    return c if dict(df.dtypes)[time_col] == "timestamp" else c.cast("timestamp")
+    kind = dict(df.dtypes)[time_col]
+    if kind == "string":
+        text = F.trim(c)
+        zoned = (
+            F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(text, F.lit(" 00:00:00+00:00")))
+            .when(text.rlike(r"\d:\d\d(:\d\d(\.\d+)?)?$") & ~text.rlike(r"[+-]\d\d:\d\d$"), F.concat(text, F.lit("+00:00")))
+            .otherwise(text)
+        )
+        return F.try_to_timestamp(zoned)
+    return c if kind == "timestamp" else c.cast("timestamp")
 
 
 def _literal(moment: datetime) -> Column:

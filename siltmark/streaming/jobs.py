@@ -23,7 +23,7 @@ from siltmark.operators.longform import to_long_categorical, to_long_numerical
 from siltmark.operators.psi import psi_component, smoothed
 from siltmark.operators.quality import feature_quality, quality_counts, violations
 from siltmark.functions.columns import rounded
-from siltmark.sources.partitions import PARTITIONS, partition_columns
+from siltmark.sources.partitions import PARTITIONS, event_time, partition_columns
 
 
 def _triggered(writer, trigger: str):
@@ -41,7 +41,7 @@ def stream_log_sink(
 
     Partition by arrival time like the buffered writer, or by ``time_col``.
     """
-    at = F.col(time_col).cast("timestamp") if time_col else F.current_timestamp()
+    at = event_time(logs, time_col) if time_col else F.current_timestamp()
     writer = (
         logs.withColumns(partition_columns(at)).writeStream.format("parquet")
         .partitionBy(*PARTITIONS).option("path", path).option("checkpointLocation", checkpoint)
@@ -97,7 +97,7 @@ def stream_window_counts(
     a record may come; later ones are dropped and show in the query's progress.
     """
     features, keys = list(features), list(keys)
-    late = logs.withColumn("_ts", F.col(time_col).cast("timestamp")).withWatermark("_ts", delay)
+    late = logs.withColumn("_ts", event_time(logs, time_col)).withWatermark("_ts", delay)
     long = to_long_numerical(late, features, [*keys, "_ts"]).join(
         F.broadcast(edges.select("feature", "bin_edges")), "feature"
     )
@@ -157,7 +157,7 @@ def stream_quality(
     trigger: str = "15 seconds",
 ) -> StreamingQuery:
     """Quality counts per event-time window, updated batch by batch."""
-    late = logs.withColumn("_ts", F.col(time_col).cast("timestamp")).withWatermark("_ts", delay)
+    late = logs.withColumn("_ts", event_time(logs, time_col)).withWatermark("_ts", delay)
     windowed = late.withColumn("_w", F.window("_ts", size))
     counted = quality_counts(windowed, list(features), ["_w"]).withColumn(
         "window_start", F.col("_w.start")
@@ -178,6 +178,9 @@ def _cooldown(
     key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
     """Deliver a candidate unless the key's cooldown (in microseconds) still runs."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     until = state.get[0] if state.exists else None
     pdf = pd.concat(list(batches)).sort_values("candidate_at", kind="stable")
     delivered = []
@@ -188,20 +191,22 @@ def _cooldown(
             until = now + int(hours) * 3_600_000_000
         delivered.append(send)
     state.update((until,))
+    # Past this time the key can only be delivered anew, which needs no state.
+    state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
     yield pdf.assign(delivered=delivered)
 
 
 def stream_alert_cooldown(
-    candidates: DataFrame, path: str, checkpoint: str, trigger: str = "15 seconds"
+    candidates: DataFrame, path: str, checkpoint: str, trigger: str = "15 seconds", delay: str = "1 day"
 ) -> StreamingQuery:
-    """Cooldown as keyed state: one timestamp per deduplication key.
+    """Cooldown as keyed state: one timestamp per deduplication key, kept until the cooldown and ``delay`` are over.
 
     A batch holds the candidates of the runs that just ended, so the rows of one
     key in one batch are few.
     """
     schema = T.StructType([*candidates.schema.fields, T.StructField("delivered", T.BooleanType())])
-    marked = candidates.groupBy("dedup_key").applyInPandasWithState(
-        _cooldown, schema, "until long", "append", GroupStateTimeout.NoTimeout
+    marked = candidates.withWatermark("candidate_at", delay).groupBy("dedup_key").applyInPandasWithState(
+        _cooldown, schema, "until long", "append", GroupStateTimeout.EventTimeTimeout
     )
     writer = (
         marked.writeStream.format("parquet").option("path", path)
