@@ -6,8 +6,10 @@ first by the longest common prefix:
 
 1. Every node meets the first node of each of its regions at the least depth; the one with the best signature estimate is
    verified on the full sets. Verified links give components, so a large group of near copies is already one component.
-2. Regions that still hold several components compare the nodes outside the largest component with all nodes of the
-   region. Where that is too much, the region goes on to deeper prefixes (adaptive depth); at full depth all is compared.
+2. In regions that still hold several components, sorted by the whole label, nodes meet their neighbours of other
+   components on both sides: those with the longest common prefix. Verified links join the components.
+3. Regions that still hold several compare the nodes outside the largest component with all nodes of the region.
+   Where that is too much, the region goes on to deeper prefixes (adaptive depth); at full depth all is compared.
 
 Pairs whose signatures agree far too little for the wanted similarity are dropped before sets are read; all others are verified on
 the full sets, and components of the verified links are the groups.
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.llm.components import components
@@ -123,15 +125,37 @@ def first_round(members: DataFrame) -> DataFrame:
     return members.join(heads, "region").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
 
 
-def later_pairs(members: DataFrame, roots: DataFrame, depths: list[int], trees: int, whole: int) -> DataFrame:
-    """``a, b`` of different components that share a region, split by depth where a region is too much work."""
+def mixed_regions(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of regions with several components, with their ``root``, the region's largest component ``main``, its size
+    ``m`` and ``s``, the nodes outside ``main``."""
     rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    out = None
-    for depth in depths:
-        per_root = rows.groupBy("region", "root").agg(F.count("*").alias("n"))
-        summed = per_root.groupBy("region").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("top"))
-        mixed_regions = summed.select("region", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.n")).alias("s")).filter("s > 0")
-        placed = written(rows.join(mixed_regions, "region"), "regions")
+    per_root = rows.groupBy("region", "root").agg(F.count("*").alias("n"))
+    summed = per_root.groupBy("region").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("top"))
+    several = summed.select("region", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.n")).alias("s")).filter("s > 0")
+    return rows.join(several, "region")
+
+
+def neighbours(members: DataFrame, roots: DataFrame, whole: int) -> DataFrame:
+    """``a, b`` of different components that are neighbours in a tree's sorted order, or next to each other but for nodes
+    outside the region's largest component."""
+    label = F.substring(F.col("sig"), F.col("tree") * (whole * 4) + 1, F.lit(whole * 4))
+    rows = mixed_regions(members, roots).withColumn("label", label).select("region", "label", "node", "root", "main")
+    up = Window.partitionBy("region").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("region").orderBy(F.desc("label"), F.desc("node")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = F.struct("node", "root")
+    large = F.when(F.col("root") == F.col("main"), placed)
+    for name, order in (("up", up), ("down", down)):
+        rows = rows.withColumn(f"{name}_any", F.last(placed).over(order)).withColumn(f"{name}_main", F.last(large, ignorenulls=True).over(order))
+    near = F.array("up_any", "up_main", "down_any", "down_main")
+    pairs = rows.select("node", "root", F.explode(near).alias("o")).filter("o IS NOT NULL AND o.root <> root")
+    return pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+
+
+def later_pairs(members: DataFrame, roots: DataFrame, depths: list[int], whole: int) -> DataFrame:
+    """``a, b`` of different components that share a region, split by depth where a region is too much work."""
+    rows, out = members, None
+    for k, depth in enumerate(depths):
+        placed = written(mixed_regions(rows, roots), "regions")
         fits = F.lit(True) if depth == depths[-1] else F.col("s") * F.col("m") <= REGION_WORK
         here = placed.filter(fits)
         left = here.filter("root <> main").select("region", F.col("node").alias("a"), F.col("root").alias("ra"))
@@ -141,9 +165,9 @@ def later_pairs(members: DataFrame, roots: DataFrame, depths: list[int], trees:
         out = pairs if out is None else out.union(pairs)
         if depth == depths[-1]:
             break
-        deeper = depths[depths.index(depth) + 1]
+        deeper = depths[k + 1]
         key = F.xxhash64(F.lit(deeper), "tree", F.substring(F.col("sig"), F.col("tree") * (whole * 4) + 1, F.lit(deeper * 4)))
-        rows = placed.filter(~fits).select("tree", key.alias("region"), "node", "sig", "root")
+        rows = placed.filter(~fits).select("tree", key.alias("region"), "node", "sig")
     return out.distinct()
 
 
@@ -167,23 +191,21 @@ def near_duplicates(
     first = written(
         estimated(first_round(members), nodes, least).groupBy("a").agg(best).select("a", F.col("top.b").alias("b")), "first-pairs"
     )
-    wanted = nodes.select("node", "id").join(members.select("node").distinct(), "node", "left_semi")
-    in_first = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct()
-    sets = written(shingle_sets(docs, written(wanted.join(in_first, "node", "left_semi"), "wanted"), width, id_col, text_col), "sets")
+    wanted = written(nodes.select("node", "id").join(members.select("node").distinct(), "node", "left_semi"), "wanted")
+    sets = written(shingle_sets(docs, wanted, width, id_col, text_col), "sets")
     links = written(verified(first, sets, percent), "first-links")
-    roots = components(links)
+    roots = written(components(links), "roots")
+
+    members = written(members.join(nodes.select("node", "sig"), "node"), "signed-members")
+    near = written(estimated(neighbours(members, roots, depth), nodes, least).select("a", "b"), "neighbours")
+    links = written(links.union(verified(near, sets, percent)), "near-links")
+    roots = written(components(links), "roots")
 
-    whole = depth
     depths = list(range(least_depth, depth, 2)) + [depth]
-    deep_members = members.join(nodes.select("node", "sig"), "node")
-    later = written(
-        estimated(later_pairs(deep_members, roots, depths, trees, whole), nodes, least).select("a", "b"), "later-pairs"
-    )
-    in_later = later.select(F.col("a").alias("node")).union(later.select(F.col("b").alias("node"))).distinct()
-    more = wanted.join(in_later, "node", "left_semi").join(in_first, "node", "left_anti")
-    more_sets = written(shingle_sets(docs, written(more, "wanted-later"), width, id_col, text_col), "sets-later")
-    later_links = verified(later, sets.union(more_sets), percent)
-    roots = written(components(written(links.union(later_links), "all-links")), "roots")
+    untried = later_pairs(members, roots, depths, depth).join(near, ["a", "b"], "left_anti")
+    later = written(estimated(untried, nodes, least).select("a", "b"), "later-pairs")
+    links = written(links.union(verified(later, sets, percent)), "all-links")
+    roots = written(components(links), "roots")
 
     placed = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("id").alias("component_id"))
