@@ -4,12 +4,15 @@ Documents with equal shingle sets are one node. A forest holds the nodes in seve
 a label of signature values. A run of nodes that share a label prefix is a region; nodes of a region are candidates, nearest
 first by the longest common prefix:
 
-1. Every node meets the first node of each of its regions at the least depth; the one with the best signature estimate is
-   verified on the full sets. Verified links give components, so a large group of near copies is already one component.
+1. Every node meets the most central node of each of its regions at the least depth (the one whose labels are most often their
+   region's commonest); the one with the best signature estimate is measured on the full sets. Links give components, so a large
+   group of near copies is already one component.
 2. In regions that still hold several components, sorted by the whole label, nodes meet their neighbours of other
    components on both sides: those with the longest common prefix. Verified links join the components.
 3. Regions that still hold several compare the nodes outside the largest component with all nodes of the region.
-   Where that is too much, the region goes on to deeper prefixes (adaptive depth); at full depth all is compared.
+   Where that is too much, the region goes on to deeper prefixes (adaptive depth); at full depth all is compared. Two nodes
+   measured against the same central node are left out if their distances to it differ by more than a link allows: Jaccard
+   distance obeys the triangle inequality.
 
 Pairs whose signatures agree far too little for the wanted similarity are dropped before sets are read; all others are verified on
 the full sets, and components of the verified links are the groups.
@@ -45,19 +48,22 @@ BROADCAST_NODES = 1_000_000
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str, trees: int, depth: int) -> DataFrame:
-    """``uid, doc_id, n_shingles, node, sig``: size, digest and signature of every document's shingle set."""
+    """``uid, doc_id, n_shingles, node, sig, sketch``: size, digest and signature of every document's shingle set; the
+    sketch holds the lowest byte of each signature value, eight in a long."""
 
-    @F.pandas_udf("n_shingles long, node binary, sig binary")
+    @F.pandas_udf("n_shingles long, node binary, sig binary, sketch array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo, minhash = WordHashes(), MinHasher(trees * depth)
         for texts in batches:
-            sizes, nodes, sigs = [], [], []
+            sizes, nodes, sigs, sketches = [], [], [], []
             for text in texts:
                 values = np.unique(shingle_hashes(words_of(text), memo, width))
                 sizes.append(values.size)
                 nodes.append(digest(values))
-                sigs.append(minhash(values).tobytes() if values.size else b"")
-            yield pd.DataFrame({"n_shingles": sizes, "node": nodes, "sig": sigs})
+                sig = minhash(values)
+                sigs.append(sig.tobytes() if values.size else b"")
+                sketches.append(sig.astype(np.uint8).view(np.int64))
+            yield pd.DataFrame({"n_shingles": sizes, "node": nodes, "sig": sigs, "sketch": sketches})
 
     return docs.select(
         row_id(id_col, F.col(text_col)).alias("uid"), F.col(id_col).alias("doc_id"), sign(F.col(text_col)).alias("_s")
@@ -69,12 +75,15 @@ def region_key(tree: int, depth: int, whole: int) -> Column:
     return F.xxhash64(F.lit(tree * 64 + depth), F.substring("sig", 1 + tree * whole * 4, depth * 4))
 
 
-def agreement(a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
-    def share(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([float(np.mean(np.frombuffer(p, np.uint32) == np.frombuffer(q, np.uint32))) for p, q in zip(x, y)], dtype="float64")
-
-    return share(a, b)
+def agreement(a: str, b: str, values: int) -> Column:
+    """Share of equal bytes of two sketch columns: the bits of each byte of the XOR are folded into its lowest one."""
+    differ = F.lit(0)
+    for k in range(values // 8):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(mask)
+        differ = differ + F.bit_count(x)
+    return 1 - differ / F.lit(float(values))
 
 
 def with_ids_of(docs: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
@@ -101,30 +110,56 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, te
     return found.dropDuplicates(["node", "id"]).join(same, (found["node"] == same["node"]) & found["id"].eqNullSafe(same["id"]), "left_semi").select("node", "shingles")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` with 100 * intersection >= percent * union, counted on the full sets."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, shared, united``: sizes of intersection and union of the full sets."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    union = F.size("sa") + F.size("sb") - shared
-    return both.filter(shared * 100 >= union * percent).select("a", "b")
+    return both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb") - shared).alias("united"))
+
+
+def linked(sizes: DataFrame, percent: int) -> DataFrame:
+    return sizes.filter(F.col("shared") * 100 >= F.col("united") * percent).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` with 100 * intersection >= percent * union, counted on the full sets."""
+    return linked(measured(pairs, sets), percent)
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def estimated(pairs: DataFrame, nodes: DataFrame, least: float, values: int) -> DataFrame:
     """``a, b, estimate`` for the pairs whose signatures agree enough."""
-    sig = nodes.select("node", "sig")
-    both = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(
-        sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b"
+    sig = nodes.select("node", "sketch")
+    both = pairs.join(sig.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(
+        sig.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b"
     )
-    return both.select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("estimate")).filter(F.col("estimate") >= least)
+    return both.select("a", "b", agreement("sa", "sb", values).alias("estimate")).filter(F.col("estimate") >= least)
 
 
-def first_round(members: DataFrame) -> DataFrame:
-    """``a, b``: every node with the first node of each of its regions."""
-    heads = members.groupBy("region").agg(F.min("node").alias("b"))
+def label_of(whole: int) -> Column:
+    return F.substring(F.col("sig"), F.col("tree") * (whole * 4) + 1, F.lit(whole * 4))
+
+
+def first_round(members: DataFrame, whole: int) -> DataFrame:
+    """``a, b``: every node with the most central node of each of its regions."""
+    labels = members.select("region", "node", label_of(whole).alias("label"))
+    common = labels.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(
+        F.max(F.struct("n", "label")).alias("top")
+    ).filter("top.n > 1").select("region", F.col("top.label").alias("label"))
+    central = labels.join(common, ["region", "label"], "left_semi").groupBy("node").agg(F.count("*").alias("central"))
+    ranked = members.select("region", "node").join(central, "node", "left").withColumn("central", F.coalesce("central", F.lit(0).cast("long")))
+    heads = ranked.groupBy("region").agg(F.max(F.struct("central", "node")).alias("top")).select("region", F.col("top.node").alias("b"))
     return members.join(heads, "region").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
 
 
+def anchors_of(sizes: DataFrame) -> DataFrame:
+    """``node, hub, far``: the central node a node was measured against and the distance; a hub is its own."""
+    far = (1 - F.col("shared") / F.col("united")).alias("far")
+    hubs = sizes.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.lit(0.0).alias("far")).distinct()
+    others = sizes.select(F.col("a").alias("node"), F.col("b").alias("hub"), far).join(hubs.select("node"), "node", "left_anti")
+    return hubs.union(others)
+
+
 def mixed_regions(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of regions with several components, with their ``root``, the region's largest component ``main``, its size
     ``m`` and ``s``, the nodes outside ``main``."""
@@ -138,8 +173,7 @@ def mixed_regions(members: DataFrame, roots: DataFrame) -> DataFrame:
 def neighbours(members: DataFrame, roots: DataFrame, whole: int) -> DataFrame:
     """``a, b`` of different components that are neighbours in a tree's sorted order, or next to each other but for nodes
     outside the region's largest component."""
-    label = F.substring(F.col("sig"), F.col("tree") * (whole * 4) + 1, F.lit(whole * 4))
-    rows = mixed_regions(members, roots).withColumn("label", label).select("region", "label", "node", "root", "main")
+    rows = mixed_regions(members, roots).withColumn("label", label_of(whole)).select("region", "label", "node", "root", "main")
     up = Window.partitionBy("region").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("region").orderBy(F.desc("label"), F.desc("node")).rowsBetween(Window.unboundedPreceding, -1)
     placed = F.struct("node", "root")
@@ -151,23 +185,36 @@ def neighbours(members: DataFrame, roots: DataFrame, whole: int) -> DataFrame:
     return pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
 
 
-def later_pairs(members: DataFrame, roots: DataFrame, depths: list[int], whole: int) -> DataFrame:
-    """``a, b`` of different components that share a region, split by depth where a region is too much work."""
-    rows, out = members, None
+def later_links(
+    members: DataFrame, roots: DataFrame, anchors: DataFrame, nodes: DataFrame, sets: DataFrame, depths: list[int], whole: int,
+    percent: int, least: float, values: int,
+) -> DataFrame:
+    """``a, b``: links between components in regions that hold several, split by depth where a region is too much work.
+
+    Nodes outside a region's largest component meet all its nodes inside the join, which compares distances to the common
+    central node, then sketches, then the full sets; only links leave it.
+    """
+    rows, out = members.join(anchors, "node", "left"), None
+    apart = (F.col("ha") == F.col("hb")) & (F.abs(F.col("fa") - F.col("fb")) > 1 - percent / 100 + 1e-9)
+    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
+    close = shared * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent
+    data = nodes.select("node", "sketch").join(sets, "node")
     for k, depth in enumerate(depths):
         placed = written(mixed_regions(rows, roots), "regions")
         fits = F.lit(True) if depth == depths[-1] else F.col("s") * F.col("m") <= REGION_WORK
-        here = placed.filter(fits)
-        left = here.filter("root <> main").select("region", F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = here.select("region", F.col("node").alias("b"), F.col("root").alias("rb"), "main")
-        pairs = left.join(right, (left["region"] == right["region"]) & (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))))
+        here = placed.filter(fits).select("region", "node", "root", "hub", "far", "main").join(data, "node")
+        left = here.filter("root <> main").toDF("a", "region", "ra", "ha", "fa", "mine", "ka", "sa").drop("mine")
+        right = here.toDF("b", "other_region", "rb", "hb", "fb", "main", "kb", "sb")
+        other = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
+        met = (F.col("region") == F.col("other_region")) & other & ~F.coalesce(apart, F.lit(False))
+        pairs = left.join(right, met & (agreement("ka", "kb", values) >= least) & close)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         out = pairs if out is None else out.union(pairs)
         if depth == depths[-1]:
             break
         deeper = depths[k + 1]
         key = F.xxhash64(F.lit(deeper), "tree", F.substring(F.col("sig"), F.col("tree") * (whole * 4) + 1, F.lit(deeper * 4)))
-        rows = placed.filter(~fits).select("tree", key.alias("region"), "node", "sig")
+        rows = placed.filter(~fits).select("tree", key.alias("region"), "node", "sig", "hub", "far")
     return out.distinct()
 
 
@@ -178,33 +225,33 @@ def near_duplicates(
     """``doc_id, n_shingles, component_id, kept, uid`` for every row; ``kept`` where the document names its group."""
     rows = written(signatures(docs, width, id_col, text_col, trees, depth), "signatures")
     nodes = written(
-        rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "nodes"
+        rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "nodes"
     )
     labelled = nodes.select("node", F.explode(F.array(*[
         F.struct(F.lit(t).alias("tree"), region_key(t, least_depth, depth).alias("region")) for t in range(trees)
     ])).alias("_r")).select("node", "_r.*")
     shared = labelled.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1").select("region")
-    members = written(labelled.join(shared, "region"), "members")
+    members = written(labelled.join(shared, "region").join(nodes.select("node", "sig"), "node"), "members")
 
     least = percent / 100 - MARGIN
     best = F.max(F.struct("estimate", "b")).alias("top")
     first = written(
-        estimated(first_round(members), nodes, least).groupBy("a").agg(best).select("a", F.col("top.b").alias("b")), "first-pairs"
+        estimated(first_round(members, depth), nodes, least, trees * depth).groupBy("a").agg(best).select("a", F.col("top.b").alias("b")), "first-pairs"
     )
     wanted = written(nodes.select("node", "id").join(members.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = written(shingle_sets(docs, wanted, width, id_col, text_col), "sets")
-    links = written(verified(first, sets, percent), "first-links")
+    sizes = written(measured(first, sets), "first-sizes")
+    links = linked(sizes, percent)
+    anchors = written(anchors_of(sizes), "anchors")
     roots = written(components(links), "roots")
 
-    members = written(members.join(nodes.select("node", "sig"), "node"), "signed-members")
-    near = written(estimated(neighbours(members, roots, depth), nodes, least).select("a", "b"), "neighbours")
+    near = written(estimated(neighbours(members, roots, depth), nodes, least, trees * depth).select("a", "b"), "neighbours")
     links = written(links.union(verified(near, sets, percent)), "near-links")
     roots = written(components(links), "roots")
 
     depths = list(range(least_depth, depth, 2)) + [depth]
-    untried = later_pairs(members, roots, depths, depth).join(near, ["a", "b"], "left_anti")
-    later = written(estimated(untried, nodes, least).select("a", "b"), "later-pairs")
-    links = written(links.union(verified(later, sets, percent)), "all-links")
+    later = later_links(members, roots, anchors, nodes, sets, depths, depth, percent, least, trees * depth)
+    links = written(links.union(later), "all-links")
     roots = written(components(links), "roots")
 
     placed = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
