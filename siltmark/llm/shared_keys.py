@@ -22,13 +22,14 @@ def picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """``uid, keys`` (array) -> ``uid, shared``: the keys that occur at least twice over all arrays.
+    """``uid, keys[, counts]`` (arrays, keys distinct) -> ``uid, shared``: the keys that occur at least twice over all documents.
 
-    Occurrences are counted map-side first, so a key that every document has costs a row per task.
+    Occurrences are summed map-side first, so a key that every document has costs a row per task.
     """
-    rows = keyed.select("uid", F.explode("keys").alias("key"))
-    often = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return rows.join(often, "key").groupBy("uid").agg(F.collect_set("key").alias("shared"))
+    item = F.arrays_zip("keys", "counts") if "counts" in keyed.columns else F.transform("keys", lambda k: F.struct(k.alias("keys"), F.lit(1).alias("counts")))
+    rows = keyed.select("uid", F.explode(item).alias("k")).select("uid", F.col("k.keys").alias("key"), F.col("k.counts").alias("n"))
+    often = rows.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    return rows.select("uid", "key").join(often, "key").groupBy("uid").agg(F.collect_list("key").alias("shared"))
 
 
 def split_copies(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

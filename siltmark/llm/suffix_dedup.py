@@ -36,23 +36,25 @@ from siltmark.llm.text import utf8_bytes, written
 LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
-#: A gram with more occurrences is resolved by grouping instead of one bucket.
-FREQUENT = 1500
+#: A gram with more occurrences (some 3 MB of bucket) is resolved by grouping instead of one bucket.
+FREQUENT = 20_000
 BATCH = 60_000
 CHUNK = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
-CONTEXT = "key long, doc_id long, uid long, at int, before binary, after binary"
+CONTEXT = "key long, doc_id long, uid long, at int, before binary, after binary, span int"
+
+
+_BYTES = np.random.default_rng(23).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
 def gram_hashes(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every 32-byte gram, by joining hashes of halves."""
-    h = codes.astype(np.uint64) + np.uint64(1)
-    span = 1
+    """A 64-bit hash of every 32-byte gram: a polynomial over random byte values, by joining halves, mixed at the end."""
+    h, span, power = _BYTES[codes], 1, 0x9E3779B97F4A7C15
     while span < GRAM:
-        h = mixed(h[:-span] * np.uint64(0x9E3779B97F4A7C15) + h[span:])
-        span *= 2
-    return h
+        h = h[:-span] * np.uint64(power) + h[span:]
+        span, power = span * 2, power * power % (1 << 64)
+    return mixed(h)
 
 
 def cover_sample(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,32 +86,54 @@ def cover_sample(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def keys_of(docs: DataFrame, text_col: str) -> DataFrame:
-    @F.pandas_udf("array<long>")
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """``uid, keys, counts``: the grams at sample positions and how often each occurs."""
+
+    @F.pandas_udf("keys array<long>, counts array<int>")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([cover_sample((t or "").encode())[3] for t in texts])
+            found = [np.unique(cover_sample((t or "").encode())[3], return_counts=True) for t in texts]
+            yield pd.DataFrame({"keys": [k for k, _ in found], "counts": [n.astype(np.int32) for _, n in found]})
 
-    return docs.select("uid", keys(F.col(text_col)).alias("keys"))
+    return docs.select("uid", keys(F.col(text_col)).alias("_k")).select("uid", "_k.*")
 
 
 def surroundings(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for every sample position with a repeated gram: the bytes its strings hold before and from it on."""
+    """A row for every sample position with a repeated gram: the bytes its strings hold before and from it on.
+
+    A position whose bytes stand at an earlier one of the same text is a row of ``span`` bytes to remove and nothing else, so a
+    text that repeats itself stays as small as it is.
+    """
+
+    def spots(raw: bytes, wanted: np.ndarray) -> list[tuple[int, int, bytes, bytes, int]]:
+        at, first, last, key = cover_sample(raw)
+        k = np.flatnonzero(np.isin(key, wanted))
+        found = list(zip(key[k].tolist(), at[k].tolist(), first[k].tolist(), last[k].tolist()))
+        if len(np.unique(key[k])) == k.size:
+            return [(g, a, raw[f:a], raw[a : b + LENGTH], 0) for g, a, f, b in found]
+        seen, out = set(), []
+        for g, a, f, b in found:
+            whole = (a - f, raw[f : b + LENGTH])
+            if whole in seen:
+                out.append((None, f, b"", b"", b + LENGTH - f))
+            else:
+                seen.add(whole)
+                out.append((g, a, raw[f:a], raw[a : b + LENGTH], 0))
+        return out
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for uid, doc_id, text, wanted in batch.itertuples(index=False):
-                raw = text.encode()
-                at, first, last, key = cover_sample(raw)
-                k = np.flatnonzero(np.isin(key, np.asarray(wanted, np.int64)))
-                if not k.size:
-                    continue
-                spots = list(zip(at[k].tolist(), first[k].tolist(), last[k].tolist()))
-                yield pd.DataFrame({
-                    "key": key[k], "doc_id": _LAST if pd.isna(doc_id) else int(doc_id), "uid": uid, "at": at[k].astype("int32"),
-                    "before": [raw[f:a] for a, f, _ in spots], "after": [raw[a : b + LENGTH] for a, _, b in spots],
-                })
-
-    rows = docs.select("uid", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropDuplicates(["uid"])
+            rows_, sizes = [], []
+            for text, wanted in zip(batch["text"], batch["shared"]):
+                found = spots(text.encode(), np.asarray(wanted, np.int64))
+                rows_ += found
+                sizes.append(len(found))
+            key, at, before, after, span = zip(*rows_) if rows_ else ((),) * 5
+            uid = np.repeat(batch["uid"].to_numpy("int64"), sizes)
+            doc_id = np.repeat(batch["doc_id"].to_numpy("int64"), sizes)
+            key = [u if k is None else k for k, u in zip(key, uid.tolist())]  # spans are dealt out by document
+            yield pd.DataFrame({"key": key, "doc_id": doc_id, "uid": uid, "at": at, "before": before, "after": after, "span": span})
+
+    rows = docs.select("uid", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text_col).alias("text")).dropDuplicates(["uid"])
     return rows.join(shared, "uid").mapInPandas(find, CONTEXT)
 
 
@@ -127,7 +151,12 @@ def _ranks(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def later_strings(rows: pd.DataFrame) -> pd.DataFrame:
-    """``uid, start, end`` of the strings in whole buckets that an earlier row has too."""
+    """``uid, start, end`` of the strings in whole buckets that an earlier row has too, and of the rows of a span."""
+    given = rows[rows["span"] > 0]
+    direct = pd.DataFrame({"uid": given["uid"], "start": given["at"].astype("int64"), "end": given["at"].astype("int64") + given["span"]})
+    rows = rows[rows["span"] == 0]
+    if not len(rows):
+        return direct
     rows = rows.iloc[np.lexsort((rows["at"], rows["uid"], rows["doc_id"]))]
     before, after = rows["before"].tolist(), rows["after"].tolist()
     names = [k.to_bytes(8, "big", signed=True) for k in rows["key"].tolist()]
@@ -151,7 +180,7 @@ def later_strings(rows: pd.DataFrame) -> pd.DataFrame:
         again = live[again]
         starts.append(at[again] - shift)
         owners.append(uid[again])
-    return joined(np.concatenate(owners), np.concatenate(starts)) if starts else joined(uid[:0], at[:0])
+    return pd.concat([direct, joined(np.concatenate(owners), np.concatenate(starts))]) if starts else direct
 
 
 def joined(uid: np.ndarray, start: np.ndarray) -> pd.DataFrame:
@@ -214,9 +243,10 @@ def by_strings(rows: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``uid, spans`` (array of byte ranges) of one row per text."""
     keyed = written(keys_of(docs, text_col), "sample-keys")
+    weighted = keyed.select(F.explode(F.arrays_zip("keys", "counts")).alias("k")).select(F.col("k.keys").alias("key"), F.col("k.counts").alias("n"))
     shared = written(shared_keys(keyed), "shared-keys")
     often = written(
-        keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > FREQUENT).select("key"),
+        weighted.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > FREQUENT).select("key"),
         "frequent-keys",
     )
     rows = surroundings(picked(docs, shared.select("uid"), "left_semi"), shared, id_col, text_col)
