@@ -35,6 +35,8 @@ SHINGLE = 5
 BANDS = 3
 LEAST_SENTENCE = 3
 BLOCK = 1024
+#: Groups up to this size are compared together, larger ones one by one.
+SMALL = 48
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -131,6 +133,30 @@ def links_of(found: DataFrame, percent: int) -> DataFrame:
         "band", F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high"), "_mine", "class", "shingles"
     )
 
+    def small(classes: np.ndarray, mine: np.ndarray, sets: np.ndarray, group: np.ndarray, split: np.ndarray):
+        """Pairs of the groups of at most ``SMALL`` classes, all groups at once."""
+        first, second = [], []
+        for gap in range(1, SMALL):
+            k = np.flatnonzero(group[gap:] == group[:-gap])
+            if not k.size:
+                break
+            first.append(k)
+            second.append(k + gap)
+        if not first:
+            return
+        a, b = np.concatenate(first), np.concatenate(second)
+        other = ~split[a] | (mine[a] != mine[b])
+        a, b = a[other], b[other]
+        size = (sets != np.iinfo(np.uint32).max).sum(1)
+        for at in range(0, a.size, 8192):
+            i, j = a[at : at + 8192], b[at : at + 8192]
+            left = sets[i]
+            both = (left[:, :, None] == sets[j][:, None, :]).any(2) & (left != np.iinfo(np.uint32).max)
+            shared = both.sum(1)
+            good = shared * 100 >= percent * (size[i] + size[j] - shared)
+            if good.any():
+                yield pd.DataFrame({"a": classes[i[good]], "b": classes[j[good]]})
+
     def close(classes: np.ndarray, mine: np.ndarray, sets: np.ndarray, low: int, high: int):
         if len(classes) == 1:
             return
@@ -172,10 +198,13 @@ def links_of(found: DataFrame, percent: int) -> DataFrame:
     def groups(rows_: pd.DataFrame, keys: np.ndarray, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
         classes, mine = rows_["class"].to_numpy(), rows_["_mine"].to_numpy()
         sets_ = np.frombuffer(b"".join(rows_["shingles"]), np.uint32).reshape(len(rows_), -1)
-        begin = 0
-        for end in cuts.tolist():
+        begins = np.concatenate([[0], cuts[:-1]])
+        sizes = cuts - begins
+        few = np.repeat(sizes <= SMALL, sizes)
+        k = np.flatnonzero(few)
+        yield from small(classes[k], mine[k], sets_[k], np.repeat(np.arange(cuts.size), sizes)[k], keys[k, 1] != keys[k, 2])
+        for begin, end in zip(begins[sizes > SMALL].tolist(), cuts[sizes > SMALL].tolist()):
             yield from close(classes[begin:end], mine[begin:end], sets_[begin:end], int(keys[begin][1]), int(keys[begin][2]))
-            begin = end
 
     placed = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
     return placed.mapInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
