@@ -58,7 +58,7 @@ def threshold_metrics(
     hit = s >= 0.5
     p = F.least(F.greatest(s, F.lit(1e-6)), F.lit(1.0 - 1e-6))
     loss = F.when(y, -F.ln(p)).otherwise(-F.ln(1.0 - p))
-    agg = df.groupBy(*keys).agg(
+    agg = df.filter(s.isNotNull() & y.isNotNull()).groupBy(*keys).agg(
         F.count_if(y & hit).alias("_tp"), F.count_if(~y & hit).alias("_fp"),
         F.count_if(y & ~hit).alias("_fn"), F.avg(loss).alias("log_loss"),
     )

@@ -15,6 +15,7 @@ from siltmark.operators.longform import (
 )
 from siltmark.plans import twins as S
 from siltmark.plans.datasets import (
+    EVENTS_SQL,
     EVENTS,
     EVENTS_SIDES_SQL,
     LINEITEM,
@@ -171,7 +172,9 @@ def chi2_lineitem(spark, sf_dir):
     return chi2.chi2_homogeneity(ref, cur, LINEITEM, p_value=False)
 
 
-@query("chi2_pvalue_orders")
+@query("chi2_pvalue_orders", f"""
+WITH {ORDERS_SIDES_SQL},{S.category_ctes('ref', 'cur', ORDER_CAT)},{S.CHI2},{S.CHI2_P}
+SELECT * FROM chi2_p""")
 def chi2_pvalue_orders(spark, sf_dir):
     ref, cur = orders_sides(spark, sf_dir)
     return chi2.chi2_homogeneity(ref, cur, ORDER_FEATURES)
@@ -368,6 +371,31 @@ def segment_drift_events(spark, sf_dir):
     )
 
 
+# Views are counted as a segment without a name; one declared feature has no column.
+NULL_SEGMENT = "CASE WHEN event_type = 'view' THEN NULL ELSE event_type END"
+
+
+@query("segment_drift_null_events", f"""
+WITH {EVENTS_SQL},
+ref AS (SELECT * FROM ev WHERE "timestamp" < TIMESTAMP '2024-01-09 00:00:00'),
+cur AS (SELECT * EXCLUDE event_type, coalesce({NULL_SEGMENT}, '(none)') AS event_type
+        FROM ev WHERE "timestamp" >= TIMESTAMP '2024-01-09 00:00:00'),
+{S.psi_numerical_ctes('ref', 'cur', ['value', 'k'], ['event_type'])},
+{S.psi_sum_sql(['event_type'])},
+sizes AS (SELECT event_type, count(*) AS sample_count FROM cur GROUP BY event_type),
+every AS (SELECT event_type, feature, psi, ref_n, cur_n FROM psi_num
+          UNION ALL SELECT event_type, 'absent', 0.0, 0, 0 FROM sizes)
+SELECT nullif(event_type, '(none)') AS event_type, feature, psi, {S.STATUS} AS status, ref_n, cur_n, sample_count,
+       max(psi) OVER (PARTITION BY event_type) AS max_psi
+FROM every JOIN sizes USING (event_type)""")
+def segment_drift_null_events(spark, sf_dir):
+    ref, cur = events_sides(spark, sf_dir)
+    cur = cur.withColumn("event_type", F.expr(NULL_SEGMENT))
+    return drift.segment_drift(ref, cur, [*EVENTS[:2], Feature("absent")], "event_type").select(
+        "event_type", "feature", "psi", "status", "ref_n", "cur_n", "sample_count", "max_psi"
+    )
+
+
 @query("segment_drift_documents", f"""
 WITH cur AS (SELECT source, lang, n_chars FROM documents), ref AS (SELECT * FROM cur),
 {S.psi_numerical_ctes('ref', 'cur', ['n_chars'], ['source'])},{S.psi_sum_sql(['source'])},

@@ -304,6 +304,37 @@ def ingest_new_files(spark, sf_dir):
     )
 
 
+@query("ingest_hostile_files", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'café ' || o_orderkey END AS note,
+       (SELECT count(DISTINCT o_orderstatus) FROM orders)::BIGINT AS done FROM orders""")
+def ingest_hostile_files(spark, sf_dir):
+    """One folder with a space in its name, a Latin-1 body under an ASCII header, Parquet files whose types clash, a
+    damaged file and a malformed JSON line: every sound row once, and only sound files in the ledger."""
+    import warnings
+
+    base = workspace(spark, "hostile") + "/in coming"
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    one = o.filter("o_orderstatus = 'F'").select("o_orderkey", F.concat(F.lit("café "), "o_orderkey").alias("note"))
+    one.coalesce(1).write.options(header=True, encoding="ISO-8859-1").csv(f"{base}/a")
+    o.filter("o_orderstatus = 'O'").select("o_orderkey").coalesce(1).write.parquet(f"{base}/b")
+    o.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").cast("string")).coalesce(1).write.parquet(f"{base}/c")
+    o.limit(2).select(F.lit("PAR1 is not enough").alias("value")).coalesce(1).write.text(f"{base}/d")
+    o.limit(1).select(F.lit('{"o_orderkey": 1').alias("value")).coalesce(1).write.text(f"{base}/e")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder, ending in (("d", "parquet"), ("e", "jsonl")):  # text written under another ending
+        for status in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{folder}")):
+            if status.getPath().getName().endswith(".txt"):
+                fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{folder}/file.{ending}"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the damaged files are the case
+        rows, ledger = ingest.ingest_new_files(spark, f"{base}/*/*.*")
+        again, _ = ingest.ingest_new_files(spark, f"{base}/*/*.*", ledger)
+    assert again is None, "a file was read twice"
+    return rows.select(
+        F.col("o_orderkey").cast("long").alias("o_orderkey"), "note", F.lit(ledger.count()).cast("long").alias("done")
+    )
+
+
 @query("ingest_end_to_end", f"""
 WITH {HARMONIZED} SELECT request_id, source_id, round(amount, 6) + 0.0 AS amount, urgency,
   'SUCCESS' AS status, (SELECT count(*) FROM orders) AS record_count FROM h""")

@@ -160,7 +160,7 @@ metrics AS (SELECT model, round(roc_auc, 4) AS roc_auc, round(pr_auc, 4) AS pr_a
    FROM auc JOIN ap USING (model) JOIN cut USING (model))"""
 
 
-def both_models(spark, sf_dir):
+def both_models(spark, sf_dir, *keep):
     """Both models score every lineitem; scored in one pass, exploded to one row per model."""
     df = table(spark, sf_dir, "lineitem")
     returned = F.col("l_returnflag") == "R"
@@ -171,7 +171,7 @@ def both_models(spark, sf_dir):
         F.struct(F.lit("champion").alias("model"), (F.col("l_quantity") / 50.0).alias("score")),
         F.struct(F.lit("challenger").alias("model"), second.alias("score")),
     )
-    return df.select(returned.cast("int").alias("label"), F.inline(pairs))
+    return df.select(*keep, returned.cast("int").alias("label"), F.inline(pairs))
 
 
 @query("roc_auc", f"WITH {SCORED_SQL} SELECT model, round(roc_auc, 6) AS roc_auc FROM auc")
@@ -203,6 +203,18 @@ def binary_metrics(spark, sf_dir):
     return evaluation.binary_metrics(both_models(spark, sf_dir))
 
 
+@query("binary_metrics_gaps", "WITH " + SCORED_SQL.replace(
+    "FROM lineitem", "FROM lineitem WHERE l_linestatus <> 'O' AND l_linenumber <> 7"
+) + " SELECT * FROM metrics")
+def binary_metrics_gaps(spark, sf_dir):
+    """Rows whose score is NULL or NaN take no part."""
+    gap = F.when(F.col("l_linestatus") == "O", F.lit(None)).when(F.col("l_linenumber") == 7, F.lit(float("nan")))
+    rows = both_models(spark, sf_dir, "l_linestatus", "l_linenumber")
+    return evaluation.binary_metrics(
+        rows.withColumn("score", F.when((F.col("l_linestatus") == "O") | (F.col("l_linenumber") == 7), gap).otherwise(F.col("score")))
+    )
+
+
 @query("champion_challenger", f"""
 WITH {SCORED_SQL}, c AS (SELECT * FROM metrics WHERE model = 'champion'),
 n AS (SELECT * FROM metrics WHERE model = 'challenger')

@@ -134,14 +134,27 @@ def quality_report(spark, sf_dir):
     return report(spark, sf_dir)[2]
 
 
-@query("quality_missing")
+@query("quality_missing", """
+WITH n AS (SELECT count(*) AS total_rows,
+                  round(count(*) FILTER (WHERE event_type NOT IN ('click', 'view', 'purchase'))
+                        / greatest(count(event_type), 1), 4) + 0.0 AS unknown FROM events),
+found AS (
+  SELECT 'event_type' AS feature, 'oov_categories' AS "check", 'WARNING' AS severity, unknown AS metric_value,
+         'Feature ''event_type'' has ' || printf('%.1f', unknown * 100)
+           || '% out-of-vocabulary values (allowed: [click, purchase, view])' AS message FROM n WHERE unknown > 0.02
+  UNION ALL SELECT c, 'missing_column', 'CRITICAL', NULL, 'Expected column ''' || c || ''' is missing from inference logs'
+  FROM (VALUES ('k'), ('amount')) m(c))
+SELECT *, FALSE AS passed, (SELECT total_rows FROM n) AS total_rows FROM found""")
 def quality_missing(spark, sf_dir):
     df = table(spark, sf_dir, "events")
     found, _, summary = quality.quality_report(df, [*EVENTS, Feature("amount")], RULES)
     return found.join(F.broadcast(summary.select("passed", "total_rows")))
 
 
-@query("quality_empty")
+@query("quality_empty", """
+SELECT 'dataset' AS feature, 'empty_dataset' AS "check", 'CRITICAL' AS severity, NULL::DOUBLE AS metric_value,
+       'Batch has 0 records' AS message, FALSE AS passed, 0::BIGINT AS total_rows
+WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_type = 'no such type')""")
 def quality_empty(spark, sf_dir):
     none = events(spark, sf_dir).filter(F.col("event_type") == "no such type")
     found, _, summary = quality.quality_report(none, EVENTS, RULES)

@@ -186,11 +186,18 @@ chi_tot AS (SELECT *, sum(r1) OVER f AS rt, sum(c1) OVER f AS ct FROM chi_cells
             WINDOW f AS (PARTITION BY feature)),
 chi_terms AS (SELECT feature, k, rn, cn, r1, c1, (r1 + c1) * rt / (rt + ct) AS er,
                      (r1 + c1) * ct / (rt + ct) AS ec FROM chi_tot),
-chi2 AS (SELECT feature, round(CASE WHEN max(k) > 1 AND max(rn) > 0 AND max(cn) > 0 THEN sum(
+chi_raw AS (SELECT feature, (CASE WHEN max(k) > 1 AND max(rn) > 0 AND max(cn) > 0 THEN sum(
             power(abs(r1 - er) - CASE WHEN k = 2 THEN least(0.5, abs(r1 - er)) ELSE 0 END, 2) / er
           + power(abs(c1 - ec) - CASE WHEN k = 2 THEN least(0.5, abs(c1 - ec)) ELSE 0 END, 2) / ec)
-          ELSE 0.0 END, 4) + 0.0 AS chi2_statistic, CAST(max(k) - 1 AS BIGINT) AS dof,
+          ELSE 0.0 END) AS x, CAST(max(k) - 1 AS BIGINT) AS dof,
           max(rn) AS ref_n, max(cn) AS cur_n
-         FROM chi_terms GROUP BY feature)"""
+         FROM chi_terms GROUP BY feature),
+chi2 AS (SELECT feature, round(x, 4) + 0.0 AS chi2_statistic, dof, ref_n, cur_n FROM chi_raw)"""
+
+# The survival function is a finite sum for an even number of degrees of freedom.
+CHI2_P = """
+chi2_p AS (SELECT chi2.*, round(list_sum([exp(-x / 2) * power(x / 2, j) / factorial(j::INT)
+                                          for j in range(chi2.dof // 2)]), 6) + 0.0 AS chi2_p_value
+           FROM chi2 JOIN chi_raw USING (feature) WHERE chi2.dof % 2 = 0)"""
 
 STATUS = "CASE WHEN psi >= 0.20 THEN 'DRIFT' WHEN psi >= 0.10 THEN 'WARNING' ELSE 'STABLE' END"
