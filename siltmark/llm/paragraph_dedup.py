@@ -93,28 +93,38 @@ def bands_of(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def colliding(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``uid, doc_id, start, end, class, bands, shingles`` of the paragraphs that hold a shared band."""
-    fields = "uid long, doc_id long, start int, end int, class long, bands array<long>, shingles binary"
+    """``uid, doc_id, start, end, class, b0, b1, b2, shingles`` of the paragraphs that hold a shared band; a band that is not
+    shared is NULL."""
+    fields = "uid long, doc_id long, start int, end int, class long, b0 long, b1 long, b2 long, hits int, shingles binary"
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
         for batch in batches:
-            out = []
-            for uid, doc_id, text, keys in batch.itertuples(index=False):
+            found = []
+            for text, keys in zip(batch["text"], batch["shared"]):
                 start, end, sets = paragraphs(text, memo)
-                low = sets[:, :BANDS].view(np.int64)
-                hit = np.isin(low, np.asarray(keys, np.int64))
+                hit = np.isin(sets[:, :BANDS].view(np.int64), np.asarray(keys, np.int64))
                 k = np.flatnonzero(hit.any(1))
-                short = (sets[k] >> np.uint64(32)).astype(np.uint32)
-                out.append(pd.DataFrame({
-                    "uid": uid, "doc_id": doc_id, "start": start[k].astype("int32"), "end": end[k].astype("int32"), "class": class_of(sets[k]),
-                    "bands": [b[h] for b, h in zip(low[k], hit[k])], "shingles": [s.tobytes() for s in short],
-                }))
-            if out:
-                yield pd.concat(out, ignore_index=True).astype({"doc_id": "Int64"})
-
-    rows = docs.select("uid", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropDuplicates(["uid"])
-    return rows.join(shared, "uid").mapInPandas(find, fields)
+                found.append((start[k], end[k], sets[k], hit[k]))
+            if not found:
+                continue
+            sizes = [len(f[0]) for f in found]
+            start, end, sets, hit = (np.concatenate(x) for x in zip(*found))
+            raw = (sets >> np.uint64(32)).astype(np.uint32).tobytes()
+            step = 4 * sets.shape[1]
+            yield pd.DataFrame({
+                "uid": np.repeat(batch["uid"].to_numpy("int64"), sizes), "doc_id": np.repeat(batch["doc_id"].to_numpy("int64"), sizes),
+                "start": start.astype("int32"), "end": end.astype("int32"), "class": class_of(sets),
+                **{f"b{j}": np.ascontiguousarray(sets[:, j]).view(np.int64) for j in range(BANDS)},
+                "hits": (hit * (1 << np.arange(BANDS))).sum(1).astype("int32"),
+                "shingles": [raw[at : at + step] for at in range(0, len(raw), step)],
+            })
+
+    last = F.lit(int(np.iinfo(np.int64).max))
+    rows = docs.select("uid", F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.col(text_col).alias("text")).dropDuplicates(["uid"])
+    out = rows.join(shared, "uid").mapInPandas(find, fields)
+    known = {f"b{j}": F.when(F.col("hits").bitwiseAND(1 << j) != 0, F.col(f"b{j}")) for j in range(BANDS)}
+    return out.withColumns({**known, "doc_id": F.nullif("doc_id", last)}).drop("hits")
 
 
 def links_of(found: DataFrame, percent: int) -> DataFrame:
@@ -123,7 +133,8 @@ def links_of(found: DataFrame, percent: int) -> DataFrame:
     Bands are dealt in blocks of about ``BLOCK`` classes; every pair of blocks meets in one task, where sets are compared as
     sparse rows. A band of any size is thus compared wholly, and memory holds two blocks.
     """
-    rows = found.select(F.explode("bands").alias("band"), "class").distinct()
+    bands = F.array_compact(F.array(*[f"b{j}" for j in range(BANDS)]))
+    rows = found.select(F.explode(bands).alias("band"), "class").distinct()
     many = rows.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
     rows = written(rows.join(many, "band"), "bands")
     sets = found.join(rows.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("shingles").alias("shingles"))

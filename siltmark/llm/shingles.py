@@ -35,7 +35,7 @@ def shingle_hashes(words: list[bytes], memo: WordHashes, width: int) -> np.ndarr
     """Hashes of the shingles in order of place; fewer words than ``width`` are one shingle, none give none."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter((memo[w] for w in words), np.uint64, len(words))
+    h = np.array(list(map(memo.__getitem__, words)), np.uint64)
     span = min(width, h.size)
     out = np.full(h.size - span + 1, span, np.uint64)
     for k in range(span):

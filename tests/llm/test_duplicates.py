@@ -128,8 +128,8 @@ def test_links_of_paragraphs_equal_brute_force(spark, monkeypatch, block):
     base = draw.choice(1 << 32, size=(8, width + 30), replace=False).astype(np.uint64) << np.uint64(32)
     sets = np.sort(np.array([np.concatenate([b[: width - k], b[width : width + k]]) for b in base for k in range(6)]), axis=1)
     classes = paragraph_dedup.class_of(sets).tolist()
-    rows = [(c, s[: paragraph_dedup.BANDS].view(np.int64).tolist(), bytearray((s >> np.uint64(32)).astype(np.uint32).tobytes())) for c, s in zip(classes, sets)]
-    frame = spark.createDataFrame(rows, "class long, bands array<long>, shingles binary")
+    rows = [(c, *s[: paragraph_dedup.BANDS].view(np.int64).tolist(), bytearray((s >> np.uint64(32)).astype(np.uint32).tobytes())) for c, s in zip(classes, sets)]
+    frame = spark.createDataFrame(rows, "class long, b0 long, b1 long, b2 long, shingles binary")
     got = {(r.a, r.b) for r in paragraph_dedup.links_of(frame, 80).collect()}
     want = set()
     for i, a in enumerate(sets):
