@@ -50,6 +50,7 @@ def alert_candidates(
     p_text = F.coalesce(p.cast("string"), F.lit("N/A"))
     hours = F.lit(rules.cooldown_hours)
     place = F.col("position") if "position" in metrics.columns else F.lit(0)
+    # The sentences of the messages, here and below, are part of the report format.
     drifted = metrics.filter(F.col("status").isin("DRIFT", "WARNING")).select(
         F.col(run_id).alias("run_id"), f.alias("feature_name"),
         F.lit("FEATURE_DRIFT").alias("alert_type"),

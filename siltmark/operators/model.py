@@ -192,6 +192,7 @@ def heuristic_score(df: DataFrame) -> Column:
 
     credit, income = field("credit_score"), field("annual_income")
     income = F.when(income.isNotNull(), F.greatest(income, F.lit(1000.0)))  # unknown stays unknown
+    # Steps, limits and bounds of the rule-based score.
     score = (
         F.lit(0.2)
         + F.when(credit < 580, 0.35).when(credit < 670, 0.15).otherwise(0.0)
@@ -203,6 +204,7 @@ def heuristic_score(df: DataFrame) -> Column:
 
 def logistic_fallback_score(df: DataFrame) -> Column:
     """Logistic curve of the credit score, centred on 620."""
+    # Default, centre and width of the curve.
     credit = numeric(df, "credit_score") if "credit_score" in df.columns else F.lit(650.0)
     return 1.0 / (1.0 + F.exp((credit - 620.0) / 60.0))
 

@@ -112,6 +112,7 @@ def violations(
         )
 
     warning, critical = F.lit("WARNING"), F.lit("CRITICAL")
+    # The sentences of the messages are part of the report format.
     rows = F.array(
         F.when(null > rules.max_null_pct, row(
             "null_rate_exceeded",
@@ -138,6 +139,7 @@ def violations(
 
 def missing_columns(df: DataFrame, features: Iterable[Feature]) -> DataFrame:
     """CRITICAL row per declared feature that the table does not have."""
+    # Report sentences, here and in the next function.
     rows = [
         (f.name, "missing_column", "CRITICAL", None,
          f"Expected column '{f.name}' is missing from inference logs")

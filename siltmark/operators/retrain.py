@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import Rules
-from siltmark.functions.columns import fixed
+from siltmark.functions.columns import fixed, unwrapped, wrapped
 
 
 def retrain_decision(
@@ -36,10 +36,11 @@ def retrain_decision(
         drifted = prediction.filter("status = 'DRIFT'").select(
             *keys, F.col("psi").alias("_pred")
         )
-        agg = agg.join(drifted, keys, "left")
+        agg = unwrapped(wrapped(agg, keys).join(wrapped(drifted, keys), keys, "left"), keys)
     else:
         agg = agg.withColumn("_pred", F.lit(None).cast("double"))
     names = F.array_join(F.transform("_names", lambda s: s["feature"]), ", ")
+    # The sentences of the reasons are part of the report format.
     reasons = F.array_compact(F.array(
         F.when(F.col("severe_count") >= rules.severe_feature_count, F.concat(
             F.col("severe_count").cast("string"),

@@ -81,6 +81,7 @@ def combine_runs(
         severe, warn, F.col("prediction_status"), F.col("passed"),
         F.coalesce("warning_count", zero), rules,
     )
+    # The sentence of a skipped run.
     note = F.concat(
         F.lit("Batch contained "), F.col("sample_count").cast("string"),
         F.lit(f" samples (minimum required: {rules.min_samples}). Drift computation skipped."),
