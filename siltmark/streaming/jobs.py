@@ -78,6 +78,29 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     ).select(*keys, "_v.*")
 
 
+def compact(spark: SparkSession, path: str, keys: Sequence[str]) -> None:
+    """Fold the batches written so far into the newest of them, so that an update-mode sink keeps one row per key.
+
+    May run beside the stream: batches that end later are not touched, and the folded rows carry the number of a
+    batch that has ended. A run that breaks off leaves the rows in their old folders or in the new one, never in none.
+    """
+    rows = spark.read.option("basePath", path).parquet(path)
+    newest = rows.agg(F.max("batch_id")).first()[0]
+    if newest is None:
+        return
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    folded = hadoop.Path(f"{path}/_folded-{newest}")
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    latest = rows.filter(F.col("batch_id") <= newest).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v"))
+    latest.select(*keys, "_v.*").write.mode("overwrite").parquet(folded.toString())
+    old = [x.getPath() for x in files.listStatus(hadoop.Path(path)) if x.getPath().getName().startswith("batch_id=")]
+    for part in old:
+        if int(part.getName().split("=")[1]) <= newest:
+            files.delete(part, True)
+    files.rename(folded, hadoop.Path(f"{path}/batch_id={newest}"))
+
+
 def stream_window_counts(
     logs: DataFrame,
     features: Iterable[Feature],

@@ -12,6 +12,7 @@ from siltmark.config import CATEGORICAL, Feature
 from siltmark.operators import model
 from siltmark.operators.longform import with_window
 from siltmark.sources import files, ingest, partitions
+from siltmark.streaming import jobs
 
 FEATURES = [Feature("annual_income"), Feature("credit_score"), Feature("kind", CATEGORICAL)]
 
@@ -110,3 +111,14 @@ def test_training_takes_the_last_days(spark):
     )
     out = model.training_set(base, logs, [Feature("x")], now="2024-03-01 00:00:00")
     assert out.count() == 1 + 7 * 24 + 1
+
+
+def test_compacted_sink_keeps_the_last_value_per_key(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    for batch, rows in enumerate(([("a", 1), ("b", 1)], [("a", 2)], [("c", 5), ("b", 7)])):
+        jobs._by_batch(path)(spark.createDataFrame(rows, "cell string, count long"), batch)
+    before = sorted(tuple(r) for r in jobs.read_latest(spark, path, ["cell"]).collect())
+    jobs.compact(spark, path, ["cell"])
+    spark.catalog.refreshByPath(path)
+    assert sorted(tuple(r) for r in jobs.read_latest(spark, path, ["cell"]).collect()) == before == [("a", 2), ("b", 7), ("c", 5)]
+    assert sorted(p.name for p in (tmp_path / "sink").iterdir() if not p.name.startswith(".")) == ["batch_id=2"]
