@@ -39,3 +39,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 edges.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct()
             )
         mark = now
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` after further ``links`` (``a, b``): only links between different components are searched anew."""
+    known = roots.select(F.col("node").alias("n"), F.col("root").alias("r"))
+    ends = links.join(known, F.col("a") == F.col("n"), "left").select("a", "b", F.coalesce("r", "a").alias("ra"))
+    ends = ends.join(known, F.col("b") == F.col("n"), "left").select("a", "b", "ra", F.coalesce("r", "b").alias("rb"))
+    ends = written(ends.filter("ra <> rb").select("ra", "rb").distinct(), "links-between")
+    moved = components(ends, "ra", "rb").select(F.col("node").alias("r"), F.col("root").alias("s"))
+    kept = roots.select("node", F.col("root").alias("r")).join(moved, "r", "left").select("node", F.coalesce("s", "r").alias("root"))
+    fresh = moved.select(F.col("r").alias("node"), F.col("s").alias("root")).join(roots.select("node"), "node", "left_anti")
+    return kept.union(fresh)

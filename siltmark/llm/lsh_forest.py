@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmark.llm.components import components
+from siltmark.llm.components import components, extended
 from siltmark.llm.shared_keys import picked, row_id
 from siltmark.llm.shingles import MinHasher, WordHashes, digest, shingle_hashes, words_of
 from siltmark.llm.text import written
@@ -246,13 +246,11 @@ def near_duplicates(
     roots = written(components(links), "roots")
 
     near = written(estimated(neighbours(members, roots, depth), nodes, least, trees * depth).select("a", "b"), "neighbours")
-    links = written(links.union(verified(near, sets, percent)), "near-links")
-    roots = written(components(links), "roots")
+    roots = written(extended(roots, verified(near, sets, percent)), "roots")
 
     depths = list(range(least_depth, depth, 2)) + [depth]
     later = later_links(members, roots, anchors, nodes, sets, depths, depth, percent, least, trees * depth)
-    links = written(links.union(later), "all-links")
-    roots = written(components(links), "roots")
+    roots = written(extended(roots, later), "roots")
 
     placed = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("id").alias("component_id"))
