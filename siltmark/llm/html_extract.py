@@ -141,7 +141,7 @@ def containers(root: Node) -> list[Node]:
     for node in reversed(order):
         if node.left_out:
             continue
-        own = sum(len(SPACES.sub(" ", x).strip()) for x in node.items if isinstance(x, str))
+        own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
         inside = [c for c in node.items if isinstance(c, Node)]
         node.prose = own + sum(c.prose for c in inside)
         node.links = (own if node.tag == "a" else 0) + sum(c.links for c in inside)
