@@ -1,7 +1,9 @@
 """Repeated passages by MinHash banding of paragraphs.
 
 A paragraph is a stretch of ``WORDS`` words from the start of a sentence or line, in long ones also from every ``STEP``-th word
-on, so a passage has the same paragraphs wherever it stands. The bands of a paragraph are its three smallest shingle hashes:
+on, and from every word whose shingle hash is the smallest of ``REACH`` starts in a row. The last depend on nothing but these
+words, so any passage of ``WORDS + REACH - 1`` words has a common paragraph wherever it stands, with or without sentences, the
+first and the last at most ``REACH - 1`` words from its ends. The bands of a paragraph are its three smallest shingle hashes:
 of two full paragraphs (``WORDS - 4`` different shingles each) with a Jaccard similarity of 0.8 or more, at most two shingles
 are missing from the other, so at least one of three smallest is shared: recall is 1 by count, not by chance.
 
@@ -9,6 +11,8 @@ are missing from the other, so at least one of three smallest is shared: recall
 2. Their paragraphs with a shared band are classes of equal shingle sets. Classes that collide in a band are verified on exact
    sets, in blocks of bounded size whose pairs never leave the task: only links do.
 3. Components of links are clusters. In each the earliest document keeps its text; the paragraphs of all other documents go.
+4. They grow on both sides over the words that an earlier document of the cluster has there too, up to ``REACH - 1`` words,
+   which is as far as an end can be.
 
 Defined cases: NULL is the empty text; texts under ``WORDS`` words have no paragraph and stay whole; a copy of an earlier
 whole text loses all its paragraphs; repetitions inside one document stay; rows equal in id and text are one document and get equal
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.llm.components import components
@@ -31,8 +35,11 @@ from siltmark.llm.text import utf8_bytes, written
 
 WORDS = 24
 STEP = 16
+#: Starts in a row of which one is taken by its hash: those of a passage of 51 words.
+REACH = 51 - WORDS + 1
 SHINGLE = 5
 BANDS = 3
+#: Shorter sentences give no start of their own; starts by hash are in them too.
 LEAST_SENTENCE = 3
 BLOCK = 1024
 #: Groups up to this size are compared together, larger ones one by one.
@@ -44,17 +51,48 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
 
-def paragraphs(text: str | None, memo: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(first bytes, end bytes, sorted shingle hashes)`` of a text's paragraphs; repeated shingles are at the row's end as the largest number."""
+def document_order() -> Column:
+    """Earlier documents are smaller."""
+    return F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")
+
+
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and end bytes of the words."""
+    inside = np.concatenate([[False], ~_WHITE[np.frombuffer(raw, np.uint8)], [False]])
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    return turns[::2], turns[1::2]
+
+
+def sliding(values: np.ndarray, size: int, op: np.ufunc) -> np.ndarray:
+    """``op`` over every ``size`` values in a row."""
+    done = 1
+    out = values
+    while done < size:
+        step = min(done, size - done)
+        out = op(out[:-step], out[step:])
+        done += step
+    return out
+
+
+def starts_by_hash(hashes: np.ndarray) -> np.ndarray:
+    """Places whose hash is the smallest of some ``REACH`` in a row (of all, if there are fewer); equal ones all count."""
+    size = min(REACH, hashes.size)
+    if not size:
+        return np.zeros(0, np.int64)
+    around = np.zeros(size - 1, np.uint64)
+    return np.flatnonzero(hashes == sliding(np.concatenate([around, sliding(hashes, size, np.minimum), around]), size, np.maximum))
+
+
+def windows(text: str | None, memo: WordHashes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with their first and end bytes, first words of the text's paragraphs and their sorted shingle hashes; repeated
+    shingles are at the row's end as the largest number."""
     none = np.zeros(0, np.int64)
     raw = (text or "").encode()
     words = raw.lower().split()
     if len(words) < WORDS:
-        return none, none, np.zeros((0, WORDS - SHINGLE + 1), np.uint64)
+        return words, none, none, none, np.zeros((0, WORDS - SHINGLE + 1), np.uint64)
+    starts, ends = word_bounds(raw)
     codes = np.frombuffer(raw, np.uint8)
-    inside = np.concatenate([[False], ~_WHITE[codes], [False]])
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = turns[::2], turns[1::2]
     lines = np.cumsum(codes == 10)
     closed = _STOP[codes[ends - 1]]
     closed[:-1] |= lines[starts[1:]] > lines[ends[:-1] - 1]
@@ -64,14 +102,23 @@ def paragraphs(text: str | None, memo: WordHashes) -> tuple[np.ndarray, np.ndarr
     parts = np.where(length > WORDS, (length + STEP - 1) // STEP, 1)
     offset = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     at = np.repeat(sentence, parts) + STEP * offset
-    at = at[at + WORDS <= len(words)]
     hashes = shingle_hashes(words, memo, SHINGLE)
-    sets = np.sort(np.lib.stride_tricks.sliding_window_view(hashes, WORDS - SHINGLE + 1)[at], axis=1) if at.size else np.zeros((0, WORDS - SHINGLE + 1), np.uint64)
+    taken = np.zeros(len(words) - WORDS + 1, bool)
+    taken[at[at < taken.size]] = True
+    taken[starts_by_hash(hashes[: taken.size])] = True
+    at = np.flatnonzero(taken)
+    sets = np.sort(np.lib.stride_tricks.sliding_window_view(hashes, WORDS - SHINGLE + 1)[at], axis=1)
     again = sets[:, 1:] == sets[:, :-1]
     if again.any():
         sets[:, 1:][again] = np.iinfo(np.uint64).max
         sets.sort(axis=1)
-    return starts[at], ends[at + WORDS - 1] if at.size else none, sets
+    return words, starts, ends, at, sets
+
+
+def paragraphs(text: str | None, memo: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(first bytes, end bytes, sorted shingle hashes)`` of a text's paragraphs."""
+    _, starts, ends, at, sets = windows(text, memo)
+    return starts[at], ends[at + WORDS - 1], sets
 
 
 def class_of(sets: np.ndarray) -> np.ndarray:
@@ -93,31 +140,36 @@ def bands_of(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def colliding(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``uid, doc_id, start, end, class, b0, b1, b2, shingles`` of the paragraphs that hold a shared band; a band that is not
-    shared is NULL."""
-    fields = "uid long, doc_id long, start int, end int, class long, b0 long, b1 long, b2 long, hits int, shingles binary"
+    """``uid, doc_id, at, class, b0, b1, b2, shingles, left, right`` of the paragraphs that hold a shared band; a band that is not
+    shared is NULL. ``at`` is the first word; ``left`` and ``right`` have four bytes for each word beside it, the nearest first."""
+    fields = "uid long, doc_id long, at int, class long, b0 long, b1 long, b2 long, hits int, shingles binary, left binary, right binary"
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
         for batch in batches:
-            found = []
+            found, left, right = [], [], []
             for text, keys in zip(batch["text"], batch["shared"]):
-                start, end, sets = paragraphs(text, memo)
+                words, _, _, at, sets = windows(text, memo)
                 hit = np.isin(sets[:, :BANDS].view(np.int64), np.asarray(keys, np.int64))
                 k = np.flatnonzero(hit.any(1))
-                found.append((start[k], end[k], sets[k], hit[k]))
+                found.append((at[k], sets[k], hit[k]))
+                marks = (np.array(list(map(memo.__getitem__, words)), np.uint64) >> np.uint64(32)).astype(np.uint32)
+                ahead, back = marks.tobytes(), marks[::-1].tobytes()
+                for a in at[k].tolist():
+                    left.append(back[4 * (len(words) - a) : 4 * (len(words) - a + REACH - 1)])
+                    right.append(ahead[4 * (a + WORDS) : 4 * (a + WORDS + REACH - 1)])
             if not found:
                 continue
             sizes = [len(f[0]) for f in found]
-            start, end, sets, hit = (np.concatenate(x) for x in zip(*found))
+            at, sets, hit = (np.concatenate(x) for x in zip(*found))
             raw = (sets >> np.uint64(32)).astype(np.uint32).tobytes()
             step = 4 * sets.shape[1]
             yield pd.DataFrame({
                 "uid": np.repeat(batch["uid"].to_numpy("int64"), sizes), "doc_id": np.repeat(batch["doc_id"].to_numpy("int64"), sizes),
-                "start": start.astype("int32"), "end": end.astype("int32"), "class": class_of(sets),
+                "at": at.astype("int32"), "class": class_of(sets),
                 **{f"b{j}": np.ascontiguousarray(sets[:, j]).view(np.int64) for j in range(BANDS)},
                 "hits": (hit * (1 << np.arange(BANDS))).sum(1).astype("int32"),
-                "shingles": [raw[at : at + step] for at in range(0, len(raw), step)],
+                "shingles": [raw[k : k + step] for k in range(0, len(raw), step)], "left": left, "right": right,
             })
 
     last = F.lit(int(np.iinfo(np.int64).max))
@@ -221,18 +273,58 @@ def links_of(found: DataFrame, percent: int) -> DataFrame:
     return placed.mapInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def open_sides(gone: DataFrame) -> DataFrame:
+    """``gone`` with ``l, r``: ``REACH - 1`` words on each side (at the text's begin what there is), 0 where all of them go anyway."""
+    order = Window.partitionBy("uid").orderBy("at")
+    gone = gone.withColumn("_f", F.coalesce(F.col("at") > F.lag("at").over(order) + WORDS, F.lit(True)))
+    gone = gone.withColumn("_l", F.coalesce(F.lead("at").over(order) > F.col("at") + WORDS, F.lit(True)))
+    first = F.max(F.when(F.col("_f"), F.col("at"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(F.when(F.col("_l"), F.col("at")), ignorenulls=True).over(Window.partitionBy("uid").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0))
+    left = F.least(F.lit(REACH - 1), F.col("at"))
+    gone = gone.withColumn("l", F.when(first > F.col("at") - left, left).otherwise(0))
+    return gone.withColumn("r", F.when(last < F.col("at") + REACH - 1, F.lit(REACH - 1)).otherwise(0)).drop("_f", "_l")
+
+
+def growth(found: DataFrame, gone: DataFrame, classes: DataFrame) -> DataFrame:
+    """``uid, at, more_l, more_r``: words beside a paragraph that goes which an earlier document of the cluster has there too.
+
+    Every paragraph of a cluster gives a key for each number of words that any of the cluster can still grow by; a key's earliest
+    document is found by aggregation, so no two paragraphs meet.
+    """
+    need = gone.groupBy("root").agg(F.max("l").alias("need_l"), F.max("r").alias("need_r")).filter("need_l + need_r > 0")
+    wanted = written(classes.join(need, "root"), "growth-classes")
+    sides = F.array(*[
+        F.struct(F.lit(k).alias("side"), F.col(words).alias("words"), F.col(f"need_{n}").alias("need"), F.coalesce(F.col(n), F.lit(0)).alias("own"))
+        for k, (n, words) in enumerate((("l", "left"), ("r", "right")))
+    ])
+    rows = found.select("uid", "doc_id", "at", "class", "left", "right").join(wanted, "class").join(gone.select("uid", "at", "l", "r"), ["uid", "at"], "left")
+    rows = rows.select("uid", "doc_id", "at", "root", F.explode(sides).alias("s")).select("uid", "doc_id", "at", "root", "s.*")
+    rows = rows.withColumn("most", F.least("need", F.floor(F.octet_length("words") / 4).cast("int"))).filter("most > 0")
+    keyed = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("most")))).withColumn(
+        "key", F.xxhash64("root", "side", "k", F.substring(F.col("words"), F.lit(1), 4 * F.col("k")))
+    )
+    first = keyed.groupBy("key").agg(F.min(document_order()).alias("first"), F.max(document_order()).alias("last")).filter("first.uid <> last.uid")
+    asked = keyed.filter("k <= own").select("uid", "at", "side", "k", "key").join(first.select("key", F.col("first.uid").alias("owner")), "key")
+    return asked.filter("uid <> owner").groupBy("uid", "at").agg(*[
+        F.max(F.when(F.col("side") == k, F.col("k"))).alias(name) for k, name in enumerate(("more_l", "more_r"))
+    ])
+
+
 def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``uid, spans`` (array of byte ranges): paragraphs that an earlier document has too. ``docs`` has one row per text."""
+    """``uid, spans`` (array of word ranges): paragraphs that an earlier document has too. ``docs`` has one row per text."""
     keyed = written(bands_of(docs, text_col), "band-keys")
     shared = written(shared_keys(keyed), "shared-bands")
     candidates = picked(docs, shared.select("uid"), "left_semi")
     found = written(colliding(candidates, shared, id_col, text_col), "colliding")
     roots = components(written(links_of(found, percent), "paragraph-links"))
-    placed = found.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")
-    owner = placed.groupBy("root").agg(F.min(order).alias("owner"), F.max(order).alias("last")).filter("owner.uid <> last.uid")
-    gone = placed.join(owner, "root").filter(F.col("uid") != F.col("owner.uid"))
-    return gone.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    placed = found.select("uid", "doc_id", "at", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    owner = placed.groupBy("root").agg(F.min(document_order()).alias("owner"), F.max(document_order()).alias("last")).filter("owner.uid <> last.uid")
+    placed = written(placed.join(owner.select("root", F.col("owner.uid").alias("owner")), "root"), "repeated")
+    gone = written(open_sides(placed.filter("uid <> owner").select("uid", "at", "root")), "gone")
+    more = written(growth(found, gone, placed.select("class", "root").distinct()), "growth")
+    first = (F.col("at") - F.coalesce("more_l", F.lit(0))).alias("start")
+    end = (F.col("at") + WORDS + F.coalesce("more_r", F.lit(0))).alias("end")
+    return gone.join(more, ["uid", "at"], "left").groupBy("uid").agg(F.collect_list(F.struct(first, end)).alias("spans"))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -257,17 +349,14 @@ def without_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     @F.pandas_udf("n_removed long, n_spans long, kept_text string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
         for texts, ranges in batches:
             out = []
             for text, found in zip(texts, ranges):
                 raw = (text or "").encode()
+                start, end = word_bounds(raw)
                 if found is None:  # a copy: all its paragraphs
-                    start, end, _ = paragraphs(text, memo)
-                    found = zip(start.tolist(), end.tolist())
-                else:
-                    found = [(s["start"], s["end"]) for s in found]
-                gone = merged(found)
+                    found = [{"start": a, "end": a + WORDS} for a in windows(text, WordHashes())[3].tolist()]
+                gone = [(int(start[a]), int(end[b - 1])) for a, b in merged((s["start"], s["end"]) for s in found)]
                 pieces, at = [], 0
                 for a, b in gone:
                     pieces.append(raw[at:a])

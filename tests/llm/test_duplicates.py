@@ -119,6 +119,32 @@ def test_planted_passage_stays_once_and_clean_texts_are_left_alone(spark, prose)
             assert got[k].n_bytes == len(got[k].kept_text.encode()) + got[k].n_removed
 
 
+def test_passages_without_sentences_go_to_their_ends(spark):
+    """Passages of 51 words and more behind any number of other words, also where another document shares less than that."""
+    draw, rows = random.Random(8), []
+    fresh = (f"n{k}" for k in range(10**6))
+    passages = [[next(fresh) for _ in range(size)] for size in (51, 52, 60, 90, 200)]
+    some = {}
+    for k in range(75):
+        before, after = ([next(fresh) for _ in range(draw.randrange(70))] for _ in range(2))
+        passage = passages[k % 5]
+        if k < 5:  # the earliest has the middle only
+            passage = passage[8:-8]
+        some[k] = (before, after)
+        rows.append((k, " ".join(before + passage + after)))
+    got = {r.doc_id: r for r in paragraph_dedup.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k, text in rows:
+        if k < 5:
+            assert got[k].kept_text == text
+        elif k >= 10:
+            before, after = some[k]
+            left = got[k].kept_text.split()
+            head = sum(w in set(before) for w in left)
+            assert left == before[:head] + after[len(after) - len(left) + head :]
+            # near paragraphs of a cluster may hang over the passage by some words
+            assert head > len(before) - 12 and len(left) - head > len(after) - 12
+
+
 @pytest.mark.parametrize("block", [1024, 3])
 def test_links_of_paragraphs_equal_brute_force(spark, monkeypatch, block):
     """All links between full paragraphs are found, in one block or many."""
