@@ -14,8 +14,8 @@ are missing from the other, so at least one of three smallest is shared: recall
 4. They grow on both sides over the words that an earlier document of the cluster has there too, up to ``REACH - 1`` words,
    which is as far as an end can be.
 
-Defined cases: NULL is the empty text; texts under ``WORDS`` words have no paragraph and stay whole; a copy of an earlier
-whole text loses all its paragraphs; repetitions inside one document stay; rows equal in id and text are one document and get equal
+Defined cases: NULL is the empty text; texts under ``WORDS`` words have no paragraph and stay whole; a longer copy of
+an earlier whole text loses all of it; repetitions inside one document stay; rows equal in id and text are one document and get equal
 results; NULL ids are later than all others; an empty table gives no rows; input columns named like an output are replaced.
 """
 
@@ -353,10 +353,11 @@ def without_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
             out = []
             for text, found in zip(texts, ranges):
                 raw = (text or "").encode()
-                start, end = word_bounds(raw)
-                if found is None:  # a copy: all its paragraphs
-                    found = [{"start": a, "end": a + WORDS} for a in windows(text, WordHashes())[3].tolist()]
-                gone = [(int(start[a]), int(end[b - 1])) for a, b in merged((s["start"], s["end"]) for s in found)]
+                if found is None:  # a copy
+                    gone = [(0, len(raw))] if len(raw.split()) >= WORDS else []
+                else:
+                    start, end = word_bounds(raw)
+                    gone = [(int(start[a]), int(end[b - 1])) for a, b in merged((s["start"], s["end"]) for s in found)]
                 pieces, at = [], 0
                 for a, b in gone:
                     pieces.append(raw[at:a])

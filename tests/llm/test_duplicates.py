@@ -178,6 +178,19 @@ def test_paragraphs_on_odd_rows(spark, odd_rows):
     assert paragraph_dedup.without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_words_that_all_end_a_sentence_are_cut_and_whole_copies_go(spark, prose):
+    words = " ".join(f"W{k}!!" for k in range(30))
+    short = "too short for a paragraph"
+    rows = [(1, words), (2, words), (3, "alpha beta " + words + " gamma delta"), (4, prose(1) + " tail of\ntwo"), (5, short), (6, short)]
+    rows += [(7, rows[3][1]), (8, " " + prose(6) + " Ende"), (9, None)]
+    rows += [(10, rows[7][1])]
+    got = {r.doc_id: r for r in paragraph_dedup.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1].kept_text == words and got[2].kept_text == "" and got[2].n_removed == got[2].n_bytes == len(words)
+    assert got[3].kept_text.split() == ["alpha", "beta", "gamma", "delta"]
+    assert got[5].kept_text == got[6].kept_text == short
+    assert got[8].kept_text == rows[7][1] and got[10].kept_text == ""
+
+
 def brute_strings(rows) -> dict[int, tuple[int, bytes]]:
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
