@@ -9,8 +9,8 @@ first by the longest common prefix:
    group of near copies is already one component.
 2. In regions that still hold several components, sorted by the whole label, nodes meet their neighbours of other
    components on both sides: those with the longest common prefix. Verified links join the components.
-3. Regions that still hold several compare the nodes outside the largest component with all nodes of the region.
-   Where that is too much, the region goes on to deeper prefixes (adaptive depth); at full depth all is compared. Two nodes
+3. Regions that still hold several compare the nodes outside the largest component with all nodes of the region, all at the
+   least depth; large regions are dealt in blocks, every two of which meet. Two nodes
    measured against the same central node are left out if their distances to it differ by more than a link allows: Jaccard
    distance obeys the triangle inequality.
 
@@ -24,6 +24,7 @@ rows; input columns named like an output are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,8 @@ DEPTH = 8
 LEAST_DEPTH = 4
 #: Signature agreement below ``similarity - MARGIN`` (five standard deviations) is no candidate.
 MARGIN = 0.18
-#: Largest product of nodes to place and nodes of a region before it is split by a deeper prefix.
-REGION_WORK = 4096
+#: Pairs of nodes in a block of a region; a region of any size is compared wholly.
+REGION_WORK = 1 << 20
 #: Most nodes whose ids are broadcast to read their texts; beyond that the texts are joined by shuffle.
 BROADCAST_NODES = 1_000_000
 
@@ -186,36 +187,37 @@ def neighbours(members: DataFrame, roots: DataFrame, whole: int) -> DataFrame:
 
 
 def later_links(
-    members: DataFrame, roots: DataFrame, anchors: DataFrame, nodes: DataFrame, sets: DataFrame, depths: list[int], whole: int,
-    percent: int, least: float, values: int,
+    members: DataFrame, roots: DataFrame, anchors: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, least: float, values: int,
 ) -> DataFrame:
-    """``a, b``: links between components in regions that hold several, split by depth where a region is too much work.
+    """``a, b``: links between components in regions that hold several.
 
-    Nodes outside a region's largest component meet all its nodes inside the join, which compares distances to the common
-    central node, then sketches, then the full sets; only links leave it.
+    Nodes outside a region's largest component meet all its nodes inside the join, in blocks of about ``REGION_WORK`` pairs. It
+    compares distances to the common central node, then sketches, then the full sets; only links leave it.
     """
-    rows, out = members.join(anchors, "node", "left"), None
+    side = max(1, math.isqrt(REGION_WORK))
     apart = (F.col("ha") == F.col("hb")) & (F.abs(F.col("fa") - F.col("fb")) > 1 - percent / 100 + 1e-9)
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     close = shared * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent
     data = nodes.select("node", "sketch").join(sets, "node")
-    for k, depth in enumerate(depths):
-        placed = written(mixed_regions(rows, roots), "regions")
-        fits = F.lit(True) if depth == depths[-1] else F.col("s") * F.col("m") <= REGION_WORK
-        here = placed.filter(fits).select("region", "node", "root", "hub", "far", "main").join(data, "node")
-        left = here.filter("root <> main").toDF("a", "region", "ra", "ha", "fa", "mine", "ka", "sa").drop("mine")
-        right = here.toDF("b", "other_region", "rb", "hb", "fb", "main", "kb", "sb")
-        other = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
-        met = (F.col("region") == F.col("other_region")) & other & ~F.coalesce(apart, F.lit(False))
-        pairs = left.join(right, met & (agreement("ka", "kb", values) >= least) & close)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        out = pairs if out is None else out.union(pairs)
-        if depth == depths[-1]:
-            break
-        deeper = depths[k + 1]
-        key = F.xxhash64(F.lit(deeper), "tree", F.substring(F.col("sig"), F.col("tree") * (whole * 4) + 1, F.lit(deeper * 4)))
-        rows = placed.filter(~fits).select("tree", key.alias("region"), "node", "sig", "hub", "far")
-    return out.distinct()
+    placed = written(mixed_regions(members.join(anchors, "node", "left"), roots), "regions")
+    counts = {"lefts": F.ceil(F.col("s") / side).cast("int"), "rights": F.ceil(F.col("m") / side).cast("int")}
+    here = placed.withColumns(counts).select("region", "node", "root", "hub", "far", "main", "lefts", "rights").join(data, "node")
+    dealt = F.xxhash64("node", "region")
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    left = here.filter("root <> main").withColumn("lb", F.pmod(dealt, F.col("lefts"))).withColumn("rb", every("rights"))
+    right = here.withColumn("rb", F.pmod(dealt, F.col("rights"))).withColumn("lb", every("lefts"))
+    left = left.select("region", "lb", "rb", "node", "root", "hub", "far", "sketch", "shingles").toDF("region", "lb", "rb", "a", "ra", "ha", "fa", "ka", "sa")
+    right = right.select("region", "lb", "rb", "node", "root", "hub", "far", "sketch", "shingles", "main").toDF(
+        "other_region", "other_lb", "other_rb", "b", "r_b", "hb", "fb", "kb", "sb", "main"
+    )
+    block = (F.col("region") == F.col("other_region")) & (F.col("lb") == F.col("other_lb")) & (F.col("rb") == F.col("other_rb"))
+    other = (F.col("ra") != F.col("r_b")) & ((F.col("r_b") == F.col("main")) | (F.col("a") < F.col("b")))
+    met = block & other & ~F.coalesce(apart, F.lit(False))
+    pairs = left.join(right, met & (agreement("ka", "kb", values) >= least) & close)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -248,8 +250,7 @@ def near_duplicates(
     near = written(estimated(neighbours(members, roots, depth), nodes, least, trees * depth).select("a", "b"), "neighbours")
     roots = written(extended(roots, verified(near, sets, percent)), "roots")
 
-    depths = list(range(least_depth, depth, 2)) + [depth]
-    later = later_links(members, roots, anchors, nodes, sets, depths, depth, percent, least, trees * depth)
+    later = later_links(members, roots, anchors, nodes, sets, percent, least, trees * depth)
     roots = written(extended(roots, later), "roots")
 
     placed = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -64,6 +64,19 @@ def test_forest_equals_brute_force(spark, prose, monkeypatch, work):
     assert {i for i, r in got.items() if r.kept} == set(want.values())
 
 
+def test_regions_too_large_for_a_block_lose_no_link(spark, monkeypatch):
+    """Pairs of similarity 0.8 that nothing but the comparison of whole regions can find."""
+    monkeypatch.setattr(lsh_forest, "REGION_WORK", 0)
+    for name in ("first_round", "neighbours"):
+        monkeypatch.setattr(lsh_forest, name, lambda *args, f=getattr(lsh_forest, name): f(*args).filter("false"))
+    rows = []
+    for k in range(150):
+        words = [f"w{k}x{j}" for j in range(93)]  # 90 shingles; ten of them differ
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-10] + [f"v{k}x{j}" for j in range(10)]))]
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=4).collect()}
+    assert got == {i: i // 2 * 2 for i in got} and len(got) == 300
+
+
 def test_forest_on_odd_rows(spark, odd_rows):
     out = lsh_forest.near_duplicates(spark.createDataFrame(odd_rows, SCHEMA), width=4).collect()
     assert len(out) == len(odd_rows)
