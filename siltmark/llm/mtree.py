@@ -17,10 +17,12 @@ clipped to it; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,7 +99,7 @@ def routes(vectors: DataFrame, most: int) -> list[bytes]:
 
 
 def build(vectors: DataFrame, most_routes: int = ROUTES, page: int = PAGE, subtree: int = SUBTREE) -> DataFrame:
-    """The tree's subtrees, one row each. Range partitioning over (route, distance, id) deals out hot routes too."""
+    """The tree's subtrees, one row each, numbered as they are made: write them before use. Range partitioning over (route, distance, id) deals out hot routes too."""
     pivots = routes(vectors, most_routes)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,6 +117,7 @@ def build(vectors: DataFrame, most_routes: int = ROUTES, page: int = PAGE, subtr
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
         for b in batches:
             held.append(b)
             if sum(map(len, held)) < 4 * subtree:
@@ -122,13 +125,13 @@ def build(vectors: DataFrame, most_routes: int = ROUTES, page: int = PAGE, subtr
             rows = pd.concat(held, ignore_index=True)
             whole = len(rows) // subtree * subtree
             for at in range(0, whole, subtree):
-                yield node(rows.iloc[at : at + subtree])
+                yield node(rows.iloc[at : at + subtree], next(numbers))
             held = [rows.iloc[whole:]]
         rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
         for at in range(0, len(rows), subtree):
-            yield node(rows.iloc[at : at + subtree])
+            yield node(rows.iloc[at : at + subtree], next(numbers))
 
-    def node(rows: pd.DataFrame) -> pd.DataFrame:
+    def node(rows: pd.DataFrame, number: int) -> pd.DataFrame:
         x = matrix([bytes(v) for v in rows["vec"]])
         route, far, ids = rows["route"].to_numpy(), rows["far"].to_numpy(), rows["id"].to_numpy("int64")
         new = np.flatnonzero(np.diff(route)) + 1
@@ -137,7 +140,7 @@ def build(vectors: DataFrame, most_routes: int = ROUTES, page: int = PAGE, subtr
         width = max(x.shape[1], centers.shape[1])
         radius = np.maximum.reduceat(far, starts)
         return pd.DataFrame({
-            "subtree": [int(ids[0]) * 31 + int(route[0])], "ids": [ids.tobytes()], "vecs": [pack(widened(x, width))],
+            "subtree": [number], "ids": [ids.tobytes()], "vecs": [pack(widened(x, width))],
             "width": [width], "starts": [np.asarray(starts, "int64").tobytes()], "centers": [pack(widened(centers, width))],
             "parent": [far.tobytes()], "radius": [radius.tobytes()],
         })

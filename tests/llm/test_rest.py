@@ -108,6 +108,15 @@ def test_search_equals_brute_force(spark, options):
     assert mtree.top_inner_products(frame.limit(0)).collect() == []
 
 
+def test_subtrees_have_numbers_of_their_own(spark):
+    """Also where ids are one apart and routes 31, and where ids are near the largest long."""
+    draw = np.random.default_rng(4)
+    rows = [(i + far, x) for far in (0, 2**63 - 400) for i, x in enumerate(draw.normal(size=(300, 4)).tolist())]
+    tree = mtree.build(mtree.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 64.0), subtree=1)
+    numbers = [r.subtree for r in tree.select("subtree").collect()]
+    assert len(set(numbers)) == len(numbers) == 600
+
+
 # mixing
 
 
