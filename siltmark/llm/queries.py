@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.llm.bpe import encoded
+from siltmark.llm.decontaminate import contamination
 from siltmark.llm.html_extract import main_text
 from siltmark.llm.lsh_forest import near_duplicates
 from siltmark.llm.mixing import SEED, mixing_plan
@@ -137,3 +138,38 @@ def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@register
+def op12_window_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination(docs, table(spark, sf_dir, "benchmark")).drop("text", "spans")
+
+
+def _item_words(name: str, id_col: str) -> str:
+    """Positions and words of a table's texts, with the windows that start at each."""
+    words = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    leads = ", ".join(f"lead(word, {k}) OVER w AS w{k}" for k in range(1, 10))
+    return f"""
+{name}_words AS (SELECT {id_col} AS id, rowid AS r, {words} AS words FROM (SELECT *, row_number() OVER () AS rowid FROM {name})),
+{name}_at AS (
+  SELECT id, r, n, p, word AS w0, {leads}
+  FROM (SELECT id, r, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM {name}_words)
+  WINDOW w AS (PARTITION BY r ORDER BY p))"""
+
+
+ORACLES["op12_window_set"] = f"""
+WITH {_item_words("documents", "doc_id")}, {_item_words("benchmark", "item_id")},
+windows AS (
+  SELECT id::VARCHAR AS item, least(n, 10) AS size, concat_ws(' ', {", ".join(f"w{k}" for k in range(10))}) AS gram
+  FROM benchmark_at WHERE p <= greatest(n - 9, 1)),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (
+  SELECT r, p, size, CASE size {" ".join(f"WHEN {s} THEN concat_ws(' ', {', '.join(f'w{k}' for k in range(s))})" for s in range(1, 11))} END AS gram
+  FROM documents_at JOIN sizes ON p + size - 1 <= n),
+hits AS (SELECT DISTINCT r, p, grams.size, item FROM grams JOIN windows ON grams.gram = windows.gram AND grams.size = windows.size),
+covered AS (SELECT r, count(DISTINCT q)::BIGINT AS n_hit FROM (SELECT r, unnest(range(p, p + size)) AS q FROM hits) GROUP BY r),
+listed AS (SELECT r, count(*)::BIGINT AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT id AS doc_id, coalesce(len(words), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM documents_words LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)"""
