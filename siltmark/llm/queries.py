@@ -16,6 +16,7 @@ from siltmark.llm.paragraph_dedup import without_repeats
 from siltmark.llm.quality_rules import quality_verdicts
 from siltmark.llm.sharding import assign_shards
 from siltmark.llm.suffix_dedup import without_repeated_strings
+from siltmark.llm.term_pipeline import ranked_search
 from siltmark.llm.token_counts import token_counts
 from siltmark.plans.registry import Query, table
 
@@ -173,3 +174,34 @@ listed AS (SELECT r, count(*)::BIGINT AS n_items, sha256(string_agg(item, ',' OR
 SELECT id AS doc_id, coalesce(len(words), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM documents_words LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)"""
+
+
+@register
+def op13_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def _term_rows(name: str, source: str, id_col: str) -> str:
+    words = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+{name} AS (
+  SELECT r, id, term, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n
+  FROM (SELECT r, id, len(words) AS n, unnest(words) AS term
+        FROM (SELECT row_number() OVER () AS r, {id_col} AS id, {words} AS words FROM {source}))
+  GROUP BY r, id, term)"""
+
+
+ORACLES["op13_term_pipeline"] = f"""
+WITH {_term_rows("documents_terms", "documents", "doc_id")}, {_term_rows("asked", "(SELECT DISTINCT item_id, text FROM benchmark)", "item_id")},
+sizes AS (SELECT count(*)::BIGINT AS total_docs, sum(n)::BIGINT AS total_terms FROM (SELECT DISTINCT r, n FROM documents_terms)),
+weighed AS (
+  SELECT term, floor(1000 * ln((2 * total_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM documents_terms GROUP BY term), sizes),
+scored AS (
+  SELECT a.r AS asked, a.id AS item_id, d.r, d.id AS doc_id,
+         sum(a.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * (25 + (75 * d.n * total_docs) // total_terms))))::BIGINT AS score
+  FROM asked a JOIN weighed USING (term) JOIN documents_terms d USING (term), sizes
+  GROUP BY a.r, a.id, d.r, d.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""

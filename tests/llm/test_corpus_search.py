@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -10,14 +11,14 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry_point
-from siltmark.llm import decontaminate
+from siltmark.llm import decontaminate, term_pipeline
 from tests.compare import difference
 
 SCHEMA = "doc_id long, text string"
 UPPER = {c: c + 32 for c in range(65, 91)}
 
 
-@pytest.mark.parametrize("name", ["op12_window_set"])
+@pytest.mark.parametrize("name", ["op12_window_set", "op13_term_pipeline"])
 def test_twins(spark, small_dir, small_duck, name):
     assert difference(entry_point.queries()[name](spark, small_dir), small_duck, entry_point.oracle_sql()[name]) is None
 
@@ -68,3 +69,44 @@ def test_spans_and_documents_are_removed(spark):
     assert spans == {1: "Keep; keep", 2: "nothing here", 3: "", 4: None, 5: " tail"}
     left = decontaminate.decontaminated(docs, bench, remove="documents", width=3)
     assert left.columns == docs.columns and sorted((r.doc_id, r.n_words) for r in left.collect()) == [(2, 20), (4, 40)]
+
+
+# ranked search
+
+
+def brute_ranks(docs, items, top: int):
+    """(item text, rank) -> (document, score); ties by document id, NULL last."""
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(UPPER))
+    bags = [(i, Counter(terms(t))) for i, t in docs]
+    n, total = sum(bool(b) for _, b in bags), sum(sum(b.values()) for _, b in bags)
+    df = Counter(w for _, b in bags for w in b)
+    out = Counter()
+    for item, text in set(items):
+        scored = []
+        for i, bag in bags:
+            size = sum(bag.values())
+            m = 100 - 75 + (75 * size * n) // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * (10**9 * bag[w] // (1000 * bag[w] + 8 * m)) for w in terms(text) if bag[w])
+            if s > 0:
+                scored.append((-s, i is None, i or 0))
+        for rank, (s, none, i) in enumerate(sorted(scored)[:top], 1):
+            out[item, rank, None if none else i, -s] += 1
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 7, "owners": 3}, {"most_terms": 300}])
+def test_ranks_equal_brute_force(spark, odd_rows, options):
+    draw = random.Random(11)
+    words = [a + b for a in "abcdé" for b in "xyz7"]
+    text = lambda n: " ".join(draw.choices(words, weights=range(1, 21), k=n)).title()
+    docs = odd_rows + [(k, text(draw.randrange(40))) for k in range(100, 200)] + [(2**62 + 1, "ax ax"), (2**62, "ax ax"), (None, "ax ax"), (300, "ax ax"), (300, "ax ax")]
+    items = [(k, text(draw.randrange(1, 6))) for k in range(300)] + [(400, None), (401, "..."), (402, "one id"), (402, "one ID here"), (402, "one id"), (None, "ax one")]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in docs], SCHEMA + ", score string")
+    got = term_pipeline.ranked_search(frame, spark.createDataFrame(items, "item_id long, text string"), top=5, **options)
+    assert Counter(map(tuple, got.collect())) == brute_ranks(docs, items, 5)
+
+
+def test_search_of_empty_tables(spark):
+    docs, items = (spark.createDataFrame([(1, "a b")], f"{c} long, text string") for c in ("doc_id", "item_id"))
+    assert term_pipeline.ranked_search(docs.limit(0), items).collect() == []
+    assert term_pipeline.ranked_search(docs, items.limit(0)).collect() == []
