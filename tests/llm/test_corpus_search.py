@@ -6,12 +6,19 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
+import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_point
-from siltmark.llm import decontaminate, term_pipeline
+from siltmark.llm import alignment, decontaminate, term_pipeline
+from siltmark.llm.bpe import byte_letters
 from tests.compare import difference
 
 SCHEMA = "doc_id long, text string"
@@ -110,3 +117,76 @@ def test_search_of_empty_tables(spark):
     docs, items = (spark.createDataFrame([(1, "a b")], f"{c} long, text string") for c in ("doc_id", "item_id"))
     assert term_pipeline.ranked_search(docs.limit(0), items).collect() == []
     assert term_pipeline.ranked_search(docs, items.limit(0)).collect() == []
+
+
+# alignment
+
+
+def brute_alignment(docs):
+    """Whole texts by the libraries, every overlapping pair of occurrences."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    letters = byte_letters()
+    parts, count = [], Counter()
+    for i, text in docs:
+        raw = (" " + (text or "")).encode()
+        a = library.encode(raw.decode(), add_special_tokens=False).ids if text else []
+        b = pieces.encode(text) if text else []
+        ta = [bytes(letters[c] for c in library.id_to_token(x)) for x in a]
+        tb = [bytes([int(p[3:5], 16)]) if pieces.is_byte(x) else p.replace("▁", " ").encode() for x in b for p in [pieces.id_to_piece(x)]]
+        if not text or b"".join(ta) != raw or b"".join(tb) != raw:
+            parts.append((i, [], [], "", 0))
+            continue
+        owner = [x for x, t in enumerate(tb) for _ in t]
+        at, links = 0, []
+        for x, t in zip(a, ta):
+            links += [(x, b[k]) for k in sorted(set(owner[at : at + len(t)]))]
+            at += len(t)
+        ends = [list(accumulate(map(len, t))) for t in (ta, tb)]
+        common = sorted(set(ends[0]) & set(ends[1]))
+        groups = [[[], []] for _ in common]
+        for side, ids in enumerate((a, b)):
+            for x, e in zip(ids, ends[side]):
+                groups[bisect_left(common, e)][side].append(str(x))
+        joined = ";".join("|".join(",".join(s) for s in g) for g in groups)
+        parts.append((i, a, b, joined, links))
+        count.update(links)
+    best = Counter()
+    for (_, b), n in count.items():
+        best[b] = max(best[b], n)
+    return Counter(
+        (i, len(a), len(b), joined.count(";") + 1, len(links), sum(count[x] == best[x[1]] for x in links), sum(count[x] for x in links), hashlib.sha256(joined.encode()).hexdigest())
+        if joined else (i, 0, 0, 0, 0, 0, 0, "")
+        for i, a, b, joined, links in parts
+    )
+
+
+def test_alignment_equals_brute_force(spark, odd_rows, small_dir):
+    draw = random.Random(13)
+    letters = " \n\t 'sdtl.,!12éß中\xa0　́\x1c\x85aBcà▁\x00"
+    docs = odd_rows + [(k, "".join(draw.choices(letters[:-2] if k % 3 else letters, k=draw.randrange(60)))) for k in range(100, 900)]
+    docs += [(k, t) for k, t in enumerate(["a<|endoftext|> b", "<s> x </s><unk> <0x41>", " ", "  ", " a", "a ", "a  b", "a \n b", "a\n  b ", "\n", "😀 é👍🏽", "a b " * 30_000])]
+    docs += [(r.doc_id + 10_000, r.text) for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in docs], SCHEMA + ", n_a string")
+    paths = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    assert Counter(map(tuple, alignment.aligned(frame, *paths).collect())) == brute_alignment(docs)
+    assert alignment.aligned(frame.limit(0), *paths).collect() == []
+
+
+def test_pair_counts_hold_documents_and_links(spark):
+    docs = spark.createDataFrame([(k, "the cat" + " the" * (k % 4)) for k in range(3000)], SCHEMA)
+    paths = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    rows = docs.selectExpr("doc_id AS _id", "true AS _known", "text AS _text").coalesce(1)
+    counts = alignment.pair_counts(alignment.pair_index(rows, *paths)).collect()
+    assert sorted((r.n_docs, r.n_links) for r in counts) == [(3000, 3000), (3000, 3000 + 750 * 6)]
+
+
+def test_planes_keep_every_bit():
+    draw = np.random.default_rng(2)
+    bits = draw.random((40, alignment.BLOCK)) < draw.random((40, 1)) ** 6
+    pair, at = np.nonzero(bits)
+    plane = alignment.bitmap_plane(pair, at, 40)
+    back = np.zeros_like(bits)
+    back[alignment.plane_entries(plane, 40)] = True
+    assert (back == bits).all() and (alignment.plane_counts(plane, 40) == bits.sum(1)).all()
