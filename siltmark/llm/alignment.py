@@ -39,7 +39,9 @@ ODD = re.compile(r"[^\S ](?: |\Z)")
 BLOCK = 4096
 #: A block is also closed at so many characters, the memo of fragments at so many entries and characters.
 BLOCK_CHARS = 4_000_000
-MEMO, MEMO_CHARS = 150_000, 8_000_000
+MEMO, MEMO_CHARS = 400_000, 16_000_000
+#: Fragments encoded in one call, and documents whose fragments are learnt together.
+TOGETHER, DOCS = 4_000, 100
 #: Words looked up at once, so that one long text doesn't outgrow the memo.
 WORDS = 50_000
 BUCKETS = 16
@@ -66,12 +68,19 @@ class Aligner:
         vocab = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token)}
         self.bytes_a = {i: token for token, i in vocab.items()}
         results = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-        self.encode_a = self._ranked(vocab) if results == sorted(results) and len(vocab) == 256 + len(results) else self._library(path_a)
+        in_order = results == sorted(results) and len(vocab) == 256 + len(results)
+        self.encode_a = self._ranked(vocab) if in_order else self._library(path_a)
         self.model_b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [self._piece(i) for i in range(self.model_b.get_piece_size())]
         self.space_b = self.model_b.piece_to_id("▁")
         if any(re.search("[^▁]▁", self.model_b.id_to_piece(i)) for i in range(len(self.bytes_b))):
             raise ValueError(f"{path_b} has pieces that join a character to the space after it")
+        self.lossless = in_order  # bytes are tokens and nothing else changes them
+        most = max(self.bytes_a) + 1
+        self.len_a = np.asarray([len(self.bytes_a.get(i, b"")) for i in range(most)])
+        self.len_b = np.asarray([len(x) for x in self.bytes_b])
+        self.text_a = np.asarray([[f"{i}{end}" for i in range(most)] for end in ",|"], object)
+        self.text_b = np.asarray([[f"{i}{end}" for i in range(len(self.bytes_b))] for end in ",;\n"], object)
         self.clear()
 
     @staticmethod
@@ -79,8 +88,7 @@ class Aligner:
         """Ids follow the order of merges, so that tiktoken's ranks give the same tokens."""
         import tiktoken
 
-        by_length = {t: i for t, i in vocab.items()}
-        return tiktoken.Encoding("byte-level", pat_str=PIECES, mergeable_ranks=by_length, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding("byte-level", pat_str=PIECES, mergeable_ranks=vocab, special_tokens={}).encode_ordinary
 
     @staticmethod
     def _library(path: str):
@@ -98,40 +106,51 @@ class Aligner:
 
     def clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int, int]] = []
         self.groups: list[str] = []
-        self.links: list[list[int]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.chars = 0
 
     @property
     def full(self) -> bool:
-        return len(self.counts) >= MEMO or self.chars >= MEMO_CHARS
-
-    def _align(self, fragment: str, b: list[int]) -> tuple | None:
-        """Counts, group text and links of one fragment; None where the tokens don't hold its bytes."""
-        a = self.encode_a(fragment)
-        raw = fragment.encode()
-        ta, tb = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(ta) != raw or b"".join(tb) != raw:
+        return len(self.groups) >= MEMO or self.chars >= MEMO_CHARS
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of A and B, groups and links of every entry, and all their links one after another."""
+        if len(self.parts) > 1:
+            self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts))]
+        return self.parts[0] if self.parts else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
+
+    def _align(self, fragments: list[str], a: list[int], b: list[int]) -> int | None:
+        """Add the fragments, whose tokens one after another are given, and return the first entry.
+
+        Adds none and returns None where the tokens don't hold the bytes or reach over an end of a fragment.
+        """
+        raws = [f.encode() for f in fragments]
+        raw = b"".join(raws)
+        if b"".join([self.bytes_b[i] for i in b]) != raw:
             return None
-        links, groups = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = len(ta[0]), len(tb[0])
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return (len(a), len(b), len(groups), len(links)), ";".join(groups), links
-                first_a, first_b = i, j
-                end_a, end_b = end_a + len(ta[i]), end_b + len(tb[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(ta[i])
-            else:
-                j += 1
-                end_b += len(tb[j])
+        ids_a, ids_b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
+        if ends_a[-1] != len(raw) or (not self.lossless and b"".join([self.bytes_a[i] for i in a]) != raw):
+            return None
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last = np.searchsorted(ends, common)
+        if ends[-1] != common[-1] or len(ends) != np.count_nonzero(ends[last] == common):
+            return None
+        cuts = np.union1d(ends_a, ends_b)  # each stretch between two ends is one link
+        links = ids_a[np.searchsorted(ends_a, cuts)] << 32 | ids_b[np.searchsorted(ends_b, cuts)]
+        counts = [np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (ends_a, ends_b, common, cuts)]
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        closes_b = (common[group_b] == ends_b).astype(int)
+        closes_b += closes_b * (ends[last] == common)[group_b]
+        texts = np.empty(len(a) + len(b), object)
+        texts[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = self.text_a[(common[group_a] == ends_a).astype(int), ids_a]
+        texts[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = self.text_b[closes_b, ids_b]
+        self.groups += "".join(texts.tolist())[:-1].split("\n")
+        self.parts.append((np.stack(counts, axis=1), links))
+        self.chars += 2 * len(raw)
+        return len(self.groups) - len(fragments)
 
     def keys(self, text: str) -> list[str]:
         """Memo keys of the fragments of a space and the text: what follows the one space, or the fragment itself."""
@@ -141,29 +160,36 @@ class Aligner:
             words = [f[1:] if len(f) > 1 and f[1] != " " and not f[-1].isspace() else f for f in fragments]
         return words
 
+    def learn(self, keys: list[str]) -> None:
+        """Add the keys to the memo, plain ones together: they are cut from each other for certain."""
+        memo = self.memo
+        plain = [k for k in keys if k[:1] != " "]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            text = " ".join(some)
+            first = self._align([" " + k for k in some], self.encode_a(" " + text), self.model_b.encode(text))
+            if first is None:
+                memo.update((k, self.whole(k)) for k in some)
+            else:
+                memo.update(zip(some, range(first, first + len(some))))
+        for key in keys:
+            if key[:1] == " ":
+                b = [self.space_b] if key == " " else self.model_b.encode(key[1:])
+                found = self._align([key], self.encode_a(key), b)
+                memo[key] = -1 if found is None else found
+
     def entries(self, keys: list[str]) -> np.ndarray:
         """Memo entries of the keys, -1 where the tokens don't hold the bytes."""
-        memo = self.memo
-        missing = [k for k in set(keys) if k not in memo]
-        if missing:
-            for key, b in zip(missing, self.model_b.encode([k[k[:1] == " " :] for k in missing], num_threads=1)):
-                fragment = key if key[:1] == " " else " " + key
-                memo[key] = self.add(self._align(fragment, b or [self.space_b]))
-                self.chars += len(key)
-        return np.fromiter(map(memo.__getitem__, keys), np.int32, len(keys))
-
-    def add(self, found: tuple | None) -> int:
-        if found is None:
-            return -1
-        self.counts.append(found[0])
-        self.groups.append(found[1])
-        self.links.append(found[2])
-        self.chars += 4 * len(found[1])
-        return len(self.counts) - 1
+        try:
+            return np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
+        except KeyError:
+            self.learn([k for k in set(keys) if k not in self.memo])
+            return np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
 
     def whole(self, text: str) -> int:
-        """The entry of a text that has to be judged as one fragment."""
-        return self.add(self._align(" " + text, self.model_b.encode(text)))
+        """The entry of a text that is judged as one fragment, -1 if it has no tokens."""
+        found = self._align([" " + text], self.encode_a(" " + text), self.model_b.encode(text))
+        return -1 if found is None else found
 
 
 @lru_cache(maxsize=2)
@@ -173,9 +199,9 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 def summed(pairs: np.ndarray, at: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One entry per pair and document, sorted by both."""
-    names, which = np.unique(pairs, return_inverse=True)
-    key = which.astype(np.int64) * BLOCK + at
-    order = np.argsort(key, kind="stable")
+    names = np.unique(pairs)
+    key = np.searchsorted(names, pairs) * BLOCK + at
+    order = np.argsort(key)
     key, links = key[order], links[order]
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     first = key[starts]
@@ -228,24 +254,20 @@ class Block:
         work = self.work
         if self.pending:
             entry, at = np.concatenate(self.pending), np.concatenate(self.at)
-            np.add.at(self.counts, at, np.asarray(work.counts, np.int64)[entry])
-            used, times = np.unique(entry.astype(np.int64) * BLOCK + at, return_counts=True)
+            table, links = work.table()
+            np.add.at(self.counts, at, table[entry])
+            used, times = np.unique(entry * BLOCK + at, return_counts=True)
             entry, at = used // BLOCK, used % BLOCK
-            words, which = np.unique(entry, return_inverse=True)
-            lists = [work.links[w] for w in words.tolist()]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((x for y in lists for x in y), np.int64, int(sizes.sum()))
-            starts, many = (np.cumsum(sizes) - sizes)[which], sizes[which]
+            starts, many = (np.cumsum(table[:, 3]) - table[:, 3])[entry], table[entry, 3]
             spread = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            self.parts.append(summed(flat[spread], np.repeat(at, many), np.repeat(times, many)))
+            self.parts.append(summed(links[spread], np.repeat(at, many), np.repeat(times, many)))
             self.at, self.pending = [], []
         if work.full:
             work.clear()
 
-    def add(self, doc_id: int, known: bool, text: str | None) -> None:
+    def add(self, doc_id: int, known: bool, text: str | None, keys: list[str]) -> None:
         n, work = len(self.rows), self.work
         digest, found = hashlib.sha256(), False
-        keys = work.keys(text) if text else []
         chunks = [keys[k : k + WORDS] for k in range(0, len(keys), WORDS)]
         if len(chunks) > 1:
             for chunk in chunks:
@@ -255,16 +277,16 @@ class Block:
                     chunks = [[]]
                     break
         for k, chunk in enumerate(chunks):
-            if work.full:
+            if work.full and len(chunks) > 1:
                 self.reduce()
             entry = work.entries(chunk)
             if not len(entry) or entry.min() < 0:
-                entry = np.asarray([work.whole(text)], np.int32)
+                entry = np.asarray([work.whole(text)])
                 if entry[0] < 0:
                     break
             found = True
             self.pending.append(entry)
-            self.at.append(np.full(len(entry), n, np.int64))
+            self.at.append(np.full(len(entry), n))
             digest.update(((";" if k else "") + ";".join([work.groups[e] for e in entry.tolist()])).encode())
         self.rows.append((doc_id, known, digest.hexdigest() if found else ""))
         self.chars += len(text or "")
@@ -302,11 +324,19 @@ def pair_index(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         work.clear()
         block = Block(work)
         for batch in batches:
-            for row in zip(batch["_id"].tolist(), batch["_known"].tolist(), batch["_text"].tolist()):
-                block.add(*row)
-                if block.full:
-                    yield block.frame(number)
-                    number, block = number + 1, Block(work)
+            rows = list(zip(batch["_id"].tolist(), batch["_known"].tolist(), batch["_text"].tolist()))
+            while rows:
+                some, rows = rows[:DOCS], rows[DOCS:]
+                keys = [work.keys(text) if text else [] for _, _, text in some]
+                if work.full:
+                    block.reduce()
+                missing = set().union(*[k for k in keys if len(k) <= WORDS]).difference(work.memo)
+                work.learn(list(missing))
+                for row, k in zip(some, keys):
+                    block.add(*row, k)
+                    if block.full:
+                        yield block.frame(number)
+                        number, block = number + 1, Block(work)
         if block.rows:
             yield block.frame(number)
 
