@@ -10,50 +10,14 @@ from pyspark.sql import functions as F
 from siltmark.config import Feature
 from siltmark.functions.columns import null_safe_keys, rounded
 from siltmark.functions.pvalues import chi2_p_value
-from siltmark.operators.psi import categorical_bins
+from siltmark.operators.psi import category_statistics, counted_sides
 
 
-def chi2_from_cells(
-    cells: DataFrame, keys: Sequence[str] = (), add: int = 1, p_value: bool = True
-) -> DataFrame:
-    """Statistic from ``categorical_bins`` rows built without a stored list.
-
-    ``add`` goes into every cell. Two categories (one degree of freedom) get the
-    continuity correction of at most one half. Totals join back as small rows, so
-    a feature with very many categories still spreads over tasks.
-    """
-    group = [*keys, "feature"]
-    cells = cells.withColumns({
-        "_r": (F.col("ref_count") + add).cast("double"),
-        "_c": (F.col("cur_count") + add).cast("double"),
-    })
-    totals = cells.groupBy(*group).agg(
-        F.sum("_r").alias("_ref_total"), F.sum("_c").alias("_cur_total"),
-        F.count(F.lit(1)).alias("_k"),
-        F.max("ref_n").alias("ref_n"), F.max("cur_n").alias("cur_n"),
-    )
-    joined = cells.drop("ref_n", "cur_n").join(totals, group)
-    column = F.col("_r") + F.col("_c")
-    total = F.col("_ref_total") + F.col("_cur_total")
-
-    def term(observed, row_total):
-        expected = column * row_total / total
-        gap = F.abs(observed - expected)
-        gap = F.when(F.col("_k") == 2, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-        return gap * gap / expected
-
-    summed = joined.groupBy(*group).agg(
-        F.sum(term(F.col("_r"), F.col("_ref_total")) + term(F.col("_c"), F.col("_cur_total"))).alias("_x"),
-        F.max("_k").alias("_k"), F.max("ref_n").alias("ref_n"), F.max("cur_n").alias("cur_n"),
-    )
-    usable = (F.col("ref_n") > 0) & (F.col("cur_n") > 0) & (F.col("_k") > 1)
-    stat = F.when(usable, F.col("_x")).otherwise(F.lit(0.0))
-    dof = F.col("_k") - 1
-    out = [*group, rounded(stat, 4).alias("chi2_statistic"), dof.cast("long").alias("dof")]
-    if p_value:
-        p = chi2_p_value(F.when(usable, F.col("_x")), dof)
-        out.append(rounded(p, 6).alias("chi2_p_value"))
-    return summed.select(*out, "ref_n", "cur_n")
+def with_chi2(found: DataFrame, p_value: bool = True) -> DataFrame:
+    """Rows of ``category_statistics`` built without a stored list, with ``chi2_statistic, dof`` and the p-value."""
+    stat, dof = F.coalesce("chi2", F.lit(0.0)), F.col("k") - 1
+    found = found.withColumns({"chi2_statistic": rounded(stat, 4), "dof": dof.cast("long")})
+    return found.withColumn("chi2_p_value", rounded(chi2_p_value(F.col("chi2"), dof), 6)) if p_value else found
 
 
 @null_safe_keys
@@ -65,6 +29,10 @@ def chi2_homogeneity(
     add: int = 1,
     p_value: bool = True,
 ) -> DataFrame:
-    """``keys, feature, chi2_statistic, dof, chi2_p_value, ref_n, cur_n``."""
-    cells = categorical_bins(ref, cur, features, None, keys=keys)
-    return chi2_from_cells(cells, keys, add, p_value)
+    """``keys, feature, chi2_statistic, dof, chi2_p_value, ref_n, cur_n``.
+
+    ``add`` goes into every cell; two categories (one degree of freedom) get the continuity correction.
+    """
+    keys = list(keys)
+    found = with_chi2(category_statistics(*counted_sides(ref, cur, features, keys), keys=keys, add=add), p_value)
+    return found.select(*keys, "feature", "chi2_statistic", "dof", *(["chi2_p_value"] if p_value else []), "ref_n", "cur_n")

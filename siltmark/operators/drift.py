@@ -11,15 +11,16 @@ from siltmark.config import NUMERICAL, Feature, Rules, categorical, features_tab
 from siltmark.functions.columns import inline_table, null_safe_keys, rounded, unwrapped, wrapped
 from siltmark.functions.pvalues import ks_p_value
 from siltmark.operators.binning import DECILE_EDGES
-from siltmark.operators.chi2 import chi2_from_cells
+from siltmark.operators.chi2 import with_chi2
 from siltmark.operators.comparison import numerical_comparison
 from siltmark.operators.ks import ks_two_sample
 from siltmark.operators.longform import present, with_window
 from siltmark.operators.profile import categorical_profile
 from siltmark.operators.psi import (
     categorical_bins,
+    category_statistics,
     components,
-    psi_from_cells,
+    counted_sides,
     psi_numerical,
 )
 
@@ -50,9 +51,8 @@ def psi_table(
         ref, cur, shared, bins=edges, num_bins=rules.num_bins,
         epsilon=rules.epsilon, keys=keys,
     )
-    cells = categorical_bins(ref, cur, shared, listed, rules.epsilon, keys)
-    cat = psi_from_cells(cells, rules.epsilon, keys)
-    found = num.unionByName(cat).unionByName(_absent(ref, cur, features, keys))
+    cat = category_statistics(*counted_sides(ref, cur, shared, keys), listed, rules.epsilon, keys)
+    found = num.unionByName(cat.drop("chi2", "k")).unionByName(_absent(ref, cur, features, keys))
     return _labelled(found, features, rules, keys)
 
 
@@ -129,14 +129,14 @@ def feature_drift(
             *([_numerical_histogram().alias("histogram")] if histograms else []),
         ))
     if cat_feats:
-        free = categorical_bins(ref, cur, cat_feats, None, rules.epsilon, keys)
-        cells = free if listed is None else categorical_bins(
-            ref, cur, cat_feats, listed, rules.epsilon, keys
-        )
-        cat = psi_from_cells(cells, rules.epsilon, keys)
-        chi = chi2_from_cells(free, keys, 1, p_values).drop("ref_n", "cur_n")
-        cat = cat.join(chi, group)
+        sides = counted_sides(ref, cur, cat_feats, keys)
+        free = with_chi2(category_statistics(*sides, None, rules.epsilon, keys), p_values).drop("chi2", "k")
+        cat = free
+        if listed is not None:
+            cat = category_statistics(*sides, listed, rules.epsilon, keys).drop("chi2", "k")
+            cat = cat.join(free.drop("psi", "degenerate_bins", "ref_n", "cur_n"), group)
         if histograms:
+            cells = categorical_bins(ref, cur, cat_feats, listed, rules.epsilon, keys)
             cat = cat.join(_categorical_histogram(cells, rules.epsilon, group), group)
         parts.append(_with_categories(cat, ref, cur, cat_feats, keys))
     out = parts[0]

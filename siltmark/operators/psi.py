@@ -171,15 +171,83 @@ def _with_component(cells: DataFrame, epsilon: float) -> DataFrame:
     return cells.withColumn("component", F.when(usable, psi_component(p, q)))
 
 
-def psi_from_cells(cells: DataFrame, epsilon: float, keys: Sequence[str] = ()) -> DataFrame:
-    scored = _with_component(cells, epsilon)
-    return scored.groupBy(*keys, "feature").agg(
-        rounded(F.coalesce(F.sum("component"), F.lit(0.0)), 5).alias("psi"),
-        F.max("ref_n").alias("ref_n"), F.max("cur_n").alias("cur_n"),
-        (F.max("k") < 2).alias("degenerate_bins"),
+def category_statistics(
+    ref_counts: DataFrame, cur_counts: DataFrame, categories: DataFrame | None = None, epsilon: float = 1e-4,
+    keys: Sequence[str] = (), add: int = 1,
+) -> DataFrame:
+    """Index and chi-square per group from ``category_counts`` of both sides, one row per group.
+
+    Columns: ``keys, feature, psi, degenerate_bins, ref_n, cur_n, chi2`` (unrounded, ``add`` in every cell, with the
+    continuity correction for two categories) and ``k``. Only categories a group has are joined with the reference; those it lacks
+    enter as sums: over all reference categories of the feature minus the matched ones. So nothing has
+    groups times vocabulary rows, and a reference of any size gives one row of totals per feature.
+    """
+    group = [*keys, "feature"]
+    eps, zero = F.lit(float(epsilon)), F.lit(0).cast("long")
+    ref_n = ref_counts.groupBy("feature").agg(F.expr("sum(if(known > 0, count, 0L)) AS ref_n"))
+    groups = cur_counts.groupBy(*group).agg(F.expr("sum(if(known > 0, count, 0L)) AS cur_n"))
+    ref_cells = ref_counts.filter("known > 0").select("feature", F.col("value").alias("category"), F.col("count").alias("_r"))
+    cur_cells = cur_counts.filter("known > 0").select(*group, F.col("value").alias("category"), F.col("count").alias("_c"))
+    if categories is not None:
+        listed = categories.select("feature", F.explode("categories").alias("category"))
+        ref_cells = listed.join(ref_cells, ["feature", "category"], "left").select("feature", "category", F.coalesce("_r", zero).alias("_r"))
+        named = cur_cells.join(listed.withColumn("_known", F.lit(True)), ["feature", "category"], "left")
+        label = F.when(F.col("_known"), F.col("category")).otherwise(OTHER)
+        cur_cells = named.groupBy(*group, label.alias("category")).agg(F.sum("_c").alias("_c"))
+    r, log_r = F.col("_r"), F.ln(F.col("_r") + eps)
+    sums = {"k": F.count("_r"), "r": F.sum("_r"), "ln": F.sum(log_r), "rln": F.sum((r + eps) * log_r), "inv": F.sum(1.0 / (r + 2 * add))}
+    totals = ref_cells.groupBy("feature").agg(*[x.alias(f"_all_{n}") for n, x in sums.items()])
+    cells = cur_cells.join(ref_cells, ["feature", "category"], "left")
+    matched = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("_cells"), *[x.alias(f"_hit_{n}") for n, x in sums.items()])
+    # One row per catalogued feature on the right; groups on the left.
+    sized = groups.join(matched, group, "left").join(F.broadcast(totals), "feature", "left").join(F.broadcast(ref_n), "feature", "left")
+
+    def missing(name: str, none: Column) -> Column:
+        return F.coalesce(f"_all_{name}", none) - F.coalesce(f"_hit_{name}", none)
+
+    sized = sized.select(
+        *group, "cur_n", F.coalesce("ref_n", zero).alias("ref_n"), missing("k", zero).alias("_u"), missing("r", zero).alias("_ur"),
+        F.coalesce("_all_r", zero).alias("_r"),
+        *[missing(n, F.lit(0.0)).alias(f"_u{n}") for n in ("ln", "rln", "inv")],
+        (F.coalesce("_all_k", zero) + F.coalesce("_cells", zero) - F.coalesce("_hit_k", zero)).alias("k"),
+    ).withColumns({
+        "_a": F.col("cur_n") + F.col("k") * eps, "_b": F.col("ref_n") + F.col("k") * eps,
+        "_rn": (F.col("_r") + F.col("k") * add).cast("double"), "_cn": (F.col("cur_n") + F.col("k") * add).cast("double"),
+    })
+    direct = cells.join(sized.select(*group, "k", "_a", "_b", "_rn", "_cn"), group)
+    c, base = F.col("_c"), F.coalesce("_r", zero)
+    psi = psi_component((c + eps) / F.col("_a"), (base + eps) / F.col("_b"))
+    chi2 = _chi2_cell(base + add, c + add, F.col("_rn"), F.col("_cn"), F.col("k"))
+    summed = direct.groupBy(*group).agg(F.sum(psi).alias("_psi"), F.sum(chi2).alias("_chi2"))
+    a, b, u = F.col("_a"), F.col("_b"), F.col("_u")
+    level = F.ln(b / a) + F.ln(eps)
+    rest = eps / a * (u * level - F.col("_uln")) - ((F.col("_ur") + u * eps) * level - F.col("_urln")) / b
+    x, total = F.col("_ur") + 2 * add * u, F.col("_rn") + F.col("_cn")
+    spread = x * F.col("_cn") / F.col("_rn") - 2 * add * u * total / F.col("_rn") + add * add * total * total * F.col("_uinv") / (F.col("_rn") * F.col("_cn"))
+    lone = _chi2_cell(x - add, F.lit(float(add)), F.col("_rn"), F.col("_cn"), F.col("k"))
+    rest_chi2 = F.when(F.col("k") == 2, lone).otherwise(spread)
+    usable = (F.col("ref_n") > 0) & (F.col("cur_n") > 0)
+    index = F.coalesce("_psi", F.lit(0.0)) + F.when(u > 0, rest).otherwise(0.0)
+    chi2 = F.coalesce("_chi2", F.lit(0.0)) + F.when(u > 0, rest_chi2).otherwise(0.0)
+    return sized.join(summed, group, "left").select(
+        *group, rounded(F.when(usable, index).otherwise(0.0), 5).alias("psi"), (F.col("k") < 2).alias("degenerate_bins"),
+        "ref_n", "cur_n", F.when(usable & (F.col("k") > 1), chi2).alias("chi2"), "k",
     )
 
 
+def _chi2_cell(ref: Column, cur: Column, ref_total: Column, cur_total: Column, k: Column) -> Column:
+    """What one category adds to the statistic; with two categories gaps shrink by at most one half."""
+    column, total = (ref + cur).cast("double"), ref_total + cur_total
+    gap = F.abs(ref - column * ref_total / total)
+    gap = F.when(k == 2, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
+    return gap * gap * total / column * (1.0 / ref_total + 1.0 / cur_total)
+
+
+def counted_sides(ref: DataFrame, cur: DataFrame, features: Iterable[Feature], keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    features = list(features)
+    return category_counts(to_long_categorical(ref, features)), category_counts(to_long_categorical(cur, features, keys), keys)
+
+
 @null_safe_keys
 def psi_categorical(
     ref: DataFrame,
@@ -190,8 +258,9 @@ def psi_categorical(
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """``keys, feature, psi, ref_n, cur_n, degenerate_bins``."""
-    cells = categorical_bins(ref, cur, features, categories, epsilon, keys)
-    return psi_from_cells(cells, epsilon, keys)
+    keys = list(keys)
+    found = category_statistics(*counted_sides(ref, cur, features, keys), categories, epsilon, keys)
+    return found.select(*keys, "feature", "psi", "ref_n", "cur_n", "degenerate_bins")
 
 
 def component_band(component: Column) -> Column:

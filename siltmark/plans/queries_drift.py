@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltmark.config import CATEGORICAL, Feature
-from siltmark.functions.columns import rounded
+from siltmark.functions.columns import rounded, unwrapped, wrapped
 from siltmark.operators import baseline as B
 from siltmark.operators import binning, chi2, drift, ks, profile, psi
 from siltmark.operators.longform import (
@@ -102,6 +102,33 @@ def psi_categorical_lineitem(spark, sf_dir):
 LISTED_EVENTS = """SELECT 'event_type' AS feature, unnest(['click', 'purchase', 'view']) AS category"""
 
 
+DOCUMENT_SIDES_SQL = """
+ref AS (SELECT source, doc_id::VARCHAR AS doc_id, lang FROM documents WHERE n_chars < 2000),
+cur AS (SELECT source, doc_id::VARCHAR AS doc_id, lang FROM documents WHERE n_chars >= 1000)"""
+
+
+@query("categories_by_source_documents", f"""
+WITH {DOCUMENT_SIDES_SQL},{S.category_ctes('ref', 'cur', ['doc_id', 'lang'], ['source'])},{S.psi_cat_sum_sql(['source'])},
+c AS (SELECT *, rc + 1.0::DOUBLE AS r1, cc + 1.0::DOUBLE AS c1 FROM cells),
+t AS (SELECT *, sum(r1) OVER f AS rt, sum(c1) OVER f AS ct FROM c WINDOW f AS (PARTITION BY source, feature)),
+e AS (SELECT *, abs(r1 - (r1 + c1) * rt / (rt + ct)) AS gap FROM t),
+h AS (SELECT source, feature, CAST(max(k) - 1 AS BIGINT) AS dof,
+        round(sum(power(gap - CASE WHEN k = 2 THEN least(0.5, gap) ELSE 0 END, 2)
+                  * ((rt + ct) / ((r1 + c1) * rt) + (rt + ct) / ((r1 + c1) * ct))), 4) + 0.0 AS chi2_statistic
+      FROM e GROUP BY source, feature)
+SELECT h.source, h.feature, psi, ref_n, cur_n, dof, chi2_statistic
+FROM psi_cat JOIN h ON h.source IS NOT DISTINCT FROM psi_cat.source AND h.feature = psi_cat.feature""")
+def categories_by_source_documents(spark, sf_dir):
+    """A category per document against one shared baseline, for every source: a vocabulary as large as the table."""
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("string"))
+    ref, cur = docs.filter("n_chars < 2000"), docs.filter("n_chars >= 1000")
+    features = [Feature("doc_id", CATEGORICAL), Feature("lang", CATEGORICAL)]
+    index = psi.psi_categorical(ref, cur, features, keys=["source"]).drop("degenerate_bins")
+    test = chi2.chi2_homogeneity(ref, cur, features, ["source"], p_value=False).drop("ref_n", "cur_n")
+    keyed = [wrapped(x, ["source"]) for x in (index, test)]
+    return unwrapped(keyed[0].join(keyed[1], ["source", "feature"]), ["source"])
+
+
 @query("psi_categorical_unseen_events", f"""
 WITH {EVENTS_SIDES_SQL},{S.category_ctes('ref', 'cur', ['event_type'], ['day'], LISTED_EVENTS)},
 {S.psi_cat_sum_sql(['day'])}
@@ -140,13 +167,13 @@ def ks_lineitem(spark, sf_dir):
 
 
 @query("ks_windows_events", f"""
-WITH {EVENTS_SIDES_SQL}, ref_long AS (SELECT 'value' AS feature, value FROM ref),
-cur_long AS (SELECT window_start, 'value' AS feature, value FROM cur),{S.ks_ctes(['window_start'])}
+WITH {EVENTS_SIDES_SQL}, ref_long AS ({S.long_sql('ref', ['value', 'k'], 'DOUBLE')}),
+cur_long AS ({S.long_sql('cur', ['value', 'k'], 'DOUBLE', ['window_start'])}),{S.ks_ctes(['window_start'])}
 SELECT window_start, feature, ks_statistic, ref_n, cur_n FROM ks""")
 def ks_windows_events(spark, sf_dir):
     ref, cur = events_sides(spark, sf_dir)
     return ks.ks_two_sample(
-        ref, with_window(cur), EVENTS[:1], keys=["window_start"], p_value=None
+        ref, with_window(cur), EVENTS, keys=["window_start"], p_value=None
     )
 
 
@@ -192,15 +219,15 @@ def numeric_profile_lineitem(spark, sf_dir):
 
 
 @query("baseline_profile_windows_events", f"""
-WITH {EVENTS_SIDES_SQL}
-SELECT window_start, 'value' AS feature, round(avg(value), 3) + 0.0 AS mean,
+WITH {EVENTS_SIDES_SQL}, cur_long AS ({S.long_sql('cur', ['value', 'k'], 'DOUBLE', ['window_start'])})
+SELECT window_start, feature, round(avg(value), 3) + 0.0 AS mean,
        round(stddev_pop(value), 3) + 0.0 AS std,
        round(quantile_cont(value, 0.5), 3) + 0.0 AS median, round(min(value), 3) + 0.0 AS min,
        round(max(value), 3) + 0.0 AS max
-FROM cur GROUP BY window_start""")
+FROM cur_long GROUP BY window_start, feature""")
 def baseline_profile_windows_events(spark, sf_dir):
     _, cur = events_sides(spark, sf_dir)
-    return profile.baseline_profile(with_window(cur), EVENTS[:1], ["window_start"])
+    return profile.baseline_profile(with_window(cur), EVENTS, ["window_start"])
 
 
 @query("baseline_profile_lineitem", f"""

@@ -7,8 +7,8 @@ import warnings
 from pyspark.sql import functions as F
 
 from siltmark.functions.columns import rounded
-from siltmark.operators.binning import histogram_arrays, quantile_bin_edges
-from siltmark.operators.longform import to_long_numerical
+from siltmark.operators.binning import category_counts, histogram_arrays, quantile_bin_edges
+from siltmark.operators.longform import to_long_categorical, to_long_numerical
 from siltmark.plans import twins as S
 from siltmark.plans.datasets import EVENTS, EVENTS_SIDES_SQL, events_sides, log_columns
 from siltmark.plans.queries_ingest import HARMONIZED, NOW, ORDER_FEATURES, ORDER_MAPPING
@@ -57,11 +57,28 @@ def stream_ingest(spark, sf_dir):
     )
 
 
-@query("stream_window_drift", f"""
-WITH {EVENTS_SIDES_SQL},{S.psi_numerical_ctes('ref', 'cur', ['value', 'k'], ['window_start'])},
-{S.psi_sum_sql(['window_start'])}
-SELECT window_start, feature, psi, ref_n, cur_n FROM psi_num""")
-def stream_window_drift(spark, sf_dir):
+@query("stream_ingest_contents", """
+SELECT o_orderkey::VARCHAR AS request_id, round(o_totalprice / 100.0, 6) + 0.0 AS amount, 'orders_export' AS source_id FROM orders""")
+def stream_ingest_contents(spark, sf_dir):
+    """The orders in three files, one of them twice; then one changes its name: every row is taken once."""
+    base = workspace(spark, "content-ingest")
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_totalprice", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_custkey"
+    )
+    orders.repartition(3, "o_orderkey").write.parquet(f"{base}/in/first")
+    spark.read.parquet(f"{base}/in/first").repartition(3, "o_orderkey").write.parquet(f"{base}/in/again")
+    for _ in range(2):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # the broken derivation is part of the case
+            jobs.stream_ingest_contents(
+                spark, f"{base}/in/*/*.parquet", ORDER_MAPPING, ORDER_FEATURES, f"{base}/out", f"{base}/checkpoint", "availableNow", NOW
+            ).awaitTermination()
+    rows = jobs.read_ingested(spark, f"{base}/out")
+    return rows.select("request_id", rounded(F.col("amount"), 6).alias("amount"), "source_id")
+
+
+def window_counts(spark, sf_dir):
+    """Streamed counts per window, compacted, with the reference in long form and the edges."""
     base = workspace(spark, "window-drift")
     ref, _ = events_sides(spark, sf_dir)
     long = to_long_numerical(ref, EVENTS)
@@ -71,8 +88,21 @@ def stream_window_drift(spark, sf_dir):
         trigger="availableNow",
     )
     q.awaitTermination()
-    counts = jobs.read_latest(spark, f"{base}/counts", ["window_start", "feature", "cell"])
-    return jobs.window_psi_from_counts(counts, histogram_arrays(long, edges, 10))
+    keys = ["window_start", "feature", "cell"]
+    jobs.compact(spark, f"{base}/counts", keys)
+    return jobs.read_latest(spark, f"{base}/counts", keys), ref, long, edges
+
+
+@query("stream_window_drift", f"""
+WITH {EVENTS_SIDES_SQL},{S.psi_numerical_ctes('ref', 'cur', ['value', 'k'], ['window_start'])},
+{S.psi_sum_sql(['window_start'])},{S.category_ctes('ref', 'cur', ['event_type'], ['window_start'])},{S.psi_cat_sum_sql(['window_start'])}
+SELECT window_start, feature, psi, ref_n, cur_n FROM psi_num
+UNION ALL SELECT window_start, feature, psi, ref_n, cur_n FROM psi_cat""")
+def stream_window_drift(spark, sf_dir):
+    counts, ref, long, edges = window_counts(spark, sf_dir)
+    categories = category_counts(to_long_categorical(ref, EVENTS))
+    numbers = jobs.window_psi_from_counts(counts, histogram_arrays(long, edges, 10))
+    return numbers.unionByName(jobs.window_categorical_psi_from_counts(counts, categories))
 
 
 @query("stream_quality", f"""

@@ -75,19 +75,24 @@ def ingest_new_files(
     ledger: DataFrame | None = None,
     now: datetime | None = None,
     content_hash: bool = True,
+    by: str = "path",
 ) -> tuple[DataFrame | None, DataFrame]:
     """``(rows, ledger)``: rows of files that are new or changed, and the ledger after.
 
-    A file counts as done when the ledger has its path with the same hash. Files sharing format and header are
+    A file counts as done when the ledger has its path with the same hash, or, ``by="content"``, when it has the hash
+    under any path; of files with equal content in one pass the first path is read then. Files sharing format and header are
     read by one scan into a table in the shared folder, so every file is parsed once and wholly. Where a group
-    cannot be read (clashing types, a damaged file, a malformed line), its files are read one by one, and what
+    cannot be read (clashing types, a damaged file, a malformed line), its halves are read apart, and a single file that
     still fails is warned about, gives no rows and stays out of the ledger, so it is tried again. ``rows`` is None
     when nothing is new.
     """
     known = ledger if ledger is not None else spark.createDataFrame([], LEDGER_SCHEMA)
-    fresh = list_files(spark, pattern, content_hash).join(
-        known.select("path", "hash"), ["path", "hash"], "left_anti"
-    )
+    fresh = list_files(spark, pattern, content_hash)
+    if by == "content":
+        once = fresh.groupBy("hash").agg(F.min(F.struct("path", "uri", "header")).alias("_f")).select("hash", "_f.*")
+        fresh = once.join(known.select("hash"), "hash", "left_anti")
+    else:
+        fresh = fresh.join(known.select("path", "hash"), ["path", "hash"], "left_anti")
     todo = fresh.collect()  # names and hashes of new files: what the readers need to be opened
     groups: dict[tuple[str, str], list[str]] = {}
     for r in todo:
@@ -105,7 +110,7 @@ def ingest_new_files(
     done = seen.join(hashes, seen["_uri"] == hashes["uri"]).select(
         "path", "hash", moment.alias("processed_at"), "row_count"
     )
-    kept = known.join(done.select("path"), "path", "left_anti")
+    kept = known if by == "content" else known.join(done.select("path"), "path", "left_anti")
     return rows.drop("_uri"), kept.unionByName(done)
 
 
@@ -124,7 +129,7 @@ def union_widened(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _read_group(spark: SparkSession, kind: str, paths: list[str]) -> list[DataFrame]:
-    """The group as written tables with ``_uri``; one by one where the group fails, none of a file that fails."""
+    """The group as written tables with ``_uri``; by halves where the group fails, none of a file that fails."""
     if kind not in (*DELIMITED, *JSON, "parquet"):
         warnings.warn(f"unsupported format {kind!r}: {len(paths)} file(s) skipped", stacklevel=3)
         return []
@@ -152,8 +157,9 @@ def _read_group(spark: SparkSession, kind: str, paths: list[str]) -> list[DataFr
             out.append(spark.read.parquet(staged))
         return out
     except Exception as e:  # an unreadable file must not stop the others
-        if len(paths) > 1:
-            return [part for p in paths for part in _read_group(spark, kind, [p])]
+        if len(paths) > 1:  # halves: a few bad files among n cost some log2(n) jobs each, the rest stay together
+            middle = len(paths) // 2
+            return [part for half in (paths[:middle], paths[middle:]) for part in _read_group(spark, kind, half)]
         warnings.warn(f"{paths[0]} skipped: {str(e)[:200]}", stacklevel=3)
         return []
 

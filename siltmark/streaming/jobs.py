@@ -1,13 +1,15 @@
 """Continuous counterparts: log sink, file ingest, window drift, quality, cooldown.
 
 Every job takes a checkpoint folder, so a restarted query continues where it was.
-Batches are written to a folder named by the batch id and overwritten on retry,
-which makes the sinks idempotent.
+Batches are published through a manifest that knows their numbers, which makes the
+sinks idempotent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import json
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -20,9 +22,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from siltmark.config import CATEGORICAL, Feature, Rules
 from siltmark.operators.harmonize import harmonize
 from siltmark.operators.longform import to_long_categorical, to_long_numerical
-from siltmark.operators.psi import psi_component, smoothed
+from siltmark.operators.psi import category_statistics, psi_component, smoothed
 from siltmark.operators.quality import feature_quality, quality_counts, violations
-from siltmark.functions.columns import rounded
+from siltmark.functions.columns import rounded, unwrapped, wrapped
+from siltmark.sources.ingest import LEDGER_SCHEMA, ingest_new_files, union_widened
+from siltmark.sources.manifest import Manifest
 from siltmark.sources.partitions import PARTITIONS, event_time, partition_columns
 
 
@@ -62,43 +66,119 @@ def stream_ingest_files(
     return _triggered(writer, trigger).start()
 
 
-def _by_batch(path: str):
+def _has_batch(entries: list[dict], batch_id: int) -> bool:
+    return any(e["first"] <= batch_id <= e["last"] for e in entries)
+
+
+def update_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer of update-mode rows: each batch is one folder of the manifest, once.
+
+    A batch that is already listed, alone or folded with others, is a replay of the same rows and is left out.
+    """
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        manifest = Manifest(batch.sparkSession, path)
+        if _has_batch(manifest.latest()[1], batch_id):
+            return
+        folder = manifest.stage(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), f"batch-{batch_id}")
+        entry = {"folder": folder, "first": batch_id, "last": batch_id}
+        manifest.publish(lambda now: None if _has_batch(now, batch_id) else [*now, entry])
 
     return write
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Final state of an update-mode sink: the last value per key."""
-    rows = spark.read.option("basePath", path).parquet(path)
+def _last_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return rows.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), "batch_id").alias("_v")
-    ).select(*keys, "_v.*")
+    keyed = wrapped(rows, keys)
+    return unwrapped(keyed.groupBy(*keys).agg(F.max_by(F.struct("batch_id", *rest), "batch_id").alias("_v")).select(*keys, "_v.*"), keys)
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str], schema: str | None = None) -> DataFrame:
+    """Final state of an update-mode sink: the last value per key, over listed folders only.
+
+    ``schema`` (with ``batch_id long``) serves a sink that has no batch yet.
+    """
+    manifest = Manifest(spark, path)
+    return _last_per_key(manifest.read([e["folder"] for e in manifest.latest()[1]], schema), list(keys)).drop("batch_id")
 
 
 def compact(spark: SparkSession, path: str, keys: Sequence[str]) -> None:
-    """Fold the batches written so far into the newest of them, so that an update-mode sink keeps one row per key.
+    """Fold the batches listed now into one folder with one row per key.
 
-    May run beside the stream: batches that end later are not touched, and the folded rows carry the number of a
-    batch that has ended. A run that breaks off leaves the rows in their old folders or in the new one, never in none.
+    May run beside the stream and beside other compactions. Folded rows keep the number of their own batch and the new
+    entry covers the numbers it replaces, so neither a replay nor a break between two steps loses or repeats
+    a key. Folders no longer listed stay for readers of older versions until ``Manifest.vacuum``.
     """
-    rows = spark.read.option("basePath", path).parquet(path)
-    newest = rows.agg(F.max("batch_id")).first()[0]
-    if newest is None:
+    manifest = Manifest(spark, path)
+    _, entries = manifest.latest()
+    if len(entries) < 2:
         return
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    folded = hadoop.Path(f"{path}/_folded-{newest}")
-    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    latest = rows.filter(F.col("batch_id") <= newest).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v"))
-    latest.select(*keys, "_v.*").write.mode("overwrite").parquet(folded.toString())
-    old = [x.getPath() for x in files.listStatus(hadoop.Path(path)) if x.getPath().getName().startswith("batch_id=")]
-    for part in old:
-        if int(part.getName().split("=")[1]) <= newest:
-            files.delete(part, True)
-    files.rename(folded, hadoop.Path(f"{path}/batch_id={newest}"))
+    folded = _last_per_key(manifest.read([e["folder"] for e in entries]), list(keys))
+    first, last = min(e["first"] for e in entries), max(e["last"] for e in entries)
+    one = {"folder": manifest.stage(folded, f"fold-{last}"), "first": first, "last": last}
+
+    def change(now: list[dict]) -> list[dict] | None:
+        if any(e not in now for e in entries):  # another compaction came first
+            return None
+        return [one, *[e for e in now if e not in entries]]
+
+    manifest.publish(change)
+
+
+def stream_ingest_contents(
+    spark: SparkSession, pattern: str, mapping: dict, features: Iterable[Feature], path: str, checkpoint: str,
+    trigger: str = "15 seconds", now: str | None = None,
+) -> StreamingQuery:
+    """Files matching ``pattern`` as a stream that takes every content once.
+
+    Every trigger lists the files, so a file that changed under its old name is seen as well; a renamed or repeated
+    file has a known content hash and gives no rows. Harmonized rows and the ledger of their hashes are staged first and
+    become visible by one published version, with the number of the batch; a replayed batch finds its number and
+    stops. A file that cannot be read is tried again with the next trigger.
+    """
+    features = list(features)
+
+    def pull(beat: DataFrame, batch_id: int) -> None:
+        session = beat.sparkSession
+        manifest = Manifest(session, path)
+        _, entries = manifest.latest()
+        if _has_batch(entries, batch_id):
+            return
+        ledger = manifest.read([e["ledger"] for e in entries if "ledger" in e], LEDGER_SCHEMA)
+        rows, after = ingest_new_files(session, pattern, ledger, by="content")
+        entry = {"first": batch_id, "last": batch_id}
+        if rows is not None:
+            clean = harmonize(rows, mapping, features, now)
+            entry |= {"folder": manifest.stage(clean, f"batch-{batch_id}"), "schema": clean.schema.json()}
+            new = after.join(ledger.select("hash"), "hash", "left_anti").select(*[f.split()[0] for f in LEDGER_SCHEMA.split(", ")])
+            entry["ledger"] = manifest.stage(new, f"ledger-{batch_id}")
+        quiet = [e for e in entries if "folder" not in e]  # batches without files: one entry speaks for them
+
+        def change(current: list[dict]) -> list[dict] | None:
+            if _has_batch(current, batch_id):
+                return None
+            if rows is None and quiet and current and current[-1] == quiet[-1] and current[-1]["last"] == batch_id - 1:
+                return [*current[:-1], {"first": current[-1]["first"], "last": batch_id}]
+            return [*current, entry]
+
+        manifest.publish(change)
+
+    beats = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = beats.writeStream.foreachBatch(pull).option("checkpointLocation", checkpoint)
+    return _triggered(writer, trigger).start()
+
+
+def read_ingested(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The rows of all published batches of ``stream_ingest_contents``; types that differ between files are widened."""
+    manifest = Manifest(spark, path)
+    by_schema: dict[str, list[str]] = {}
+    for e in manifest.latest()[1]:
+        if "folder" in e:
+            by_schema.setdefault(e["schema"], []).append(e["folder"])
+    if not by_schema:
+        return manifest.read([], schema)
+    parts = [manifest.read(folders, T.StructType.fromJson(json.loads(kind))) for kind, folders in by_schema.items()]
+    return reduce(union_widened, parts)
 
 
 def stream_window_counts(
@@ -139,7 +219,7 @@ def stream_window_counts(
         F.count(F.lit(1)).alias("count")
     ).select(F.col("_w.start").alias("window_start"), *keys, "feature", "cell", "count")
     writer = (
-        counted.writeStream.outputMode("update").foreachBatch(_by_batch(path))
+        counted.writeStream.outputMode("update").foreachBatch(update_sink(path))
         .option("checkpointLocation", checkpoint)
     )
     return _triggered(writer, trigger).start()
@@ -174,6 +254,26 @@ def window_psi_from_counts(
     return joined.select(*group, rounded(psi, 5).alias("psi"), "ref_n", "cur_n")
 
 
+def window_categorical_psi_from_counts(
+    counts: DataFrame, ref_counts: DataFrame, categories: DataFrame | None = None, epsilon: float = 1e-4,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Index per window of streamed categorical counts against the baseline's ``category_counts``.
+
+    A window has rows for its own categories only; baseline categories it lacks enter as sums, so a window costs as
+    many rows as it has categories however large the vocabulary is.
+    """
+    named = ref_counts.select("feature").distinct()  # one row per catalogued feature
+    cells = counts.join(F.broadcast(named), "feature", "left_semi").select(
+        "window_start", *keys, "feature", F.col("cell").alias("value"), "count",
+        F.when(F.col("cell").isNotNull(), F.col("count")).otherwise(0).alias("known"),
+    )
+    group = ["window_start", *keys]
+    cells = wrapped(cells, group)
+    found = category_statistics(ref_counts, cells, categories, epsilon, group)
+    return unwrapped(found, group).select(*group, "feature", "psi", "ref_n", "cur_n")
+
+
 def stream_quality(
     logs: DataFrame, features: Iterable[Feature], path: str, checkpoint: str,
     time_col: str = "timestamp", size: str = "6 hours", delay: str = "1 day",
@@ -186,7 +286,7 @@ def stream_quality(
         "window_start", F.col("_w.start")
     ).drop("_w")
     writer = (
-        counted.writeStream.outputMode("update").foreachBatch(_by_batch(path))
+        counted.writeStream.outputMode("update").foreachBatch(update_sink(path))
         .option("checkpointLocation", checkpoint)
     )
     return _triggered(writer, trigger).start()

@@ -12,6 +12,7 @@ from siltmark.config import CATEGORICAL, Feature
 from siltmark.operators import model
 from siltmark.operators.longform import with_window
 from siltmark.sources import files, ingest, partitions
+from siltmark.sources.manifest import Manifest
 from siltmark.streaming import jobs
 
 FEATURES = [Feature("annual_income"), Feature("credit_score"), Feature("kind", CATEGORICAL)]
@@ -113,12 +114,94 @@ def test_training_takes_the_last_days(spark):
     assert out.count() == 1 + 7 * 24 + 1
 
 
+STATE = "cell string, count long"
+
+
+def fill(spark, path, batches):
+    for number, rows in batches:
+        jobs.update_sink(path)(spark.createDataFrame(rows, STATE), number)
+
+
+def state(spark, path):
+    return sorted((tuple(r) for r in jobs.read_latest(spark, path, ["cell"]).collect()), key=str)
+
+
 def test_compacted_sink_keeps_the_last_value_per_key(spark, tmp_path):
     path = str(tmp_path / "sink")
-    for batch, rows in enumerate(([("a", 1), ("b", 1)], [("a", 2)], [("c", 5), ("b", 7)])):
-        jobs._by_batch(path)(spark.createDataFrame(rows, "cell string, count long"), batch)
-    before = sorted(tuple(r) for r in jobs.read_latest(spark, path, ["cell"]).collect())
+    batches = list(enumerate(([("a", 1), ("b", 1)], [("a", 2), (None, 3)], [("c", 5), ("b", 7)])))
+    fill(spark, path, batches)
+    want = [("a", 2), ("b", 7), ("c", 5), (None, 3)]
+    assert state(spark, path) == want
+    jobs.compact(spark, path, ["cell"])
+    assert state(spark, path) == want and len(Manifest(spark, path).latest()[1]) == 1
+    fill(spark, path, batches)  # a replay of any batch changes nothing
+    assert state(spark, path) == want and len(Manifest(spark, path).latest()[1]) == 1
+    fill(spark, path, [(3, [("a", 9)])])
     jobs.compact(spark, path, ["cell"])
-    spark.catalog.refreshByPath(path)
-    assert sorted(tuple(r) for r in jobs.read_latest(spark, path, ["cell"]).collect()) == before == [("a", 2), ("b", 7), ("c", 5)]
-    assert sorted(p.name for p in (tmp_path / "sink").iterdir() if not p.name.startswith(".")) == ["batch_id=2"]
+    assert state(spark, path) == [("a", 9), *want[1:]]
+
+
+def test_sink_survives_a_break_between_any_two_steps(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "sink")
+    fill(spark, path, [(0, [("a", 1)]), (1, [("a", 2), ("b", 1)])])
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Manifest, "publish", broken)  # rows staged, list not published
+        for step in (lambda: fill(spark, path, [(2, [("b", 5)])]), lambda: jobs.compact(spark, path, ["cell"])):
+            with pytest.raises(RuntimeError):
+                step()
+    assert state(spark, path) == [("a", 2), ("b", 1)]
+    with monkeypatch.context() as m:
+        m.setattr(Manifest, "stage", broken)
+        with pytest.raises(RuntimeError):
+            jobs.compact(spark, path, ["cell"])
+    fill(spark, path, [(2, [("b", 5)])])
+    jobs.compact(spark, path, ["cell"])
+    assert state(spark, path) == [("a", 2), ("b", 5)]
+    assert len(Manifest(spark, path).vacuum(hours=0)) == 5 and state(spark, path) == [("a", 2), ("b", 5)]
+
+
+def test_writers_of_one_version_do_not_overwrite_each_other(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    fill(spark, path, [(0, [("a", 1)]), (1, [("b", 1)])])
+    manifest, late = Manifest(spark, path), []
+
+    def change(now):
+        if not late:  # the stream commits while this writer thinks
+            late.append(1)
+            fill(spark, path, [(2, [("c", 1)])])
+        return [*now, {"folder": now[0]["folder"], "first": 7, "last": 7}]
+
+    manifest.publish(change)
+    assert [e["first"] for e in manifest.latest()[1]] == [0, 1, 2, 7]
+
+
+def test_stream_takes_every_content_once(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    mapping = {"source_id": "s", "column_mapping": {"id": "request_id", "v": "annual_income"}}
+
+    def drain():
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            jobs.stream_ingest_contents(
+                spark, f"{folder}/*", mapping, [Feature("annual_income")], out, str(tmp_path / "checkpoint"), "availableNow", "2024-01-01"
+            ).awaitTermination()
+        return sorted(r[0] for r in jobs.read_ingested(spark, out).select("annual_income").collect())
+
+    (folder / "a.csv").write_text("id,v\n1,10\n2,20\n")
+    (folder / "twin.csv").write_text("id,v\n1,10\n2,20\n")
+    (folder / "bad.jsonl").write_text('{"id": 4}\n{"id"')
+    assert drain() == [10, 20]
+    (folder / "a.csv").write_text("id,v\n3,30\n")  # changed under its name
+    (folder / "twin.csv").rename(folder / "renamed.csv")
+    assert drain() == [10, 20, 30]
+    (folder / "b.csv").write_text("id,v\n3,30\n")  # a known content
+    assert drain() == [10, 20, 30]
+    (folder / "bad.jsonl").write_text('{"id": 4, "v": 40}')
+    assert drain() == [10, 20, 30, 40]
+    numbers = [n for e in Manifest(spark, out).latest()[1] for n in range(e["first"], e["last"] + 1)]
+    assert numbers == sorted(set(numbers))  # every batch once
