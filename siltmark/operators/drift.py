@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import NUMERICAL, Feature, Rules, categorical, features_table, numerical
-from siltmark.functions.columns import inline_table, null_safe_keys, rounded, unwrapped, wrapped
+from siltmark.functions.columns import fixed, inline_table, null_safe_keys, rounded, unwrapped, wrapped
 from siltmark.functions.pvalues import ks_p_value
 from siltmark.operators.binning import DECILE_EDGES
 from siltmark.operators.chi2 import with_chi2
@@ -21,7 +21,9 @@ from siltmark.operators.psi import (
     category_statistics,
     components,
     counted_sides,
+    numerical_bins,
     psi_numerical,
+    psi_total,
 )
 
 
@@ -182,13 +184,21 @@ def _with_categories(table, ref, cur, feats, keys) -> DataFrame:
 
 
 def _numerical_histogram() -> Column:
+    """Nested histogram; the outer bins are open, as their labels say."""
     n_ref, n_cur = F.col("ref_n"), F.col("cur_n")
+    last = F.size("cur_counts") - 1
+
+    def label(_, i):
+        low = F.when(i == 0, "-inf").otherwise(fixed(F.get("bin_edges", i), 2))
+        high = F.when(i == last, "+inf").otherwise(fixed(F.get("bin_edges", i + 1), 2))
+        return F.concat(F.lit("["), low, F.lit(", "), high, F.lit("]"))
+
     return F.struct(
         F.col("bin_edges"),
         F.transform("ref_counts", lambda c: F.round(c / n_ref, 5)).alias("baseline_pct"),
         F.transform("cur_counts", lambda c: F.round(c / n_cur, 5)).alias("production_pct"),
         F.transform("components", lambda x: F.round(x, 5)).alias("psi_components"),
-        F.lit(None).cast("array<string>").alias("bin_labels"),
+        F.transform("cur_counts", label).alias("bin_labels"),
     )
 
 
@@ -224,13 +234,15 @@ def prediction_drift(
     rules: Rules = Rules(),
     keys: Sequence[str] = (),
     p_values: bool = True,
+    histograms: bool = False,
 ) -> DataFrame:
-    """Drift of a probability score on ten fixed bins whose outer ends are open."""
+    """Drift of a probability score on ten fixed bins whose outer ends are open; ``histograms`` adds the nested bins."""
     keys = list(keys)
     feature = [Feature(score, NUMERICAL, "critical")]
-    psi = psi_numerical(
-        ref, cur, feature, bins=decile_edges_table(ref, score), num_bins=10,
-        epsilon=rules.epsilon, keys=keys,
+    both = numerical_bins(ref, cur, feature, decile_edges_table(ref, score), 10, rules.epsilon, keys)
+    psi = both.select(
+        *keys, "feature", rounded(psi_total(F.col("components")), 5).alias("psi"), "ref_n", "cur_n",
+        *([_numerical_histogram().alias("histogram")] if histograms else []),
     )
     ks = ks_two_sample(ref, cur, feature, keys, "auto" if p_values else None)
     from siltmark.functions.columns import numeric
@@ -247,6 +259,7 @@ def prediction_drift(
         *(["ks_p_value"] if p_values else []),
         rounded(F.coalesce("_mr", F.lit(0.0)), 4).alias("baseline_mean"),
         rounded(F.coalesce("_mc", F.lit(0.0)), 4).alias("production_mean"), "ref_n", "cur_n",
+        *(["histogram"] if histograms else []),
     ]
     return table.select(*out)
 

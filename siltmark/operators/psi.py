@@ -81,7 +81,7 @@ def components(both: DataFrame, epsilon: float) -> DataFrame:
     })
 
 
-def _total(components: Column) -> Column:
+def psi_total(components: Column) -> Column:
     return F.coalesce(
         F.aggregate(components, F.lit(0.0), lambda acc, x: acc + x), F.lit(0.0)
     )
@@ -101,7 +101,7 @@ def psi_numerical(
     keys = list(keys)
     both = numerical_bins(ref, cur, features, bins, num_bins, epsilon, keys)
     return both.select(
-        *keys, "feature", rounded(_total(F.col("components")), 5).alias("psi"),
+        *keys, "feature", rounded(psi_total(F.col("components")), 5).alias("psi"),
         "ref_n", "cur_n", "degenerate_bins",
     )
 

@@ -39,6 +39,42 @@ def explode_report(reports: DataFrame, run_id: str = "run_id") -> tuple[DataFram
     return runs, metrics
 
 
+def report_tables(
+    runs: DataFrame, metrics: DataFrame, violations: DataFrame, prediction: DataFrame | None, hours: int = 6, run_id: str = "run_id"
+) -> tuple[DataFrame, DataFrame]:
+    """``(drift_runs, feature_metrics)`` as stored for dashboards: windows, counts and verdict, documents as JSON text.
+
+    A run without prediction scores has a NULL ``prediction_drift``; statistics a feature's type lacks are NULL.
+    """
+    breaches = violations.groupBy(run_id).agg(
+        F.array_sort(F.collect_list(F.struct("feature", "check", "severity", "metric_value", "message"))).alias("_v")
+    )  # bounded by the catalogue
+    table = runs.join(breaches, run_id, "left")
+    quality = F.to_json(F.struct(F.col("quality_passed").alias("passed"), "violations_count", F.col("_v").alias("violations")))
+    score = F.lit(None).cast("string")
+    if prediction is not None:
+        cells = [c for c in prediction.columns if c not in (run_id, "created_at", "window_start")]
+        table = table.join(prediction.select(run_id, F.to_json(F.struct(*cells)).alias("_p")), run_id, "left")
+        score = F.when(F.col("prediction_status").isNotNull(), F.col("_p"))
+    drift_runs = table.select(
+        run_id, "window_start", (F.col("window_start") + F.expr(f"INTERVAL {hours} HOURS")).alias("window_end"), "sample_count",
+        "overall_status", "max_psi", "severe_drift_count", "warning_drift_count", quality.alias("quality_report"),
+        score.alias("prediction_drift"), "summary", "created_at",
+    )
+
+    def document(prefix: str):
+        cells = [c for c in metrics.columns if c.startswith(prefix)]
+        return F.to_json(F.struct(*[F.col(c).alias(c[len(prefix):]) for c in cells]))
+
+    named = [c for c in ("ks_statistic", "ks_p_value", "chi2_statistic", "chi2_p_value") if c in metrics.columns]
+    feature_metrics = metrics.select(
+        run_id, F.col("feature").alias("feature_name"), "feature_type", "importance", "psi", "status", *named,
+        document("baseline_").alias("baseline_stats"), document("current_").alias("current_stats"),
+        *([F.to_json("histogram").alias("histogram_data")] if "histogram" in metrics.columns else []), "created_at",
+    )
+    return drift_runs, feature_metrics
+
+
 def filter_metrics(metrics: DataFrame, search: str = "", status: str = "ALL") -> DataFrame:
     """Case-insensitive substring of the name, and a status or ``ALL``."""
     out = metrics

@@ -6,6 +6,8 @@ which are the baseline.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from siltmark.config import Feature, Rules
@@ -14,9 +16,14 @@ from siltmark.operators import quality, reports, retrain, verdict
 from siltmark.operators.longform import with_window
 from siltmark.plans import twins as S
 from siltmark.plans.datasets import EVENTS, EVENTS_SIDES_SQL, events, events_sides
-from siltmark.plans.drift_run import drift_run
+from siltmark.plans.drift_run import DriftRun, store_run, stored_run, with_run_id
 from siltmark.plans.queries_drift import DECILES_SQL, WINDOW_PSI
 from siltmark.plans.registry import query, table
+from siltmark.operators.baseline import build_baseline
+from siltmark.sources.artifacts import read_report, save_baseline, write_report
+from siltmark.sources.partitions import write_partitioned
+from siltmark.sources.runs import RunStore
+from siltmark.sources.workspace import workspace
 
 RULES = Rules(min_samples=80)
 WINDOW = ["window_start"]
@@ -195,24 +202,37 @@ runs AS (
   LEFT JOIN pred USING (window_start))"""
 
 
-def event_runs(spark, sf_dir):
-    ref, cur = events_sides(spark, sf_dir)
-    return drift_run(
-        with_window(cur), ref, EVENTS, RULES, keys=WINDOW, full=False, p_values=False
-    )
+_STORED: dict[tuple, RunStore] = {}
+
+
+def event_store(spark, sf_dir) -> RunStore:
+    """The stored runs of the event table against its first eight days, with complete reports.
+
+    One job of a session writes them per state of the input; alerts, retraining, digests and views read the written run.
+    """
+    name = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    files = name.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = (files.getFileStatus(name).getModificationTime(), files.getContentSummary(name).getLength())
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    if key not in _STORED:
+        ref, cur = events_sides(spark, sf_dir)
+        _STORED[key] = store_run(RunStore(spark, workspace(spark, "event-runs")), cur, ref, EVENTS, RULES)
+    return _STORED[key]
+
+
+def event_runs(spark, sf_dir) -> DriftRun:
+    store = event_store(spark, sf_dir)
+    return DriftRun(**{n: store.read(n) for n in ("runs", "metrics", "violations", "feature_quality", "prediction")})
 
 
 def tagged(df):
     """Run id and time of a windowed table: windows since the epoch, window end."""
-    return df.withColumns({
-        "run_id": F.floor(F.unix_timestamp("window_start") / 21600).cast("long"),
-        "created_at": F.col("window_start") + F.expr("INTERVAL 6 HOURS"),
-    })
+    return with_run_id(df)
 
 
 @query("drift_run_summary", f"WITH {RUNS_SQL} SELECT * EXCLUDE (run_id, created_at) FROM runs")
 def drift_run_summary(spark, sf_dir):
-    return event_runs(spark, sf_dir).runs.drop("summary")
+    return event_runs(spark, sf_dir).runs.drop("summary", "run_id", "created_at")
 
 
 @query("overall_status_windows", f"""
@@ -561,17 +581,56 @@ def kpi_summary(spark, sf_dir):
 
 
 @query("report_roundtrip", f"""
-WITH {METRICS_SQL} SELECT run_id, r.overall_status, r.sample_count, f.feature, f.psi, f.status
+WITH {METRICS_SQL} SELECT run_id, r.overall_status, r.sample_count, f.feature, f.psi, f.status, TRUE AS same_run, TRUE AS same_metrics
 FROM runs r JOIN fm f USING (run_id)""")
 def report_roundtrip(spark, sf_dir):
-    from siltmark.sources.artifacts import read_report, write_report
-    from siltmark.sources.workspace import workspace
-
+    """The nested report, written and flattened again: every column of both tables equals the stored run's."""
     run = event_runs(spark, sf_dir)
-    metrics = tagged(run.metrics).drop("created_at", "window_start")
-    nested = reports.build_report(tagged(run.runs), metrics, tagged(run.violations))
+    cells = run.metrics.drop("created_at", "window_start")
+    nested = reports.build_report(run.runs, cells, run.violations)
     path = write_report(nested, workspace(spark, "report"), "parquet")
     runs, flat = reports.explode_report(read_report(spark, path))
-    return runs.select("run_id", "overall_status", "sample_count").join(
-        flat.select("run_id", "feature", "psi", "status"), "run_id"
+
+    def digest(df, columns):
+        return df.withColumn("_digest", F.xxhash64(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})))
+
+    columns = run.runs.columns
+    first = digest(run.runs, columns).select("run_id", F.col("_digest").alias("_first"))
+    back = digest(runs, columns).join(first, "run_id").withColumn("same_run", F.col("_digest") == F.col("_first"))
+    own = digest(cells, cells.columns).select("run_id", "feature", F.col("_digest").alias("_own"))
+    rows = digest(flat, cells.columns).join(own, ["run_id", "feature"]).withColumn("same_metrics", F.col("_digest") == F.col("_own"))
+    return back.select("run_id", "overall_status", "sample_count", "same_run").join(
+        rows.select("run_id", "feature", "psi", "status", "same_metrics"), "run_id"
     )
+
+
+@query("stored_run", f"""
+WITH {RUNS_SQL},{S.ks_ctes(['window_start'])}
+SELECT r.run_id, window_start, window_start + INTERVAL 6 HOUR AS window_end, sample_count, overall_status, max_psi, severe_drift_count,
+       warning_drift_count, violations_count, prediction_psi, m.feature, m.psi, m.status, k.ks_statistic, 1::BIGINT AS copies
+FROM runs r LEFT JOIN metrics m USING (window_start) LEFT JOIN ks k USING (window_start, feature)""")
+def stored_run_query(spark, sf_dir):
+    """The whole job on a written log and a stored baseline, run twice: both report tables, every run once."""
+    base = workspace(spark, "stored-run")
+    ref, cur = events_sides(spark, sf_dir)
+    log = write_partitioned(cur, f"{base}/log", time_col="timestamp")
+    bins, sample = build_baseline(ref, EVENTS, ["event_id"], sample_size=ref.count(), edge_decimals=None)
+    save_baseline(bins, sample, f"{base}/baseline", "events", "events")
+    end = cur.agg(F.max("timestamp")).first()[0] + timedelta(seconds=1)
+    for _ in range(2):
+        store = stored_run(spark, f"{base}/runs", log, f"{base}/baseline", "2024-01-09 00:00:00", end, EVENTS, RULES)
+    runs, metrics = reports.report_tables(store.read(), store.read("metrics"), store.read("violations"), store.read("prediction"))
+    copies = runs.groupBy("run_id").agg(F.count(F.lit(1)).alias("copies"))
+    flat = metrics.select("run_id", F.col("feature_name").alias("feature"), "psi", "status", "ks_statistic")
+    return runs.select(
+        "run_id", "window_start", "window_end", "sample_count", "overall_status", "max_psi", "severe_drift_count", "warning_drift_count",
+        F.get_json_object("quality_report", "$.violations_count").cast("long").alias("violations_count"),
+        F.get_json_object("prediction_drift", "$.psi").cast("double").alias("prediction_psi"),
+    ).join(copies, "run_id").join(flat, "run_id", "left")
+
+
+@query("stored_report")
+def stored_report(spark, sf_dir):
+    """The rows of ``feature_metrics`` with every statistic, p-value, profile and histogram of every run."""
+    run = event_runs(spark, sf_dir)
+    return reports.report_tables(run.runs, run.metrics, run.violations, run.prediction)[1]

@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def save_baseline(bins: DataFrame, sample: DataFrame, path: str, baseline_id: str) -> str:
-    """Two Parquet tables below ``path``, one partition per baseline version."""
-    for name, df in (("bins", bins), ("sample", sample)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}/baseline_id={baseline_id}")
+from siltmark.functions.columns import inline_table
+from siltmark.sources.manifest import Manifest
+
+
+def save_baseline(
+    bins: DataFrame, sample: DataFrame, path: str, baseline_id: str, dataset: str | None = None, created_at: datetime | None = None
+) -> str:
+    """Two Parquet tables below ``path``, published together as a version with its description.
+
+    The description holds dataset name, time, and the numbers of features and sample rows. Saving an id again replaces
+    that version for readers; the rows of the old one stay until ``Manifest.vacuum``.
+    """
+    manifest = Manifest(bins.sparkSession, path)
+    entry = {"baseline_id": baseline_id, "bins": manifest.stage(bins, "bins"), "sample": manifest.stage(sample, "sample")}
+    entry |= {
+        "dataset": dataset, "created_at": (created_at or datetime.now(timezone.utc)).isoformat(),
+        "n_features": manifest.read([entry["bins"]]).count(), "sample_rows": manifest.read([entry["sample"]]).count(),
+    }
+    manifest.publish(lambda now: [*[e for e in now if e["baseline_id"] != baseline_id], entry])
     return path
 
 
-def load_baseline(
-    spark: SparkSession, path: str, baseline_id: str
-) -> tuple[DataFrame, DataFrame]:
-    bins, sample = (
-        spark.read.option("basePath", f"{path}/{n}")
-        .parquet(f"{path}/{n}/baseline_id={baseline_id}").drop("baseline_id")
-        for n in ("bins", "sample")
-    )
-    return bins, sample
+def baseline_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The description of every stored version, oldest first."""
+    fields = ["baseline_id", "dataset", "created_at", "n_features", "sample_rows"]
+    rows = [tuple(e[f] for f in fields) for e in Manifest(spark, path).latest()[1]]
+    return inline_table(spark, rows, "baseline_id string, dataset string, created_at string, n_features bigint, sample_rows bigint")
+
+
+def load_baseline(spark: SparkSession, path: str, baseline_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(bins, sample)`` of a version, the newest unless one is named."""
+    manifest = Manifest(spark, path)
+    entries = [e for e in manifest.latest()[1] if baseline_id in (None, e["baseline_id"])]
+    if not entries:
+        raise FileNotFoundError(f"no baseline {baseline_id or ''} in {path}")
+    return tuple(manifest.read([entries[-1][n]]) for n in ("bins", "sample"))
 
 
 def write_report(reports: DataFrame, path: str, fmt: str = "parquet") -> str:
