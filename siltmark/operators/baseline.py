@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.config import CATEGORICAL, NUMERICAL, Feature
-from siltmark.functions.columns import rounded
-from siltmark.functions.ordered import approx_quantiles, exact_quantiles, order_statistics
+from siltmark.functions.columns import rounded, unwrapped, wrapped
+from siltmark.functions.ordered import approx_quantiles, exact_quantiles
 from siltmark.operators.binning import (
     DECILE_EDGES,
     category_frequencies,
@@ -19,10 +19,14 @@ from siltmark.operators.binning import (
     round_edges,
 )
 from siltmark.operators.longform import to_long_categorical, to_long_numerical
+from siltmark.sources.workspace import workspace
 
 # Hexadecimal digits of the md5 used as a sampling key: 52 bits, exact in a double.
 _KEY_DIGITS = 13
 
+#: Buckets of the sampling key; the one with the cut is ordered.
+BUCKETS = 1 << 16
+
 #: Groups up to which the cuts of a split are broadcast; beyond that they are joined by shuffle.
 BROADCAST_GROUPS = 10_000
 
@@ -33,30 +37,55 @@ def sampling_key(identity: Sequence[Column], seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, _KEY_DIGITS), 16, 10).cast("double")
 
 
+def _cut_cells(keyed: DataFrame, wanted: Column, keys: Sequence[str]) -> DataFrame:
+    """Per group the key bucket that holds the last wanted row, and how many rows of that bucket are wanted.
+
+    Keys are uniform, so a bucket holds one row in ``BUCKETS``: one scan, counted map-side. The written table has a row
+    per group.
+    """
+    counts = keyed.groupBy(*keys, bucket_of_key(F.col("_key")).alias("_bucket")).agg(F.count(F.lit(1)).alias("_c"))
+    group, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_bucket")  # at most BUCKETS rows a group
+    placed = counts.withColumns({"_n": F.sum("_c").over(group), "_cum": F.sum("_c").over(before)})
+    target = F.least(wanted, F.col("_n")).cast("long")
+    cell = placed.withColumn("_w", target).filter((F.col("_w") > F.col("_cum") - F.col("_c")) & (F.col("_w") <= F.col("_cum")))
+    rows = cell.select(*keys, F.col("_bucket").alias("_last"), (F.col("_w") - F.col("_cum") + F.col("_c")).alias("_rest"))
+    path = workspace(keyed.sparkSession, "cuts")
+    rows.write.parquet(path)
+    return keyed.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def bucket_of_key(key: Column) -> Column:
+    return F.floor(key / float((1 << 4 * _KEY_DIGITS) // BUCKETS)).cast("int")
+
+
+def _cuts(inside: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The key of the last wanted row per group, from the rows of its bucket (``_key, _rest``)."""
+    order = Window.partitionBy(*keys).orderBy("_key")
+    return inside.withColumn("_r", F.row_number().over(order)).filter("_r = _rest").select(*keys, F.col("_key").alias("_cut"))
+
+
 def lowest_keys(
     df: DataFrame, key: Column, wanted: Column, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Add ``_picked``: whether the row is among the ``wanted`` lowest keys of its group.
 
-    The cut is the exact order statistic of the key, so nothing is sorted and no
-    group passes through one task. ``wanted`` may use the group size ``_n``.
+    ``key`` is uniform in [0, 16^13) (``sampling_key``), so the bucket that holds the cut follows from one counting
+    scan and holds one row in ``BUCKETS`` of a group: only that bucket is ordered. ``wanted`` may use the group size ``_n``.
     """
     keys = list(keys)
-    keyed = df.withColumn("_key", key)
-    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # Few groups, counted: their cuts are broadcast and the table is not shuffled by group.
-    few = not keys or sizes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    targets = sizes.select(*keys, F.least(wanted, F.col("_n")).cast("long").alias("_w"))
-    ranks = targets.filter(F.col("_w") > 0).select(*keys, (F.col("_w") - 1).alias("rank"))
-    cuts = order_statistics(
-        keyed.select(*keys, "_key"), keys, ranks, "_key", bounded=few
-    ).select(*keys, F.col("_key").alias("_cut"))
+    keyed = wrapped(df, keys).withColumn("_key", key)
+    cells = _cut_cells(keyed.select(*keys, "_key"), wanted, keys)
+    few = cells.count() <= BROADCAST_GROUPS  # counted: the table is not shuffled by group then
+    near = F.broadcast(cells) if few else cells
+    slim = keyed.select(*keys, "_key", bucket_of_key(F.col("_key")).alias("_bucket"))
+    inside = slim.join(near, keys) if keys else slim.crossJoin(F.broadcast(cells))  # one row
+    cuts = _cuts(inside.filter("_bucket = _last"), keys)
     if keys:
         marked = keyed.join(F.broadcast(cuts) if few else cuts, keys, "left")
     else:
-        marked = keyed.crossJoin(F.broadcast(cuts))  # one row
+        marked = keyed.join(F.broadcast(cuts), how="left", on=F.lit(True))  # one row
     picked = F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False))
-    return marked.withColumn("_picked", picked).drop("_key", "_cut")
+    return unwrapped(marked.withColumn("_picked", picked).drop("_key", "_cut"), keys)
 
 
 def reference_sample(
@@ -64,10 +93,18 @@ def reference_sample(
 ) -> DataFrame:
     """The whole table if it has at most ``n`` rows, else ``n`` rows by lowest hash.
 
-    Rows sharing the hash of the last kept row (same identity) are all kept.
+    Two scans: one counts hash buckets, one takes the rows up to the bucket of the cut, some ``n`` and one row in ``BUCKETS``,
+    which are written and cut exactly. Rows sharing the hash of the last kept row (same identity) are all kept.
     """
     key = sampling_key([F.col(c) for c in identity], seed)
-    return lowest_keys(df, key, F.lit(n)).filter("_picked").drop("_picked")
+    keyed = df.withColumn("_key", key)
+    cells = _cut_cells(keyed.select("_key"), F.lit(n), ())
+    near = keyed.withColumn("_bucket", bucket_of_key(F.col("_key"))).join(F.broadcast(cells), F.col("_bucket") <= F.col("_last"))
+    path = workspace(df.sparkSession, "candidates")
+    near.write.parquet(path)
+    found = df.sparkSession.read.schema(near.schema).parquet(path)
+    cuts = _cuts(found.filter("_bucket = _last").select("_key", "_rest"), ())
+    return found.join(F.broadcast(cuts), F.col("_key") <= F.col("_cut")).select(*df.columns)
 
 
 def numerical_baseline(

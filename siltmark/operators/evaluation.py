@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions.columns import nan_to_null, rounded
@@ -119,6 +119,28 @@ def champion_challenger(
     )
 
 
+def drift_episodes(
+    series: DataFrame, labels: DataFrame, threshold: float = 0.20, on: Sequence[str] = ("window_start",), window_hours: float = 6.0
+) -> DataFrame:
+    """One row per episode: a run of labelled windows without a gap, with its onset, first hit and delay.
+
+    ``on`` names the time column first, then segments. An episode ends where a window is clean or missing. The delay is the time
+    from the onset to the end of the first window in the episode whose index reaches the threshold, NULL if none does.
+    """
+    at, *segments = on
+    order = Window.partitionBy(*segments).orderBy(at)  # a row per run of the report
+    hours = F.expr(f"make_dt_interval(0, 0, 0, {window_hours * 3600})")
+    judged = series.join(labels, list(on)).withColumn("_hit", F.coalesce(F.col("psi") >= threshold, F.lit(False)))
+    drifted = judged.filter("drifted").withColumn("_new", F.coalesce(F.lag(at).over(order) + hours < F.col(at), F.lit(True)).cast("int"))
+    numbered = drifted.withColumn("episode", F.sum("_new").over(order).cast("int"))
+    first = F.min(F.when(F.col("_hit"), F.col(at)))
+    return numbered.groupBy(*segments, "episode").agg(
+        F.min(at).alias("onset"), (F.max(at) + hours).alias("end"), F.count(F.lit(1)).alias("windows"), first.alias("first_hit"),
+    ).withColumn(
+        "delay_hours", rounded((F.unix_timestamp(F.col("first_hit") + hours) - F.unix_timestamp("onset")) / 3600.0, 4)
+    )
+
+
 def detector_backtest(
     series: DataFrame,
     labels: DataFrame,
@@ -128,10 +150,14 @@ def detector_backtest(
 ) -> DataFrame:
     """How well ``psi >= threshold`` finds windows labelled ``drifted``.
 
-    ``false_alarm_rate_pct``, ``sensitivity_pct`` and ``detection_delay_hours``: the
-    mean time from the start of a drifted window to the end of its run, on average
-    half a window after onset.
+    ``false_alarm_rate_pct``, ``sensitivity_pct``, ``episodes``, ``detected_episodes`` and ``detection_delay_hours``: the mean
+    measured time from the onset of an episode of drifted windows to the end of the run that found it, over the
+    episodes found; NULL if none was.
     """
+    found = drift_episodes(series, labels, threshold, on, window_hours).agg(
+        F.count(F.lit(1)).alias("episodes"), F.count("first_hit").alias("detected_episodes"),
+        rounded(F.avg("delay_hours"), 4).alias("detection_delay_hours"),
+    )
     judged = series.join(labels, list(on)).withColumn("_hit", F.col("psi") >= threshold)
     drifted = F.col("drifted")
     return judged.agg(
@@ -144,5 +170,4 @@ def detector_backtest(
         .alias("false_alarm_rate_pct"),
         rounded(F.col("detected") * 100.0 / F.greatest("drifted_windows", F.lit(1)), 2)
         .alias("sensitivity_pct"),
-        F.lit(window_hours / 2).alias("detection_delay_hours"),
-    )
+    ).crossJoin(F.broadcast(found))  # one row each

@@ -297,7 +297,7 @@ def train_score(spark, sf_dir):
     split = model.stratified_split(c, "label", ["l_orderkey", "l_linenumber", "annual_income"])
     features = [f for f in CREDIT_FEATURES if f.name in c.columns]
     fitted = model.train_challenger(
-        split.filter("NOT is_validation"), features, iterations=10, depth=3
+        split.filter("NOT is_validation"), features
     )
     scored = model.score_batch(split.filter("is_validation"), fitted, "v1")
     rows = scored.select(F.lit("challenger").alias("model"), "label",
@@ -305,18 +305,41 @@ def train_score(spark, sf_dir):
     return evaluation.binary_metrics(rows)
 
 
+EPISODES_SQL = f"""{WINDOW_PSI},
+lab AS (SELECT window_start, hour(window_start) < 12 AS drifted FROM cur GROUP BY window_start),
+j AS (SELECT window_start, psi >= 0.2 AS hit, drifted FROM psi_all JOIN lab USING (window_start) WHERE feature = 'value'),
+d AS (SELECT *, coalesce(lag(window_start) OVER (ORDER BY window_start) + INTERVAL 6 HOUR < window_start, TRUE)::INT AS fresh
+      FROM j WHERE drifted),
+n AS (SELECT *, sum(fresh) OVER (ORDER BY window_start) AS episode FROM d),
+episodes AS (SELECT episode::INT AS episode, min(window_start) AS onset, max(window_start) + INTERVAL 6 HOUR AS "end", count(*) AS windows,
+               min(window_start) FILTER (WHERE hit) AS first_hit,
+               round(date_diff('second', min(window_start), min(window_start) FILTER (WHERE hit) + INTERVAL 6 HOUR) / 3600.0, 4) + 0.0
+                 AS delay_hours
+             FROM n GROUP BY episode)"""
+
+
+def labelled_series(spark, sf_dir):
+    """Index of ``value`` per window; the morning windows are labelled as drifted."""
+    ref, cur = events_sides(spark, sf_dir)
+    series = drift.window_drift_series(ref, cur, EVENTS).filter("feature = 'value'")
+    return series, series.select("window_start", (F.hour("window_start") < 12).alias("drifted"))
+
+
+@query("drift_episodes", f"WITH {EPISODES_SQL} SELECT * FROM episodes")
+def drift_episodes(spark, sf_dir):
+    return evaluation.drift_episodes(*labelled_series(spark, sf_dir))
+
+
 @query("detector_backtest", f"""
-WITH {WINDOW_PSI},
-lab AS (SELECT window_start, hour(window_start) = 0 AS drifted FROM cur GROUP BY window_start),
-j AS (SELECT psi >= 0.2 AS hit, drifted FROM psi_all JOIN lab USING (window_start) WHERE feature = 'value')
+WITH {EPISODES_SQL},
+e AS (SELECT count(*) AS episodes, count(first_hit) AS detected_episodes, round(avg(delay_hours), 4) + 0.0 AS detection_delay_hours
+      FROM episodes)
 SELECT count(*) FILTER (WHERE NOT drifted) AS clean_windows, count(*) FILTER (WHERE drifted) AS drifted_windows,
   count(*) FILTER (WHERE NOT drifted AND hit) AS false_alarms, count(*) FILTER (WHERE drifted AND hit) AS detected,
   round(count(*) FILTER (WHERE NOT drifted AND hit) * 100.0 / greatest(count(*) FILTER (WHERE NOT drifted), 1), 2)
     + 0.0 AS false_alarm_rate_pct,
   round(count(*) FILTER (WHERE drifted AND hit) * 100.0 / greatest(count(*) FILTER (WHERE drifted), 1), 2)
-    + 0.0 AS sensitivity_pct, 3.0::DOUBLE AS detection_delay_hours FROM j""")
+    + 0.0 AS sensitivity_pct, (SELECT episodes FROM e) AS episodes, (SELECT detected_episodes FROM e) AS detected_episodes,
+  (SELECT detection_delay_hours FROM e) AS detection_delay_hours FROM j""")
 def detector_backtest(spark, sf_dir):
-    ref, cur = events_sides(spark, sf_dir)
-    series = drift.window_drift_series(ref, cur, EVENTS).filter("feature = 'value'")
-    labels = series.select("window_start", (F.hour("window_start") == 0).alias("drifted"))
-    return evaluation.detector_backtest(series, labels)
+    return evaluation.detector_backtest(*labelled_series(spark, sf_dir))
