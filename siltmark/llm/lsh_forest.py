@@ -105,8 +105,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, te
             found = [np.unique(shingle_hashes(words_of(t), memo, width)) for t in texts]
             yield pd.DataFrame({"node": [digest(v) for v in found], "shingles": [v.view(np.int64) for v in found]})
 
+    # Marked as not deterministic: else Spark puts a filter on its result, and with it the function, below the join that picks the rows.
+    made = sets.asNondeterministic()
     rows = with_ids_of(docs.select(id_col, text_col), wanted, id_col)
-    found = rows.select(F.col(id_col).alias("id"), sets(F.col(text_col)).alias("_s")).select("id", "_s.*")
+    found = rows.select(F.col(id_col).alias("id"), made(F.col(text_col)).alias("_s")).select("id", "_s.*")
     same = wanted.select(F.col("node"), F.col("id"))
     return found.dropDuplicates(["node", "id"]).join(same, (found["node"] == same["node"]) & found["id"].eqNullSafe(same["id"]), "left_semi").select("node", "shingles")
 
