@@ -200,7 +200,8 @@ def page_votes(pages: DataFrame) -> DataFrame:
             best = [best_container(parse(p)) if p else None for p in pages_]
             yield pd.Series([b.path if b else None for b in best], dtype=object)
 
-    return pages.withColumn("_path", vote("html"))
+    # Not deterministic as far as Spark knows: a filter on the path stays above the function instead of calling it again.
+    return pages.withColumn("_path", vote.asNondeterministic()("html"))
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
@@ -229,7 +230,9 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                     continue
                 root = parse(page)
                 on_path = [n for n in containers(root) if n.path == path and n.prose]
-                inner = best_container(root) if not on_path else None
+                inner = best_container(root)
+                if inner and sum(n.prose for n in on_path) * 2 < inner.prose:  # this page's article stands elsewhere
+                    on_path = []
                 out.append(text_of(on_path or ([inner] if inner else [root])))
             yield pd.Series(out, dtype=object)
 
