@@ -24,18 +24,22 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltmark.llm.text import BATCH_ROWS
+
 #: The byte-level pre-tokenizer's pattern and the white space of Unicode.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_WHITE = b"\t\n\x0b\x0c\r "
 RARE = re.compile(
     rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 )
-CACHED = 1 << 19
+#: Bytes of fragments and ids that a worker remembers, counted with some 200 for the objects that hold them.
+CACHED = 128 << 20
 LONG = 256
 
 
@@ -67,7 +71,7 @@ class ByteBpe:
             inside[list(token[:-1]), list(token[1:])] = True
         self.certain = ~inside
         self.cut_pairs = self.certain.tobytes()
-        self.cached, self.cache = cached, {}
+        self.cached, self.cache, self.cache_bytes = cached, {}, 0
         self.pieces = regex.compile(PIECES)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.cut = self._cuts()
@@ -144,9 +148,11 @@ class ByteBpe:
             if ids is None:
                 ids = self._fragment(fragment)
                 if len(fragment) <= 64:
-                    if len(cache) >= self.cached:
+                    if self.cache_bytes >= self.cached:
                         cache.clear()
+                        self.cache_bytes = 0
                     cache[fragment] = ids
+                    self.cache_bytes += 200 + len(fragment) + 8 * len(ids)
             out += ids
 
     def encode(self, text: str) -> list[int]:
@@ -169,29 +175,39 @@ def codec(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encoded(docs: DataFrame, vocabulary: str, text_col: str = "text", ids: bool = True) -> DataFrame:
-    """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` and, if asked for, the token ids and decoded text."""
-    made = {"n_tokens", "ids_sha256", "decoded_sha256", "token_ids", "decoded"}
-    keep = [c for c in docs.columns if c not in made]
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>, decoded string" if ids else "")
+def encoded(docs: DataFrame, vocabulary: str, text_col: str = "text", ids: bool = True, texts: bool = True) -> DataFrame:
+    """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``token_ids`` and the ``decoded`` text.
+
+    Rows are encoded and handed back ``BATCH_ROWS`` at a time, so a worker holds the ids and texts of few documents.
+    """
+    kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "token_ids": "array<int>", "decoded": "string"}
+    keep = [c for c in docs.columns if c not in kinds]
+    fields = [f for f in kinds if (ids or f != "token_ids") and (ids and texts or f != "decoded")]
+    schema = T.StructType([*[docs.schema[c] for c in keep], *T.StructType.fromDDL(", ".join(f"{f} {kinds[f]}" for f in fields)).fields])
+    given = "_text"
+    while given in keep:
+        given += "_"
 
-    @F.pandas_udf(fields)
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
-        for texts in batches:
-            rows = []
-            for text in texts:
-                found = bpe.encode(text or "")
-                back = bpe.decode(found)
-                row = (
-                    len(found),
-                    hashlib.sha256(np.asarray(found, "<u4").tobytes()).hexdigest(),
-                    hashlib.sha256(back.encode()).hexdigest(),
-                )
-                rows.append((*row, np.asarray(found, np.int32), back) if ids else row)
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
-
-    return docs.select(*keep, apply(F.col(text_col)).alias("_bpe")).select(*keep, "_bpe.*")
+        for batch in batches:
+            names = batch.schema.names
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                cells: dict[str, list] = {f: [] for f in fields}
+                for text in part.column(names.index(given)):
+                    found = bpe.encode(text.as_py() or "")
+                    back = bpe.decode(found)
+                    flat = np.asarray(found, "<u4")
+                    row = (len(found), hashlib.sha256(flat.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+                    for f, v in zip(fields, (*row, *([flat.astype(np.int32)] if ids else []), *([back] if ids and texts else []))):
+                        cells[f].append(v)
+                columns = [part.column(names.index(c)) for c in keep]
+                arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+                columns += [pa.array(cells[f], arrow[kinds[f]]) for f in fields]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, *fields])
+
+    return docs.select(*keep, F.col(text_col).alias(given)).mapInArrow(apply, schema)
 
 
 def decoded(frame: DataFrame, vocabulary: str, ids_col: str = "token_ids") -> DataFrame:
