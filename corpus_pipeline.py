@@ -51,7 +51,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with the digests of ids and of the decoded text."""
-    out = encoded(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(VOCABULARY))
+    out = encoded(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(VOCABULARY), texts=False)
     return out.select("doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
