@@ -369,3 +369,18 @@ def baseline_store(spark, sf_dir):
     return back.filter("feature_type = 'numerical'").select(
         "feature", F.posexplode("bin_edges").alias("i", "edge")
     ).withColumn("edge", F.col("edge") + 0.0)
+
+
+@query("late_events", """
+SELECT event_id, event_type, ts AS "timestamp" FROM events
+WHERE ts >= TIMESTAMP '2024-01-12 00:00:00' AND ts < TIMESTAMP '2024-01-14 12:00:00'""")
+def late_events(spark, sf_dir):
+    """Purchases are stored a day after they happen; the zone map finds them all the same."""
+    from siltmark.sources.zones import scan_events
+
+    e = table(spark, sf_dir, "events").withColumn("timestamp", F.col("ts").cast("timestamp"))
+    stored = F.col("timestamp") + F.when(F.col("event_type") == "purchase", F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))
+    path = f"{workspace(spark, 'late')}/log"
+    partitions.write_partitioned(e.withColumn("stored", stored).select("event_id", "event_type", "timestamp", "stored"), path, time_col="stored")
+    out = scan_events(spark, path, "2024-01-12 00:00:00", "2024-01-14 12:00:00", inclusive_end=False)
+    return out.select("event_id", "event_type", "timestamp")

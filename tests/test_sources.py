@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from siltmark.config import CATEGORICAL, Feature
 from siltmark.operators import model
 from siltmark.operators.longform import with_window
-from siltmark.sources import files, ingest, partitions
+from siltmark.sources import artifacts, files, ingest, partitions, zones
 from siltmark.sources.manifest import Manifest
+from siltmark.sources.runs import RunStore
 from siltmark.streaming import jobs
 
 FEATURES = [Feature("annual_income"), Feature("credit_score"), Feature("kind", CATEGORICAL)]
@@ -205,3 +206,63 @@ def test_stream_takes_every_content_once(spark, tmp_path):
     assert drain() == [10, 20, 30, 40]
     numbers = [n for e in Manifest(spark, out).latest()[1] for n in range(e["first"], e["last"] + 1)]
     assert numbers == sorted(set(numbers))  # every batch once
+
+
+def test_late_rows_are_found_and_only_overlapping_files_opened(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    rows = [(1, "2024-01-05 10:30:00"), (2, "2024-01-05 14:00:00"), (3, "not a time"), (4, None)]
+    logs = spark.createDataFrame(rows, "id int, timestamp string")
+    partitions.write_partitioned(logs.coalesce(1), path, "2024-01-05 14:10:00")
+    late = spark.createDataFrame([(5, "2024-01-05 10:59:59")], "id int, timestamp string")
+    partitions.write_partitioned(late.coalesce(1), path, "2024-01-09 03:00:00")
+    window = ("2024-01-05 10:00:00", "2024-01-05 10:59:59")
+    assert [r.id for r in partitions.scan_window(spark, path, *window, columns=["id"]).collect()] == []
+    out = zones.scan_events(spark, path, *window, columns=["id"])
+    assert sorted(r.id for r in out.collect()) == [1, 5]
+    later = zones.scan_events(spark, path, "2024-01-05 12:00:00", "2024-01-06 00:00:00", columns=["id"])
+    assert [r.id for r in later.collect()] == [2] and len(later.inputFiles()) == 1
+    assert zones.update_zone_map(spark, path) == 0 and zones.zone_map(spark, path).count() == 2
+    zones.fold_zone_map(spark, path)
+    assert zones.zone_map(spark, path).count() == 2
+    assert zones.scan_events(spark, path, "2020-01-01 00:00:00", "2020-01-02 00:00:00", columns=["id"]).collect() == []
+
+
+def test_a_repeated_run_replaces_and_a_broken_one_is_not_seen(spark, tmp_path, monkeypatch):
+    store = RunStore(spark, str(tmp_path / "runs"))
+
+    def save(rows, cells):
+        tables = {"runs": spark.createDataFrame(rows, "run_id long, status string"), "metrics": spark.createDataFrame(cells, "run_id long, psi double")}
+        store.commit({name: store.stage(df, name)[0] for name, df in tables.items()})
+
+    def seen():
+        return [sorted(tuple(r) for r in store.read(n).collect()) for n in ("runs", "metrics")]
+
+    save([(1, "STABLE"), (2, "DRIFT")], [(1, 0.1), (2, 0.3), (2, 0.4)])
+    before = seen()
+    save([(1, "STABLE"), (2, "DRIFT")], [(1, 0.1), (2, 0.3), (2, 0.4)])
+    assert seen() == before
+    save([(2, "WARNING")], [(2, 0.2)])
+    after = [[(1, "STABLE"), (2, "WARNING")], [(1, 0.1), (2, 0.2)]]
+    assert seen() == after
+    with monkeypatch.context() as m:
+        m.setattr(RunStore, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            save([(1, "DRIFT")], [(1, 9.0)])
+    assert seen() == after
+    store.fold()
+    assert seen() == after and len(store.manifest.latest()[1]) == 1
+
+
+def test_baseline_versions(spark, tmp_path):
+    path = str(tmp_path / "baseline")
+    bins = spark.createDataFrame([("x", 1.0)], "feature string, mean double")
+    sample = spark.createDataFrame([(1.0,), (2.0,)], "x double")
+    artifacts.save_baseline(bins, sample, path, "v1", "loans")
+    artifacts.save_baseline(bins, sample.limit(1), path, "v2")
+    artifacts.save_baseline(bins.withColumn("mean", F.lit(7.0)), sample, path, "v1", "loans again")
+    found = {r.baseline_id: r for r in artifacts.baseline_versions(spark, path).collect()}
+    assert (found["v1"].dataset, found["v1"].sample_rows, found["v2"].sample_rows) == ("loans again", 2, 1)
+    assert artifacts.load_baseline(spark, path)[0].first().mean == 7.0
+    assert artifacts.load_baseline(spark, path, "v2")[1].count() == 1
+    with pytest.raises(FileNotFoundError):
+        artifacts.load_baseline(spark, path, "v9")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -410,3 +410,20 @@ def test_score_defaults(spark):
     assert got == pytest.approx([0.55, 0.2])
     bare = spark.range(1)
     assert bare.select(model.heuristic_score(bare)).collect()[0][0] == pytest.approx(0.35)
+
+
+def test_episodes_measure_the_delay(spark):
+    start = datetime(2026, 1, 1)
+    at = lambda k: start + timedelta(hours=6 * k)
+    psi = [0.0, 0.1, 0.3, 0.5, 0.0, 0.1, 0.1, 0.0, 0.9, 0.9]
+    drifted = [False, True, True, True, False, True, True, False, True, True]
+    kept = [k for k in range(10) if k != 9]  # the last window has no run: windows 8 and 10 are apart
+    rows = [(at(k), psi[k]) for k in kept] + [(at(10), None)]
+    series = spark.createDataFrame(rows, "window_start timestamp, psi double")
+    labels = spark.createDataFrame([(at(k), drifted[k]) for k in kept] + [(at(10), True)], "window_start timestamp, drifted boolean")
+    out = [(r.onset, r.windows, r.first_hit, r.delay_hours) for r in evaluation.drift_episodes(series, labels).orderBy("episode").collect()]
+    assert out == [(at(1), 3, at(2), 12.0), (at(5), 2, None, None), (at(8), 1, at(8), 6.0), (at(10), 1, None, None)]
+    got = evaluation.detector_backtest(series, labels).first()
+    assert (got.episodes, got.detected_episodes, got.detection_delay_hours) == (4, 2, 9.0)
+    none = evaluation.detector_backtest(series, labels.withColumn("drifted", F.lit(False))).first()
+    assert none.episodes == 0 and none.detection_delay_hours is None
