@@ -631,6 +631,7 @@ def stored_run_query(spark, sf_dir):
 
 @query("stored_report")
 def stored_report(spark, sf_dir):
-    """The rows of ``feature_metrics`` with every statistic, p-value, profile and histogram of every run."""
+    """Every run with the rows of ``feature_metrics``: all statistics, p-values, profiles and histograms."""
     run = event_runs(spark, sf_dir)
-    return reports.report_tables(run.runs, run.metrics, run.violations, run.prediction)[1]
+    runs, metrics = reports.report_tables(run.runs, run.metrics, run.violations, run.prediction)
+    return runs.join(metrics.drop("created_at"), "run_id", "left")
