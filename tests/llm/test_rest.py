@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
-from siltmark.llm import bpe, html_extract, mixing, mtree, quality_rules, sharding, token_counts
+from siltmark.llm import bpe, html_extract, lsh_forest, mixing, mtree, quality_rules, sharding, token_counts
 from tests.compare import difference
 from tests.llm.test_duplicates import brute_components
 
@@ -211,6 +211,26 @@ def test_consensus_extraction(spark):
     assert out[60].text == "" and out[61].text == "plain words only" and out[62].text == "" and out[63].text == "open never closed"
 
 
+def test_an_article_off_the_hosts_path_is_kept(spark):
+    """Most pages of the host have their article in one container; one page has it elsewhere and a teaser there."""
+    story = "A long story told in many sentences, one after another. " * 8
+    usual = [(k, "https://c.example/p", f"<body><div class=main><p>{story}{k}</p></div></body>") for k in range(6)]
+    odd = (9, "https://c.example/p", f"<body><div class=main><p>Teaser line.</p></div><article><p>{story}odd</p></article></body>")
+    out = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame([*usual, odd], "page_id long, url string, html string")).collect()}
+    assert out[9] == f"{story}odd" and all(out[k] == f"{story}{k}" for k in range(6))
+
+
+def test_functions_are_evaluated_once(spark, small_dir):
+    """Spark must not put a filter, and with it the Python function, below what the plan says."""
+    pages = spark.read.parquet(f"{small_dir}/pages.parquet")
+    plan = html_extract.winning_paths(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text")
+    wanted = spark.createDataFrame([(bytearray(b"x"), 1)], "node binary, id long")
+    plan = lsh_forest.shingle_sets(docs, wanted, 4, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.rindex("LeftSemi")
+
+
 def test_articles_of_the_tables(spark, small_dir):
     pages = spark.read.parquet(f"{small_dir}/pages.parquet")
     for r in html_extract.main_text(pages).collect():
