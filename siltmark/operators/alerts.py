@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltmark.config import Rules
 from siltmark.functions.columns import fixed
+from siltmark.operators.cooldown import cooldown_replay  # noqa: F401
 
 ALERT_COLUMNS = (
     "run_id", "feature_name", "alert_type", "severity", "message", "dedup_key",
@@ -111,41 +108,6 @@ def suppress_and_record(
     )
 
 
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by key and time; one key's state is one timestamp."""
-    key, until = None, None
-    for pdf in batches:
-        delivered = []
-        for k, at, hours in zip(pdf["dedup_key"], pdf["candidate_at"], pdf["cooldown_hours"]):
-            if k != key:
-                key, until = k, None
-            send = until is None or until <= at
-            if send:
-                until = at + pd.Timedelta(hours=float(hours))
-            delivered.append(send)
-        yield pdf.assign(delivered=delivered)
-
-
-def cooldown_replay(candidates: DataFrame) -> DataFrame:
-    """Replay a history: deliver, stay silent until the cooldown ends, deliver again.
-
-    Adds ``delivered``. Keys are hash-partitioned and sorted (spilling to disk), and
-    each task streams its rows in Arrow batches, so a long history of one key needs
-    constant memory.
-    """
-    rows = candidates.withColumn("_order", _tie(candidates))
-    ordered = rows.repartition("dedup_key").sortWithinPartitions(
-        "dedup_key", "candidate_at", "_order"
-    ).drop("_order")
-    schema = T.StructType([*ordered.schema.fields, T.StructField("delivered", T.BooleanType())])
-    return ordered.mapInPandas(_replay, schema)
-
-
-def _tie(df: DataFrame) -> Column:
-    names = [c for c in ("position", "run_id", "feature_name") if c in df.columns]
-    return F.struct(*names) if names else F.lit(0)
-
-
 def alert_digest(
     metrics: DataFrame,
     delivered: DataFrame,

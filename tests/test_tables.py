@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -427,3 +428,35 @@ def test_episodes_measure_the_delay(spark):
     assert (got.episodes, got.detected_episodes, got.detection_delay_hours) == (4, 2, 9.0)
     none = evaluation.detector_backtest(series, labels.withColumn("drifted", F.lit(False))).first()
     assert none.episodes == 0 and none.detection_delay_hours is None
+
+
+def walked(rows):
+    """The replay as a walk, row by row: the rule itself."""
+    until, out = {}, []
+    for key, at, hours in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        send = key not in until or until[key] <= at
+        if send:
+            until[key] = at + timedelta(hours=hours)
+        out.append((key, at, hours, send))
+    return out
+
+
+def test_cooldown_replay_equals_a_walk(spark):
+    """One key with most rows, many moments twice, cooldowns of zero, a NULL key."""
+    draw = random.Random(5)
+    begin = datetime(2026, 1, 1)
+    keys = ["hot"] * 30 + ["a", "b", None]
+    rows = [(draw.choice(keys), begin + timedelta(minutes=draw.randrange(4000)), draw.choice([0, 1, 1, 2, 7])) for _ in range(3000)]
+    frame = spark.createDataFrame(rows, "dedup_key string, candidate_at timestamp, cooldown_hours int").repartition(7)
+    got = [tuple(r) for r in alerts.cooldown_replay(frame).collect()]
+    assert sorted(got, key=str) == sorted(walked(rows), key=str)
+
+
+def test_cooldown_replay_odd_rows(spark):
+    at = datetime(2026, 1, 1)
+    schema = "dedup_key string, candidate_at timestamp, cooldown_hours int, delivered string"
+    rows = [("a", None, 3, "x"), ("a", at, None, "x"), ("a", at, 5, "x"), ("a", at, 5, "x"), ("b", at, -1, "x"), ("b", at, -1, "x")]
+    got = alerts.cooldown_replay(spark.createDataFrame(rows, schema)).groupBy("dedup_key").agg(
+        F.count("*").alias("n"), F.count_if("delivered").alias("sent")).collect()
+    assert {r["dedup_key"]: (r["n"], r["sent"]) for r in got} == {"a": (4, 2), "b": (2, 2)}
+    assert alerts.cooldown_replay(spark.createDataFrame([], schema)).count() == 0
