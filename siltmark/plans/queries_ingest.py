@@ -10,7 +10,7 @@ from siltmark.operators import harmonize as H
 from siltmark.operators import validate as V
 from siltmark.operators.longform import to_long_numerical
 from siltmark.plans import twins as S
-from siltmark.plans.datasets import LINEITEM, LINEITEM_NUM
+from siltmark.plans.datasets import EVENTS, EVENTS_SQL, LINEITEM, LINEITEM_NUM, events
 from siltmark.plans.registry import query, table
 from siltmark.sources import files, ingest, partitions
 from siltmark.sources.workspace import workspace
@@ -384,3 +384,54 @@ def late_events(spark, sf_dir):
     partitions.write_partitioned(e.withColumn("stored", stored).select("event_id", "event_type", "timestamp", "stored"), path, time_col="stored")
     out = scan_events(spark, path, "2024-01-12 00:00:00", "2024-01-14 12:00:00", inclusive_end=False)
     return out.select("event_id", "event_type", "timestamp")
+
+
+STATES_SQL = f"""
+{EVENTS_SQL}, span AS (SELECT * FROM ev
+  WHERE "timestamp" >= TIMESTAMP '2024-01-03 00:00:00' AND "timestamp" < TIMESTAMP '2024-01-20 12:00:00')"""
+
+
+def event_states(spark, sf_dir):
+    """States of all events in two batches: purchases come later, and their batch comes twice."""
+    from siltmark.operators.states import StateStore
+
+    store = StateStore(spark, workspace(spark, "states"))
+    rows = events(spark, sf_dir)
+    late = F.col("event_type") == "purchase"
+    store.add("first", rows.filter(~late | late.isNull()), EVENTS)
+    store.add("late", rows.filter(late), EVENTS)
+    store.add("late", rows.filter(late), EVENTS)
+    return store
+
+
+SPAN = ("2024-01-03 00:00:00", "2024-01-20 12:00:00")
+
+
+@query("baseline_states_events", f"""
+WITH {STATES_SQL}, cells AS (
+  SELECT 'value' AS feature, value AS v FROM span UNION ALL SELECT 'k', try_cast(k AS DOUBLE) FROM span)
+SELECT feature, count(v) AS n, count(*) - count(v) AS missing, round(avg(v), 3) + 0.0 AS mean,
+       round(stddev_pop(v), 3) + 0.0 AS std, min(v) AS min, max(v) AS max,
+       TRUE AS quantiles_within_bound, TRUE AS distinct_within_bound
+FROM cells GROUP BY feature""")
+def baseline_states_events(spark, sf_dir):
+    """A baseline from hourly states; its quantiles and distinct counts are held against the rows."""
+    from siltmark.operators.longform import to_long_numerical
+    from siltmark.operators.states import measured_rank_error, rank_error
+
+    merged = event_states(spark, sf_dir).numerical_baseline(*SPAN)
+    at = F.col("timestamp")
+    rows = events(spark, sf_dir).filter((at >= F.lit(SPAN[0]).cast("timestamp")) & (at < F.lit(SPAN[1]).cast("timestamp")))
+    exact = to_long_numerical(rows, EVENTS).groupBy("feature").agg(F.count_distinct("value").alias("distinct_exact"))
+    off = F.abs(F.col("distinct_estimate") - F.col("distinct_exact")) <= 0.07 * F.col("distinct_exact")
+    return merged.join(measured_rank_error(rows, EVENTS, merged), "feature").join(exact, "feature").select(
+        "feature", "n", "missing", *[(F.round(c, 3) + 0.0).alias(c) for c in ("mean", "std")], "min", "max",
+        (F.col("rank_error") <= 2 * rank_error()).alias("quantiles_within_bound"), off.alias("distinct_within_bound"),
+    )
+
+
+@query("category_states_events", f"""
+WITH {STATES_SQL}, seen AS (SELECT event_type AS category, count(*) AS c FROM span WHERE event_type IS NOT NULL GROUP BY ALL)
+SELECT 'event_type' AS feature, category, c AS "count", round(c / sum(c) OVER (), 5) + 0.0 AS share FROM seen""")
+def category_states_events(spark, sf_dir):
+    return event_states(spark, sf_dir).category_shares(*SPAN)
