@@ -33,7 +33,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
-LEFT_OUT = frozenset("nav header footer aside form button dialog menu input option figcaption".split())
+LEFT_OUT = frozenset("nav header footer aside form button dialog menu input option".split())
 CONTAINERS = frozenset("article main section div td body".split())
 #: Words of classes, ids and roles, whole or as parts between - and _.
 BOILERPLATE = frozenset(
@@ -43,16 +43,24 @@ BOILERPLATE = frozenset(
     "shares sidebar sidebars signup skip social sponsor sponsored subscribe tags toc toolbar topbar widget widgets alert contentinfo complementary "
     "copyright outbrain taboola".split()
 )
+#: Of these the ones that articles use too (a meta-analysis, a legal-history): as parts they count only beside other names of furniture.
+DOUBTFUL = frozenset("alert foot legal meta overlay popular replies reply respond search skip tags".split())
+FURNITURE = frozenset(
+    "area article bar block box button container content entry field group header icon info inner item items line link links list message "
+    "outer page panel post posts row section site story title top wrap wrapper".split()
+)
 MAIN = frozenset("article articlebody body content entry main maincontent post postbody story storybody text prose".split())
 SPACES = re.compile(r"\s+")
 NUMBERS = re.compile(r"\d+")
 PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
-    path: str
+    label: str  # tag and classes without numbers
+    digest: int  # of the labels from the root on
+    depth: int
     left_out: bool
     bonus: int
     parent: Node | None
@@ -61,31 +69,92 @@ class Node:
     links: int = 0
 
 
+def path_of(node: Node) -> str:
+    labels = []
+    while node.parent is not None:
+        labels.append(node.label)
+        node = node.parent
+    return "/" + "/".join(reversed(labels))
+
+
+def digest_of(path: str) -> int:
+    """The digest nodes on this path have, in this process."""
+    out = 0
+    for label in path.split("/")[1:]:
+        out = hash((out, label))
+    return out
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(raw)} if raw else {}
 
 
+def boilerplate(names: str) -> bool:
+    """Whether classes, ids and roles name something beside the article."""
+    for name in names.split():
+        parts = {w for w in PARTS.split(name.lower()) if w}
+        hit = parts & BOILERPLATE
+        if name.lower() in BOILERPLATE or hit - DOUBTFUL or (hit and parts <= BOILERPLATE | FURNITURE):
+            return True
+    return False
+
+
 def _open(parent: Node, tag: str, raw: str) -> Node:
     found = _attributes(raw)
     names = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
-    words = {w for w in PARTS.split(names.lower()) if w} | {w.lower() for w in names.split()}
     left_out = (
-        tag in LEFT_OUT or bool(words & BOILERPLATE) or "hidden" in found or found.get("aria-hidden") == "true"
+        tag in LEFT_OUT or boilerplate(names) or "hidden" in found or found.get("aria-hidden") == "true"
         or "display:none" in found.get("style", "").replace(" ", "").lower()
     ) and tag not in ("html", "body", "main", "article")
-    label = tag + "".join(f".{NUMBERS.sub('#', c)}" for c in sorted(found.get("class", "").lower().split()))
+    # A slash parts labels, so none stays inside one.
+    label = (tag + "".join(f".{NUMBERS.sub('#', c)}" for c in sorted(found.get("class", "").lower().split()))).replace("/", "|")
+    words = {w for w in PARTS.split(names.lower()) if w} | {w.lower() for w in names.split()}
     bonus = (2 if tag in ("article", "main") else 1 if words & MAIN else 0) if tag in CONTAINERS else 0
-    return Node(tag, f"{parent.path}/{label}", left_out or parent.left_out, bonus, parent)
+    return Node(tag, label, hash((parent.digest, label)), parent.depth + 1, left_out or parent.left_out, bonus, parent)
 
 
 #: Start tags that end an open element of these kinds.
 ENDS = {"li": ("li",), "p": ("p",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",)}
 BLOCKS_END_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Their end tags close no container.
+SMALL = INLINE | {"p", "li"}
+
+
+class _Open:
+    """The open elements, with the depths of each tag, so that an end tag finds its start without climbing."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("", "", 0, 0, False, 0, None)]
+        self.depths: dict[str, list[int]] = {}
+        self.containers = [0]
+        self.blocks = [0]
+
+    def deepest(self, tag: str) -> int:
+        """Depth of the innermost open element of this tag, 0 for none."""
+        held = self.depths.get(tag)
+        return held[-1] if held else 0
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.depths.setdefault(node.tag, []).append(node.depth)
+        if node.tag in CONTAINERS:
+            self.containers.append(node.depth)
+        if node.tag not in INLINE and node.tag != "p":
+            self.blocks.append(node.depth)
+
+    def close(self, depth: int) -> None:
+        """End the element at this depth and all inside."""
+        while len(self.nodes) > depth:
+            self.depths[self.nodes.pop().tag].pop()
+        for held in (self.containers, self.blocks):
+            while held[-1] >= depth:
+                held.pop()
 
 
 def parse(page: str) -> Node:
     """A tree of the page's elements with texts decoded; scripts, styles, comments and titles are gone."""
-    root = here = Node("", "", False, 0, None)
+    opened = _Open()
+    root = here = opened.nodes[0]
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -98,13 +167,10 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[2]:
-            node = here
-            while node.parent is not None and node.tag != tag:
-                if node.tag in CONTAINERS and tag in INLINE | {"p", "li"}:
-                    break  # an end tag of small elements doesn't close a container
-                node = node.parent
-            if node.tag == tag and node.parent is not None:
-                here = node.parent
+            depth = opened.deepest(tag)
+            if depth and (tag not in SMALL or depth > opened.containers[-1]):
+                opened.close(depth)
+                here = opened.nodes[-1]
             if tag not in INLINE:
                 here.items.append(None)
             continue
@@ -113,18 +179,17 @@ def parse(page: str) -> Node:
                 here.items.append(None)
             continue
         closes = ENDS.get(tag, ()) + (("p",) if tag in BLOCKS_END_P else ())
-        if closes:
-            node = here
-            while node.parent is not None and node.tag not in closes and (node.tag in INLINE or node.tag == "p"):
-                node = node.parent
-            if node.parent is not None and node.tag in closes:
-                here = node.parent
-                here.items.append(None)
+        depth = max(map(opened.deepest, closes), default=0)
+        if depth and depth >= opened.blocks[-1]:
+            opened.close(depth)
+            here = opened.nodes[-1]
+            here.items.append(None)
         child = _open(here, tag, m[4])
         if tag not in INLINE:
             here.items.append(None)
         here.items.append(child)
         if not m[4].rstrip().endswith("/") or tag not in ("path", "use"):
+            opened.push(child)
             here = child
     if at < len(page):
         here.items.append(entities.unescape(page[at:]))
@@ -153,7 +218,7 @@ def containers(root: Node) -> list[Node]:
 
 def score(node: Node, whole: int) -> float:
     """Share of the page's prose outside links, more for a container that is named as main, less for each level of wrapping."""
-    return (node.prose - node.links) / max(whole, 1) + 0.35 * node.bonus + 0.002 * node.path.count("/") - (0.2 if node.tag == "body" else 0)
+    return (node.prose - node.links) / max(whole, 1) + 0.35 * node.bonus + 0.002 * node.depth - (0.2 if node.tag == "body" else 0)
 
 
 def best_container(root: Node) -> Node | None:
@@ -198,7 +263,7 @@ def page_votes(pages: DataFrame) -> DataFrame:
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages_ in batches:
             best = [best_container(parse(p)) if p else None for p in pages_]
-            yield pd.Series([b.path if b else None for b in best], dtype=object)
+            yield pd.Series([path_of(b) if b else None for b in best], dtype=object)
 
     # Not deterministic as far as Spark knows: a filter on the path stays above the function instead of calling it again.
     return pages.withColumn("_path", vote.asNondeterministic()("html"))
@@ -229,7 +294,8 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                     out.append("")
                     continue
                 root = parse(page)
-                on_path = [n for n in containers(root) if n.path == path and n.prose]
+                wanted = digest_of(path) if path else None
+                on_path = [n for n in containers(root) if n.digest == wanted and n.prose]
                 inner = best_container(root)
                 if inner and sum(n.prose for n in on_path) * 2 < inner.prose:  # this page's article stands elsewhere
                     on_path = []

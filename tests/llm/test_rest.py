@@ -6,6 +6,8 @@ import hashlib
 import html
 import random
 import re
+import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -220,6 +222,60 @@ def test_an_article_off_the_hosts_path_is_kept(spark):
     assert out[9] == f"{story}odd" and all(out[k] == f"{story}{k}" for k in range(6))
 
 
+@pytest.mark.parametrize("start, end, text", [
+    ("<div>" * 10_000, "</div>" * 10_000, True),
+    ("<div class='a b'>" * 10_000, "", True),
+    ("<div>" * 3_000 + "<b>" * 3_000, "</span></i></section>" * 20_000, True),
+    ("<i><div>" + "<b>" * 10_000, "</i></p>" * 10_000, True),
+    ("<b>" * 10_000 + "<p>one</p>" * 10_000, "", False),
+    ("<li>" * 10_000, "<td>" * 10_000, False),
+])
+def test_deep_and_broken_pages_take_linear_time(start, end, text):
+    begun = time.perf_counter()
+    tracemalloc.start()
+    best = html_extract.best_container(root := html_extract.parse(f"<body>{start}The article.{end}</body>"))
+    got = html_extract.text_of([best or root])
+    path = html_extract.path_of(best)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "The article." in got and (not text or got == "The article.")
+    assert html_extract.digest_of(path) == best.digest
+    assert time.perf_counter() - begun < 5 and held < 100_000_000  # tracing takes most of the time
+
+
+def test_doubtful_names_in_articles():
+    body = (
+        "<article><p>Start.</p><section class='alert-study response'>The study.</section><div class='meta-analysis'>All trials.</div>"
+        "<figure><figcaption>A caption.</figcaption></figure><div class='entry-meta'>By me</div><div class='alert-box'>Warning</div>"
+        "<div id='tags'>a b</div><div class='legal-notice'>Rights</div><div class='top-ad'>Buy</div><p>End.</p></article>"
+    )
+    root = html_extract.parse(f"<body>{body}</body>")
+    assert html_extract.text_of([html_extract.best_container(root)]) == "Start. The study. All trials. A caption. End."
+
+
+def test_consensus_equals_votes_counted_by_hand(spark, prose):
+    """Hosts of several templates: winners and texts against votes counted in Python."""
+    draw = random.Random(3)
+    shapes = ["<div class='c{k}'>{t}</div>", "<main>{t}</main>", "<section class='x'><div>{t}</div></section><div class='c1'>more</div>"]
+    rows = []
+    for k in range(90):
+        inner = "".join(f"<p>{prose(draw.randint(1, 6))}</p>" for _ in range(3))
+        rows.append((k, f"https://h{k % 4}.example/{k}", f"<body>{draw.choice(shapes).format(k=k % 3, t=inner)}<div>tail {k}</div></body>"))
+    votes = {}
+    for _, url, page_ in rows:
+        best = html_extract.best_container(html_extract.parse(page_))
+        votes.setdefault(url.split("/")[2], Counter())[html_extract.path_of(best)] += 1
+    winner = {h: min(c, key=lambda p: (-c[p], len(p), p)) for h, c in votes.items()}
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.host: r.path for r in html_extract.winning_paths(frame).collect()} == winner
+    got = {r.page_id: r.text for r in html_extract.main_text(frame).collect()}
+    for k, url, page_ in rows:
+        root = html_extract.parse(page_)
+        on_path = [n for n in html_extract.containers(root) if html_extract.path_of(n) == winner[url.split("/")[2]] and n.prose]
+        own = html_extract.best_container(root)
+        assert got[k] == html_extract.text_of(on_path if sum(n.prose for n in on_path) * 2 >= own.prose else [own])
+
+
 def test_functions_are_evaluated_once(spark, small_dir):
     """Spark must not put a filter, and with it the Python function, below what the plan says."""
     pages = spark.read.parquet(f"{small_dir}/pages.parquet")
