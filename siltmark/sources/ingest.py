@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 from typing import Any
 
 from pyspark.ml import PipelineModel
@@ -22,6 +24,26 @@ from siltmark.sources.workspace import workspace
 LEDGER_SCHEMA = "path string, hash string, processed_at timestamp, row_count long"
 
 
+#: What a parameter's name may stand in without being one: literals, quoted names, comments and casts.
+_SQL_PARTS = re.compile(
+    r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|::|:(?P<name>[A-Za-z_]\w*)", re.S
+)
+
+
+def bind_literals(sql: str, args: Mapping[str, str]) -> str:
+    """``sql`` with ``:name`` as a quoted literal for each of ``args``; literals, quoted names and comments stay as they are."""
+    def literal(m: re.Match) -> str:
+        if m["name"] not in args:
+            return m[0]
+        return "'" + args[m["name"]].replace("'", "''") + "'"
+
+    return _SQL_PARTS.sub(literal, sql)
+
+
+def _moment(value: datetime | str) -> datetime:
+    return value if isinstance(value, datetime) else datetime.fromisoformat(str(value))
+
+
 def read_window_query(
     spark: SparkSession,
     sql: str,
@@ -29,26 +51,30 @@ def read_window_query(
     end: datetime | str | None = None,
     jdbc: Mapping[str, str] | None = None,
     hours: int = 6,
+    slices: int = 1,
 ) -> DataFrame:
     """Run ``sql`` with ``:window_start`` and ``:window_end`` bound; default the last 6 hours.
 
-    The query reads temp views or catalogue tables; with ``jdbc`` options it is
-    sent to that database, with the parameters as quoted literals.
+    The query reads temp views or catalogue tables; with ``jdbc`` options it is sent to that database, with the
+    parameters as quoted literals. A database hands a query's rows to one task, so a long window may be cut in ``slices``
+    of equal length, each a query and a task of its own. That holds for queries that select rows of a half-open
+    window; a query that aggregates over its window needs ``slices=1``.
     """
     last = end or datetime.now(timezone.utc)
-    first = start or (last - timedelta(hours=hours) if isinstance(last, datetime) else None)
-    if first is None:
-        first = (datetime.fromisoformat(str(last)) - timedelta(hours=hours)).isoformat(sep=" ")
-    args = {
-        k: v.isoformat(sep=" ") if isinstance(v, datetime) else str(v)
-        for k, v in (("window_start", first), ("window_end", last))
-    }
-    if jdbc is None:
-        return spark.sql(sql, args=args)
-    for name, value in args.items():
-        quoted = value.replace("'", "''")
-        sql = sql.replace(f":{name}", f"'{quoted}'")
-    return spark.read.format("jdbc").options(**jdbc).option("query", sql).load()
+    first = start or _moment(last) - timedelta(hours=hours)
+    bounds = [first, last]
+    if slices > 1:
+        a, b = _moment(first), _moment(last)
+        bounds = [first, *[a + (b - a) * k / slices for k in range(1, slices)], last]
+    texts = [v.isoformat(sep=" ") if isinstance(v, datetime) else str(v) for v in bounds]
+    parts = []
+    for a, b in zip(texts, texts[1:]):
+        args = {"window_start": a, "window_end": b}
+        if jdbc is None:
+            parts.append(spark.sql(sql, args=args))
+        else:
+            parts.append(spark.read.format("jdbc").options(**jdbc).option("query", bind_literals(sql, args)).load())
+    return reduce(DataFrame.unionAll, parts)
 
 
 def list_files(spark: SparkSession, pattern: str, content_hash: bool = True) -> DataFrame:

@@ -266,3 +266,18 @@ def test_baseline_versions(spark, tmp_path):
     assert artifacts.load_baseline(spark, path, "v2")[1].count() == 1
     with pytest.raises(FileNotFoundError):
         artifacts.load_baseline(spark, path, "v9")
+
+
+def test_parameters_are_bound_outside_literals_and_comments():
+    sql = """SELECT ':window_start', "a:window_end", `:window_start`, x::date, ':it''s :window_end' -- :window_start
+/* :window_end */ FROM t WHERE at >= :window_start AND at < :window_end AND y = :other AND z = :window_start_2"""
+    got = ingest.bind_literals(sql, {"window_start": "2026-01-01", "window_end": "o'clock"})
+    assert got == sql.replace("at >= :window_start ", "at >= '2026-01-01' ").replace("at < :window_end ", "at < 'o''clock' ")
+
+
+@pytest.mark.parametrize("slices", [1, 2, 7])
+def test_a_window_in_slices_gives_every_row_once(spark, slices):
+    spark.range(0, 400).selectExpr("id", "TIMESTAMP '2026-10-14 00:00:00' + make_interval(0, 0, 0, 0, 0, id, 0) AS at").createOrReplaceTempView("ticks")
+    sql = "SELECT id FROM ticks WHERE at >= CAST(:window_start AS TIMESTAMP) AND at < CAST(:window_end AS TIMESTAMP)"
+    got = ingest.read_window_query(spark, sql, "2026-10-14 00:10:00", "2026-10-14 06:00:00", slices=slices)
+    assert sorted(r.id for r in got.collect()) == list(range(10, 360))
