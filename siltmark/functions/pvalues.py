@@ -124,14 +124,24 @@ def ks_two_sided(d: float, n: int, m: int, method: str = "auto") -> float:
     return ks_effective(d, n, m)
 
 
+#: Degrees of freedom up to which the finite sum is taken.
+FINITE_DOF = 100_000
+
+
+def wilson_hilferty(x: float, dof: int) -> float:
+    """Chi-square tail by the normal law of the cube root. Measured against the finite sum at 100 000 degrees of freedom: off by
+    at most 1e-7, relatively 1e-6 up to two deviations above the mean and 2.2e-4 at six; less with more degrees."""
+    c = 2 / (9 * dof)
+    return 0.5 * math.erfc(((x / dof) ** (1 / 3) - 1 + c) / math.sqrt(2 * c))
+
+
 def chi2_survival(x: float, dof: int) -> float:
     """P(X >= x) for a chi-square variable with integer degrees of freedom."""
     if dof <= 0 or x <= 0:
         return 1.0
     half = x / 2
-    if dof > 100_000:  # Wilson-Hilferty; relative error far below 1e-6 here
-        c = 2 / (9 * dof)
-        return 0.5 * math.erfc(((x / dof) ** (1 / 3) - 1 + c) / math.sqrt(2 * c))
+    if dof > FINITE_DOF:
+        return wilson_hilferty(x, dof)
     first = 0.0 if dof % 2 == 0 else 0.5
     steps = np.arange(first, dof / 2 - 0.25)
     logs = steps * math.log(half) - half - np.array([math.lgamma(s + 1) for s in steps])

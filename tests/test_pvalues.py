@@ -82,3 +82,17 @@ def test_ks_edges():
     assert P.ks_two_sided(0.5, 0, 10) == 1.0
     assert P.ks_two_sided(1.0, 50, 50) < 1e-20
     assert np.isfinite(P.ks_two_sided(0.3, 20_000, 20))
+
+
+@pytest.mark.parametrize("dof", [99_999, P.FINITE_DOF])
+def test_chi2_approximation_against_the_finite_sum(dof):
+    for z in (-6, -4, -2, -1, 0, 1, 2, 3, 4, 5, 6):
+        x = dof + z * math.sqrt(2 * dof)
+        exact, near = P.chi2_survival(x, dof), P.wilson_hilferty(x, dof)
+        assert abs(near - exact) < 1e-7 and abs(near - exact) < exact * (1e-6 if z <= 2 else 2.5e-4)
+
+
+def test_chi2_is_continuous_where_the_method_changes():
+    for z in (-3, 0, 3):
+        x = P.FINITE_DOF + z * math.sqrt(2 * P.FINITE_DOF)
+        assert P.chi2_survival(x, P.FINITE_DOF) < P.chi2_survival(x, P.FINITE_DOF + 1) < P.chi2_survival(x, P.FINITE_DOF + 2)
