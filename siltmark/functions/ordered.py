@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 
 FANOUT = 4096
 
+# Into how many parts the rows of a group are spread where they meet the group's range.
+PARTS = 64
+
 # log1p(largest double) is 709.78; infinities are placed just outside.
 _LOG_LIMIT = 710.0
 
@@ -57,11 +60,17 @@ def value_ranges(df: DataFrame, group: Sequence[str], value: str = "value") -> D
 
 
 def _with_ranges(
-    df: DataFrame, ranges: DataFrame, group: Sequence[str], bounded: bool
+    df: DataFrame, ranges: DataFrame, group: Sequence[str], bounded: bool, value: str = "value"
 ) -> DataFrame:
     if not group:
         return df.crossJoin(F.broadcast(ranges))  # exactly one row
-    return df.join(F.broadcast(ranges) if bounded else ranges, list(group))
+    if bounded:
+        return df.join(F.broadcast(ranges), list(group))
+    # Joined on the group alone, all rows of a group would meet in one task, and stay there for every later step
+    # that groups by it and its buckets. Each range is repeated, and the rows of a group are spread over the copies.
+    copies = ranges.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    spread = df.withColumn("_part", F.pmod(F.xxhash64(value), F.lit(PARTS)).cast("int"))
+    return spread.join(copies, [*group, "_part"]).drop("_part")
 
 
 def running_totals(
@@ -80,7 +89,7 @@ def running_totals(
     """
     keys, sums = list(keys), list(sums)
     ranges = value_ranges(counts, range_group, value)
-    placed = _with_ranges(counts, ranges, range_group, bounded)
+    placed = _with_ranges(counts, ranges, range_group, bounded, value)
     d1, d2 = _digits(F.col(value), F.col("_low"), F.col("_high"))
     placed = placed.withColumns({"_d1": d1, "_d2": d2}).drop("_low", "_high")
 
@@ -136,7 +145,7 @@ def order_statistics(
     ranges = value_ranges(rows, range_group, value)
     d1, d2 = _digits(F.col(value), F.col("_low"), F.col("_high"))
     rows = (
-        _with_ranges(rows, ranges, range_group, bounded)
+        _with_ranges(rows, ranges, range_group, bounded, value)
         .withColumns({"_d1": d1, "_d2": d2})
         .select(*keys, value, "_d1", "_d2")
     )

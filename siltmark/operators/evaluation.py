@@ -23,18 +23,20 @@ def ranking_metrics(
     keys = list(keys)
     y = F.col(label).cast("long")
     counts = df.filter(nan_to_null(F.col(score).cast("double")).isNotNull() & y.isNotNull()).groupBy(
-        *keys, nan_to_null(F.col(score).cast("double")).alias("value")
+        *keys, (-nan_to_null(F.col(score).cast("double"))).alias("value")
     ).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N_"))
+    # From the highest score down the running totals are the hits and false alarms of each threshold, so no row needs
+    # the totals of its model: P and N_ are sums beside the others.
     cum = running_totals(counts, keys, ["pos", "neg"], range_group=keys)
-    cum = cum.join(totals, keys) if keys else cum.crossJoin(F.broadcast(totals))  # one row
-    below = F.col("cum_neg") - F.col("neg")
-    hits = F.col("P") - (F.col("cum_pos") - F.col("pos"))
-    false = F.col("N_") - below
-    agg = cum.groupBy(*keys, "P", "N_").agg(
-        F.sum(F.col("pos") * (below + F.col("neg") / 2.0)).alias("_u"),
+    hits, false = F.col("cum_pos"), F.col("cum_neg")
+    agg = cum.groupBy(*keys).agg(
+        F.sum("pos").alias("P"), F.sum("neg").alias("N_"),
+        F.sum(F.col("pos") * (false - F.col("neg") / 2.0)).alias("_above"),
         F.sum(F.col("pos") * (hits / (hits + false))).alias("_ap"),
     )
+    if not keys:  # without rows the one group is empty
+        agg = agg.filter("P IS NOT NULL")
+    agg = agg.withColumn("_u", F.col("P").cast("double") * F.col("N_") - F.col("_above"))
     single = (F.col("P") == 0) | (F.col("N_") == 0)
     rows = F.col("P") + F.col("N_")
     # Nested WHENs keep the divisions away from empty classes.

@@ -7,10 +7,13 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from siltmark.config import CATEGORICAL, Feature, Rules
+from siltmark.functions import ordered
 from siltmark.functions.ordered import exact_quantiles, running_totals
 from siltmark.operators import baseline, binning, chi2, drift, ks, profile, psi
+from siltmark.operators.evaluation import ranking_metrics
 from siltmark.operators.longform import to_long_numerical
 from siltmark.plans.drift_run import drift_run
 
@@ -365,3 +368,35 @@ def test_approximate_mode(spark):
     long = to_long_numerical(frame(spark, [float(i) for i in range(101)]), [X])
     row = one(binning.quantile_bin_edges(long, accuracy=10_000))
     assert row["bin_edges"] == [float(i) for i in range(0, 101, 10)]
+
+
+def test_running_totals_of_one_group_are_spread(spark):
+    """One group is no reason for one task: neither where it meets its range nor in the windows behind."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("false", "-1", "16")):
+        spark.conf.set(k, v)
+    try:
+        counts = spark.range(20_000).selectExpr("'m' AS model", "CAST(id % 10000 AS DOUBLE) AS value", "1L AS n").groupBy("model", "value").agg(
+            F.sum("n").alias("n"))
+        cum = running_totals(counts, ["model"], ["n"], range_group=["model"])
+        met = ordered._with_ranges(counts, ordered.value_ranges(counts, ["model"]), ["model"], False)
+        for df in (met, cum):
+            sizes = [r[0] for r in df.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+            assert len(sizes) > 8 and max(sizes) < 2_500 and sum(sizes) == 10_000
+        assert cum.filter("cum_n <> 2 * (value + 1)").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("keys", [["model"], []])
+def test_ranking_metrics_equal_a_plain_count(spark, keys):
+    rows = [("m", int(i * 7 % 11 < 4), (i * 37 % 50) / 10 - 2.0) for i in range(300)]
+    got = ranking_metrics(spark.createDataFrame(rows, "model string, label int, score double"), "score", "label", keys).first()
+    up, down = [s for _, y, s in rows if y], [s for _, y, s in rows if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in up for b in down) / len(up) / len(down)
+    ap = sum(sum(x >= s for x in up) / sum(x >= s for x in up + down) for s in up) / len(up)
+    assert (got["rows"], got["positives"]) == (300, len(up))
+    assert abs(got["roc_auc"] - auc) < 1e-12 and abs(got["pr_auc"] - ap) < 1e-12
+    none = spark.createDataFrame([], "model string, label int, score double")
+    assert ranking_metrics(none, "score", "label", keys).count() == 0
