@@ -376,7 +376,7 @@ def test_running_totals_of_one_group_are_spread(spark):
     for k, v in zip(old, ("false", "-1", "16")):
         spark.conf.set(k, v)
     try:
-        counts = spark.range(20_000).selectExpr("'m' AS model", "CAST(id % 10000 AS DOUBLE) AS value", "1L AS n").groupBy("model", "value").agg(
+        counts = spark.range(20_000).selectExpr("concat('m', id % 1) AS model", "CAST(id % 10000 AS DOUBLE) AS value", "1L AS n").groupBy("model", "value").agg(
             F.sum("n").alias("n"))
         cum = running_totals(counts, ["model"], ["n"], range_group=["model"])
         met = ordered._with_ranges(counts, ordered.value_ranges(counts, ["model"]), ["model"], False)
@@ -400,3 +400,13 @@ def test_ranking_metrics_equal_a_plain_count(spark, keys):
     assert abs(got["roc_auc"] - auc) < 1e-12 and abs(got["pr_auc"] - ap) < 1e-12
     none = spark.createDataFrame([], "model string, label int, score double")
     assert ranking_metrics(none, "score", "label", keys).count() == 0
+
+
+def test_bucket_counts_of_a_group_are_bounded(spark):
+    """Offsets are computed per bucket: their rows must not grow with the distinct values of a group."""
+    counts = spark.range(300_000).selectExpr("concat('m', id % 1) AS model", "ln(id + 1D) AS value", "1L AS n")
+    placed = ordered._with_ranges(counts, ordered.value_ranges(counts, ["model"]), ["model"], False)
+    d1, d2 = ordered._digits(F.col("value"), F.col("_low"), F.col("_high"))
+    assert placed.select(d1, d2).distinct().count() <= 65_536
+    cum = running_totals(counts, ["model"], ["n"], range_group=["model"])
+    assert cum.agg(F.count_if(F.abs(F.col("cum_n") - F.exp("value")) > 0.5)).first()[0] == 0
