@@ -14,7 +14,7 @@ from siltmark.plans.datasets import EVENTS, EVENTS_SIDES_SQL, events_sides, log_
 from siltmark.plans.queries_ingest import HARMONIZED, NOW, ORDER_FEATURES, ORDER_MAPPING
 from siltmark.plans.queries_runs import QUALITY_SQL, REPLAY_SQL, RULES, candidates
 from siltmark.plans.registry import query, table
-from siltmark.sources.workspace import workspace
+from siltmark.sources.workspace import stored, workspace
 from siltmark.streaming import jobs
 
 
@@ -96,7 +96,8 @@ def window_counts(spark, sf_dir):
     base = workspace(spark, "window-drift")
     ref, _ = events_sides(spark, sf_dir)
     long = to_long_numerical(ref, EVENTS)
-    edges = quantile_bin_edges(long)
+    # One row per feature, written once: every micro-batch and the final index would rank the whole reference again.
+    edges = stored(quantile_bin_edges(long), "edges")
     q = jobs.stream_window_counts(
         current_stream(spark, sf_dir), EVENTS, edges, f"{base}/counts", f"{base}/checkpoint",
         trigger="availableNow",

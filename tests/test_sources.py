@@ -306,3 +306,17 @@ def test_repeated_and_renamed_files_have_the_same_bytes(spark, tmp_path, monkeyp
     first, second = seen
     assert len(first) == len(second) == 4 and len(set(first.values())) == 3
     assert sorted(first.values()) == sorted(second.values()) and len(first.keys() - second.keys()) == 1
+
+
+def test_streamed_edges_are_ranked_once(spark, small_dir, monkeypatch):
+    from siltmark.plans import queries_stream
+
+    seen, start = [], jobs.stream_window_counts
+
+    def watched(logs, features, edges, *args, **options):
+        seen.append(edges._jdf.queryExecution().analyzed().toString())
+        return start(logs, features, edges, *args, **options)
+
+    monkeypatch.setattr(queries_stream.jobs, "stream_window_counts", watched)
+    assert queries_stream.window_counts(spark, small_dir)[0].count() > 0
+    assert len(seen) == 1 and "Aggregate" not in seen[0] and "Relation" in seen[0]
