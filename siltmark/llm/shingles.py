@@ -35,7 +35,16 @@ def shingle_hashes(words: list[bytes], memo: WordHashes, width: int) -> np.ndarr
     """Hashes of the shingles in order of place; fewer words than ``width`` are one shingle, none give none."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.array(list(map(memo.__getitem__, words)), np.uint64)
+    return shingles_in_a_row(np.array(list(map(memo.__getitem__, words)), np.uint64), width)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The hashes of ``WordHashes`` without remembering; faster where most words are short."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def shingles_in_a_row(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the shingles of words with hashes ``h``."""
     span = min(width, h.size)
     out = np.full(h.size - span + 1, span, np.uint64)
     for k in range(span):

@@ -179,6 +179,100 @@ def test_links_of_paragraphs_equal_brute_force(spark, monkeypatch, block):
     assert got == want and want
 
 
+def test_texts_of_few_shingles_share_no_band():
+    """The number that fills up sets of one or two shingles is no band: all such texts met in one, every pair of them."""
+    texts = ["w " * 24, "v " * 30, "a b " * 15, None, "c d " * 40]
+    sets = [paragraph_dedup.windows([t])[-1][:, : paragraph_dedup.BANDS] for t in texts]
+    _, _, _, first, at, together = paragraph_dedup.windows(texts)
+    assert (np.concatenate(sets) == together[:, : paragraph_dedup.BANDS]).all() and len(at) and len(first) == 6
+
+
+def test_bands_of_texts_of_few_shingles(spark):
+    docs = spark.createDataFrame([(1, "w " * 24), (2, "v " * 24), (3, "a b " * 15), (4, None)], "uid long, text string")
+    got = {r["uid"]: r["keys"] for r in paragraph_dedup.bands_of(docs, "text").collect()}
+    assert [len(got[k]) for k in (1, 2, 3, 4)] == [1, 1, 2, 0] and not any(-1 in keys for keys in got.values())
+
+
+@pytest.mark.parametrize("chunk", [1 << 15, 1])
+def test_growth_equals_brute_force(spark, monkeypatch, chunk):
+    """In one chunk or many, a cluster far larger than a chunk among them."""
+    monkeypatch.setattr(paragraph_dedup, "CHUNK", chunk)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, draw = spark.conf.get(setting), random.Random(6)
+    found, gone = [], []
+    for k in range(240):
+        root = 1 if k < 150 else draw.randrange(2, 12)
+        sides = [bytearray(b"".join(draw.choice((b"aaaa", b"aaaa", b"aaaa", b"bbbb")) for _ in range(draw.randrange(28)))) for _ in range(2)]
+        doc = draw.choice((None, *range(40)))
+        found.append((1000 if doc is None else doc, doc, k, root, *sides))
+        if draw.random() < 0.7:
+            gone.append((found[-1][0], k, root, *(draw.choice((0, len(s) // 4)) for s in sides)))
+    try:
+        spark.conf.set(setting, "7" if chunk == 1 else before)
+        out = paragraph_dedup.growth(
+            spark.createDataFrame(found, "uid long, doc_id long, at int, class long, left binary, right binary"),
+            spark.createDataFrame(gone, "uid long, at int, root long, l int, r int"),
+            spark.createDataFrame([(k, k) for k in range(1, 12)], "class long, root long"),
+        )
+        got = {(r.uid, r.at): (r.more_l or 0, r.more_r or 0) for r in out.collect()}
+    finally:
+        spark.conf.set(setting, before)
+
+    def common(a, b):
+        return next((k for k in range(min(len(a), len(b)) // 4) if a[4 * k : 4 * k + 4] != b[4 * k : 4 * k + 4]), min(len(a), len(b)) // 4)
+
+    by_place = {(f[0], f[2]): f for f in found}
+    for uid, at, root, l, r in gone:
+        mine = by_place[uid, at]
+        want = [max((common(mine[s], f[s]) for f in found if f[3] == root and f[0] < uid), default=0) for s in (4, 5)]
+        have = got.get((uid, at), (0, 0))
+        assert (not l or have[0] == want[0]) and (not r or have[1] == want[1])
+
+
+@pytest.mark.parametrize("rarity", [512, 2])
+def test_large_bands_are_cut_by_rare_shingles(spark, monkeypatch, rarity):
+    """300 classes with 12 shingles in common and eight of their own, with a copy each that lacks one: only the copies meet."""
+    monkeypatch.setattr(paragraph_dedup, "BLOCK", 64)
+    monkeypatch.setattr(paragraph_dedup, "RARITY", rarity)
+    dealt, plain = {}, paragraph_dedup.written
+
+    def watched(df, label):
+        out = dealt[label] = plain(df, label)
+        return out
+
+    monkeypatch.setattr(paragraph_dedup, "written", watched)
+    draw = np.random.default_rng(4)
+    pool = np.sort(draw.choice(1 << 31, size=12 + 300 * 9, replace=False).astype(np.uint64))
+    rows, want = [], set()
+    for k in range(300):
+        own = pool[12 + 9 * k : 21 + 9 * k]
+        sets = [np.sort(np.concatenate([pool[:12], x])) << np.uint64(32) for x in (own[:8], np.append(own[:7], own[8]))]
+        a, b = paragraph_dedup.class_of(np.array(sets)).tolist()
+        want.add((min(a, b), max(a, b)))
+        for c, s in zip((a, b), sets):
+            rows.append((c, *s[: paragraph_dedup.BANDS].view(np.int64).tolist(), bytearray((s >> np.uint64(32)).astype(np.uint32).tobytes())))
+    frame = spark.createDataFrame(rows, "class long, b0 long, b1 long, b2 long, shingles binary")
+    assert {(r.a, r.b) for r in paragraph_dedup.links_of(frame, 80).collect()} == want
+    if rarity == 512:
+        assert dealt["rare-bands"].groupBy("band").count().agg({"count": "max"}).first()[0] <= 4
+
+
+def test_few_links_connect_what_all_links_do(spark, prose):
+    """Also in a batch that holds several groups; before, a group gave all its pairs."""
+    draw = np.random.default_rng(5)
+    a, b = draw.integers(0, 300, (2, 200)) - 150
+    few = paragraph_dedup.forest(a, b)
+    assert few[0].size < np.unique(np.concatenate([a, b])).size
+    joined = [dict(components(spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "a long, b long")).collect()) for x, y in ((a, b), few)]
+    assert {k: v for k, v in joined[0].items() if k in joined[1]} == joined[1] and all(k == v for k, v in joined[0].items() if k not in joined[1])
+    pool = np.sort(draw.choice(1 << 31, size=30, replace=False).astype(np.uint64)) << np.uint64(32)
+    sets = np.array([np.append(pool[:19], pool[19 + k]) for k in range(11)])
+    classes = paragraph_dedup.class_of(sets).tolist()
+    rows = [(c, *s[: paragraph_dedup.BANDS].view(np.int64).tolist(), bytearray((s >> np.uint64(32)).astype(np.uint32).tobytes())) for c, s in zip(classes, sets)]
+    frame = spark.createDataFrame(rows, "class long, b0 long, b1 long, b2 long, shingles binary")
+    assert paragraph_dedup.links_of(frame, 80).count() == 55 and paragraph_dedup.links_of(frame, 80, every=False).count() == 10
+
+
 def test_paragraphs_cover_whole_words():
     start, end, sets = paragraph_dedup.paragraphs("Größe " * 30 + "ende.\n" + "wort " * 40, WordHashes())
     raw = ("Größe " * 30 + "ende.\n" + "wort " * 40).encode()
