@@ -10,9 +10,8 @@ first by the longest common prefix:
 2. In regions that still hold several components, sorted by the whole label, nodes meet their neighbours of other
    components on both sides: those with the longest common prefix. Verified links join the components.
 3. Regions that still hold several compare the nodes outside the largest component with all nodes of the region, all at the
-   least depth; large regions are dealt in blocks, every two of which meet. Two nodes
-   measured against the same central node are left out if their distances to it differ by more than a link allows: Jaccard
-   distance obeys the triangle inequality.
+   least depth; large regions are dealt in blocks, every two of which meet. A block counts the shingles of all its pairs at once;
+   shingles that only one of its nodes has link nothing, and a node of mostly such ones is left out.
 
 Pairs whose signatures agree far too little for the wanted similarity are dropped before sets are read; all others are verified on
 the full sets, and components of the verified links are the groups.
@@ -29,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +44,10 @@ LEAST_DEPTH = 4
 MARGIN = 0.18
 #: Pairs of nodes in a block of a region; a region of any size is compared wholly.
 REGION_WORK = 1 << 20
+#: Shingles that one side of a block holds, about; a region with more is dealt in more blocks.
+BLOCK_SHINGLES = 1 << 22
+#: Columns of a dense part of a block's product, and pairs of one step of its sparse part.
+DENSE_COLUMNS, SPARSE_PAIRS = 4096, 1 << 22
 #: Most nodes whose ids are broadcast to read their texts; beyond that the texts are joined by shuffle.
 BROADCAST_NODES = 1_000_000
 
@@ -155,21 +159,18 @@ def first_round(members: DataFrame, whole: int) -> DataFrame:
     return members.join(heads, "region").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
 
 
-def anchors_of(sizes: DataFrame) -> DataFrame:
-    """``node, hub, far``: the central node a node was measured against and the distance; a hub is its own."""
-    far = (1 - F.col("shared") / F.col("united")).alias("far")
-    hubs = sizes.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.lit(0.0).alias("far")).distinct()
-    others = sizes.select(F.col("a").alias("node"), F.col("b").alias("hub"), far).join(hubs.select("node"), "node", "left_anti")
-    return hubs.union(others)
-
-
 def mixed_regions(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of regions with several components, with their ``root``, the region's largest component ``main``, its size
-    ``m`` and ``s``, the nodes outside ``main``."""
+    ``m`` and ``s``, the nodes outside ``main``; ``m_shingles`` and ``s_shingles`` are the shingles of those nodes."""
     rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per_root = rows.groupBy("region", "root").agg(F.count("*").alias("n"))
-    summed = per_root.groupBy("region").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("top"))
-    several = summed.select("region", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.n")).alias("s")).filter("s > 0")
+    per_root = rows.groupBy("region", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("z"))
+    summed = per_root.groupBy("region").agg(
+        F.sum("n").alias("m"), F.sum("z").alias("m_shingles"), F.max(F.struct("n", "root", "z")).alias("top")
+    )
+    several = summed.select(
+        "region", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.n")).alias("s"),
+        "m_shingles", (F.col("m_shingles") - F.col("top.z")).alias("s_shingles"),
+    ).filter("s > 0")
     return rows.join(several, "region")
 
 
@@ -188,37 +189,135 @@ def neighbours(members: DataFrame, roots: DataFrame, whole: int) -> DataFrame:
     return pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
 
 
+def shared_counts(owner: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.ndarray, needed: np.ndarray):
+    """``left, right, counts``: the values that nodes ``left`` and ``right`` have in common, one count for each pair.
+
+    ``owner`` has the node of each of ``values`` (distinct within a node). Nodes that share fewer than ``needed`` values with
+    any others are left out. Values that many pairs share are counted by a dense product, the others pair by pair.
+    """
+    order = np.argsort(values, kind="stable")
+    owner, run = owner[order], np.cumsum(np.diff(values[order], prepend=values[order[:1]]) != 0)
+    common = np.bincount(run)[run] > 1
+    owner, run = owner[common], run[common]
+    alive = np.bincount(owner, minlength=needed.size) >= needed
+    left, right = left[alive[left]], right[alive[right]]
+    counts = np.zeros((left.size, right.size))
+    if not counts.size:
+        return left, right, counts
+    at = np.full((2, needed.size), -1)
+    at[0, left], at[1, right] = np.arange(left.size), np.arange(right.size)
+    size = int(run.max(initial=-1)) + 1
+    held = [(at[k, owner[m]], run[m]) for k in (0, 1) for m in [at[k, owner] >= 0]]
+    n_left, n_right = (np.bincount(r, minlength=size) for _, r in held)
+    work = n_left * n_right
+    dense = np.flatnonzero(work * 64 > counts.size)
+    for first in range(0, dense.size, DENSE_COLUMNS):
+        part = dense[first : first + DENSE_COLUMNS]
+        column = np.full(size, -1)
+        column[part] = np.arange(part.size)
+        a, b = (np.zeros((n, part.size), np.float32) for n in counts.shape)
+        for side, (row, r) in zip((a, b), held):
+            here = column[r] >= 0
+            side[row[here], column[r[here]]] = 1
+        counts += a @ b.T
+    work[dense] = 0
+    (row, r), (other, s) = held
+    row, r = row[work[r] > 0], r[work[r] > 0]
+    start = np.searchsorted(s, np.arange(size))
+    ends = np.cumsum(n_right[r])
+    first = 0
+    while first < r.size:
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + SPARSE_PAIRS, "right")))
+        many = n_right[r[first:last]]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[r[first:last]], many)
+        counts += np.bincount(np.repeat(row[first:last], many) * right.size + other[place], minlength=counts.size).reshape(counts.shape)
+        first = last
+    return left, right, counts
+
+
+def block_links(node, root, sketch, sizes, values, is_left, is_right, percent: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the left and the right nodes of a block that are of different components."""
+    _, first, same = np.unique(node, return_index=True, return_inverse=True)
+    left, right = np.unique(same[is_left]), np.unique(same[is_right])
+    starts = np.cumsum(sizes) - sizes
+    kept = np.zeros(node.size, bool)
+    kept[first] = True
+    owner, values = np.repeat(same, sizes), values if kept.all() else values[np.repeat(kept, sizes)]
+    owner = owner if kept.all() else owner[np.repeat(kept, sizes)]
+    root, sketch, sizes, node = root[first], sketch[first], sizes[first], node[first]
+    left, right, shared = shared_counts(owner, values, left, right, -(-sizes * percent // 100))
+    close = shared * (100 + percent) >= (sizes[left][:, None] + sizes[right][None]) * percent
+    a, b = np.nonzero(close & (root[left][:, None] != root[right][None]))
+    a, b = left[a], right[b]
+    differ = (sketch[a] != sketch[b]).sum(1)
+    good = 1 - differ / float(sketch.shape[1]) >= least
+    return node[a[good]], node[b[good]]
+
+
 def later_links(
-    members: DataFrame, roots: DataFrame, anchors: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, least: float, values: int,
+    members: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, least: float, values: int,
 ) -> DataFrame:
     """``a, b``: links between components in regions that hold several.
 
-    Nodes outside a region's largest component meet all its nodes inside the join, in blocks of about ``REGION_WORK`` pairs. It
-    compares distances to the common central node, then sketches, then the full sets; only links leave it.
+    Nodes outside a region's largest component meet all its nodes, in blocks of about ``REGION_WORK`` pairs, each in the memory
+    of a task; only links leave it.
     """
     side = max(1, math.isqrt(REGION_WORK))
-    apart = (F.col("ha") == F.col("hb")) & (F.abs(F.col("fa") - F.col("fb")) > 1 - percent / 100 + 1e-9)
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    close = shared * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent
+    placed = written(mixed_regions(members, roots), "regions")
+
+    def parts(count: str, shingles: str) -> Column:
+        return F.greatest(F.ceil(F.col(count) / side), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
     data = nodes.select("node", "sketch").join(sets, "node")
-    placed = written(mixed_regions(members.join(anchors, "node", "left"), roots), "regions")
-    counts = {"lefts": F.ceil(F.col("s") / side).cast("int"), "rights": F.ceil(F.col("m") / side).cast("int")}
-    here = placed.withColumns(counts).select("region", "node", "root", "hub", "far", "main", "lefts", "rights").join(data, "node")
-    dealt = F.xxhash64("node", "region")
+    here = placed.withColumns({"lefts": parts("s", "s_shingles"), "rights": parts("m", "m_shingles")}).withColumns(
+        {"outside": F.col("root") != F.col("main"), "whole": (F.col("lefts") == 1) & (F.col("rights") == 1), "dealt": F.xxhash64("node", "region")}
+    ).select("region", "node", "root", "lefts", "rights", "outside", "whole", "dealt")
 
     def every(blocks: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
-    left = here.filter("root <> main").withColumn("lb", F.pmod(dealt, F.col("lefts"))).withColumn("rb", every("rights"))
-    right = here.withColumn("rb", F.pmod(dealt, F.col("rights"))).withColumn("lb", every("lefts"))
-    left = left.select("region", "lb", "rb", "node", "root", "hub", "far", "sketch", "shingles").toDF("region", "lb", "rb", "a", "ra", "ha", "fa", "ka", "sa")
-    right = right.select("region", "lb", "rb", "node", "root", "hub", "far", "sketch", "shingles", "main").toDF(
-        "other_region", "other_lb", "other_rb", "b", "r_b", "hb", "fb", "kb", "sb", "main"
-    )
-    block = (F.col("region") == F.col("other_region")) & (F.col("lb") == F.col("other_lb")) & (F.col("rb") == F.col("other_rb"))
-    other = (F.col("ra") != F.col("r_b")) & ((F.col("r_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    met = block & other & ~F.coalesce(apart, F.lit(False))
-    pairs = left.join(right, met & (agreement("ka", "kb", values) >= least) & close)
+    # Nodes of a region of one block are on both sides of it in one row.
+    left = here.filter("outside AND NOT whole").withColumn("lb", F.pmod("dealt", "lefts").cast("int")).withColumn("rb", every("rights"))
+    right = here.withColumn("rb", F.pmod("dealt", "rights").cast("int")).withColumn("lb", every("lefts"))
+    left = left.withColumns({"is_left": F.lit(True), "is_right": F.lit(False)})
+    right = right.withColumns({"is_left": F.col("outside") & F.col("whole"), "is_right": F.lit(True)})
+    columns = ("region", "lb", "rb", "node", "root", "is_left", "is_right")
+    rows = left.select(*columns).unionByName(right.select(*columns)).join(data, "node")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def found() -> pa.RecordBatch:
+            a, b = block_links(*[np.concatenate(x) for x in zip(*held)], percent, least)
+            return pa.RecordBatch.from_pydict({"a": pa.array(a.tolist(), pa.binary()), "b": pa.array(b.tolist(), pa.binary())})
+
+        def digests(column: pa.Array) -> np.ndarray:
+            return np.array(column.to_pylist(), "V16")
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(k).to_numpy() for k in ("region", "lb", "rb")])
+            sizes = batch.column("shingles").value_lengths().to_numpy().astype(np.int64)
+            shingles, ends = batch.column("shingles").flatten().to_numpy(), np.cumsum(sizes)
+            sketch = np.ascontiguousarray(batch.column("sketch").flatten().to_numpy()).view(np.uint8).reshape(-1, values)
+            node, root = digests(batch.column("node")), digests(batch.column("root"))
+            flags = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("is_left", "is_right")]
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                if held and (keys[x] != key).any():
+                    yield found()
+                    held = []
+                key = keys[x]
+                inner = shingles[ends[x] - sizes[x] : ends[y - 1]]
+                held.append((node[x:y], root[x:y], sketch[x:y], sizes[x:y], inner, *[f[x:y] for f in flags]))
+        if held:
+            yield found()
+
+    dealt = rows.repartition("region", "lb", "rb").sortWithinPartitions("region", "lb", "rb")
+    pairs = written(dealt.mapInArrow(links, "a binary, b binary"), "later-links")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -229,13 +328,15 @@ def near_duplicates(
     """``doc_id, n_shingles, component_id, kept, uid`` for every row; ``kept`` where the document names its group."""
     rows = written(signatures(docs, width, id_col, text_col, trees, depth), "signatures")
     nodes = written(
-        rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "nodes"
+        rows.filter("n_shingles > 0").groupBy("node").agg(
+            F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")
+        ), "nodes"
     )
     labelled = nodes.select("node", F.explode(F.array(*[
         F.struct(F.lit(t).alias("tree"), region_key(t, least_depth, depth).alias("region")) for t in range(trees)
     ])).alias("_r")).select("node", "_r.*")
     shared = labelled.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1").select("region")
-    members = written(labelled.join(shared, "region").join(nodes.select("node", "sig"), "node"), "members")
+    members = written(labelled.join(shared, "region").join(nodes.select("node", "sig", "n_shingles"), "node"), "members")
 
     least = percent / 100 - MARGIN
     best = F.max(F.struct("estimate", "b")).alias("top")
@@ -244,15 +345,12 @@ def near_duplicates(
     )
     wanted = written(nodes.select("node", "id").join(members.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = written(shingle_sets(docs, wanted, width, id_col, text_col), "sets")
-    sizes = written(measured(first, sets), "first-sizes")
-    links = linked(sizes, percent)
-    anchors = written(anchors_of(sizes), "anchors")
-    roots = written(components(links), "roots")
+    roots = written(components(verified(first, sets, percent)), "roots")
 
     near = written(estimated(neighbours(members, roots, depth), nodes, least, trees * depth).select("a", "b"), "neighbours")
     roots = written(extended(roots, verified(near, sets, percent)), "roots")
 
-    later = later_links(members, roots, anchors, nodes, sets, percent, least, trees * depth)
+    later = later_links(members, roots, nodes, sets, percent, least, trees * depth)
     roots = written(extended(roots, later), "roots")
 
     placed = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -77,6 +77,23 @@ def test_regions_too_large_for_a_block_lose_no_link(spark, monkeypatch):
     assert got == {i: i // 2 * 2 for i in got} and len(got) == 300
 
 
+@pytest.mark.parametrize("columns, pairs", [(4096, 1 << 22), (3, 5)])
+def test_a_block_counts_all_pairs_at_once(monkeypatch, columns, pairs):
+    """Shared values of every two nodes that can still be linked, by both parts of the product; no pair of sets is read alone."""
+    monkeypatch.setattr(lsh_forest, "DENSE_COLUMNS", columns)
+    monkeypatch.setattr(lsh_forest, "SPARSE_PAIRS", pairs)
+    draw = random.Random(7)
+    common = [draw.getrandbits(63) for _ in range(60)]
+    sets = [set(draw.sample(common, draw.randint(1, 40))) | {draw.getrandbits(63) for _ in range(draw.randint(0, 12))} for _ in range(130)]
+    sizes = np.array([len(s) for s in sets])
+    owner, values = np.repeat(np.arange(130), sizes), np.array([v for s in sets for v in s])
+    needed = -(-sizes * 80 // 100)
+    left, right, counts = lsh_forest.shared_counts(owner, values, np.arange(0, 130, 3), np.arange(130), needed)
+    assert [[len(sets[a] & sets[b]) if a != b else counts[k, j] for j, b in enumerate(right)] for k, a in enumerate(left)] == counts.tolist()
+    others = [set().union(*(sets[b] for b in range(130) if b != a)) for a in range(130)]
+    assert set(right) == {a for a in range(130) if len(sets[a] & others[a]) >= needed[a]} and 0 < right.size < 130
+
+
 def test_forest_on_odd_rows(spark, odd_rows):
     out = lsh_forest.near_duplicates(spark.createDataFrame(odd_rows, SCHEMA), width=4).collect()
     assert len(out) == len(odd_rows)
