@@ -7,7 +7,9 @@ page holds its entries, their distances to the page's routing object (parent dis
 With q the query, p the routing object and x an entry, <q,x> = <q,p> + <q,x-p> <= <q,p> + |q| d(x,p): with the covering
 radius in place of d this bounds a page, with the stored parent distance an entry, without computing its distance. Pages are
 visited by falling bound until the bound is under the k-th best score. A query's own subtree gives the first threshold;
-only then do query blocks meet the other subtrees.
+only then do query blocks meet the other subtrees: blocks and subtrees are dealt into the rows and columns of a grid, a task
+takes a cell, so tasks grow with cells of fixed size and not with pairs of blocks and subtrees. What a query's own subtree has
+beaten, by score and then id, leaves no cell.
 
 Defined cases: vectors that are NULL or hold NULL or non-finite components, and rows without id, take no part; vectors of
 different lengths are compared over zero-padded components, an empty vector scores 0; a row is never a candidate of a query with
@@ -18,6 +20,7 @@ clipped to it; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +34,24 @@ from siltmark.llm.text import unit_hash, written
 ROUTES = 64
 PAGE = 128
 SUBTREE = 16 * PAGE
-GROUPS = 32
-#: Below this bound sums of products are exact in double precision.
-EXACT = float(1 << 52)
+#: Subtrees of a cell of the grid; it has the queries of 16 times as many.
+CELL = 128
+#: Pages that are read together.
+STEP = 64
+#: Below these bounds sums of products are exact in double and in single precision.
+EXACT, EXACT_SINGLE = float(1 << 52), float(1 << 24)
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 VECTOR = "id long, vec binary"
 TREE = "subtree long, ids binary, vecs binary, width int, starts binary, centers binary, parent binary, radius binary"
-BLOCK = "block long, query_ids binary, queries binary, width int, best_ids binary, best_scores binary"
+BLOCK = "block long, query_ids binary, queries binary, width int, floors binary, floor_ids binary, best_ids binary, best_scores binary"
 HITS = "query_id long, query_key long, vec_id long, score long"
 
 
 def pack(rows: np.ndarray) -> bytes:
     """Whole numbers in the narrowest type that holds them, the type's letter in front."""
     top = np.abs(rows).max(initial=0)
-    kind = "h" if top < 1 << 15 else "i" if top < 1 << 31 else "d"
+    kind = "b" if top < 1 << 7 else "h" if top < 1 << 15 else "i" if top < 1 << 31 else "d"
     return kind.encode() + np.ascontiguousarray(rows, dtype=kind).tobytes()
 
 
@@ -150,53 +157,99 @@ def build(vectors: DataFrame, most_routes: int = ROUTES, page: int = PAGE, subtr
     return dealt.repartitionByRange(parts, "route", "far", "id").sortWithinPartitions("route", "far", "id", "vec").mapInPandas(pages, TREE)
 
 
-class Subtree:
-    def __init__(self, row):
-        self.width = int(row.width)
-        self.ids = np.frombuffer(row.ids, np.int64)
-        self.x = unpack(row.vecs, self.width) if self.width else np.zeros((self.ids.size, 0))
-        self.starts = np.frombuffer(row.starts, np.int64).tolist()
-        self.centers = unpack(row.centers, self.width) if self.width else np.zeros((len(self.starts), 0))
-        self.parent = np.frombuffer(row.parent, np.float64)
-        self.radius = np.frombuffer(row.radius, np.float64)
-
-
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores.astype(np.float64), ~scores))[:k]
-    return scores[order], ids[order]
-
-
-def search(tree: Subtree, queries: np.ndarray, own: np.ndarray, floors: np.ndarray, k: int):
-    """Per query the k best ``(scores, ids)`` of the subtree that reach its floor; entries of the query's own id are left out."""
-    width = max(tree.width, queries.shape[1])
-    q, x = widened(queries, width), widened(tree.x, width)
-    length = np.sqrt((q**2).sum(1))
-    near = q @ widened(tree.centers, width).T
-    slack = 1e-9 * (np.abs(near) + length[:, None] * tree.radius) + 1e-6
-    bound = near + length[:, None] * tree.radius + slack
-    ends = [*tree.starts[1:], tree.ids.size]
-    floors = floors.astype(np.float64)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
-    for p in np.argsort(-bound.max(0), kind="stable"):
-        live = np.flatnonzero(bound[:, p] >= floors)
-        if not live.size:
-            continue
-        a, b = tree.starts[p], ends[p]
-        reach = near[live, p][:, None] + length[live][:, None] * tree.parent[a:b] + slack[live, p][:, None]
-        entries = np.flatnonzero((reach >= floors[live][:, None]).any(0))
-        if not entries.size:
-            continue
-        ids = tree.ids[a:b][entries]
-        scores = inner(q[live], x[a:b][entries])
-        for row, j in enumerate(live):
-            s = scores[row]
-            good = (s >= floors[j]) & (ids != own[j])
-            if good.any():
-                s, i = best_of(np.concatenate([found[j][0], s[good]]), np.concatenate([found[j][1], ids[good]]), k)
-                found[j] = (s, i)
-                if s.size == k:
-                    floors[j] = max(floors[j], float(s[-1]))
-    return found
+class Pages:
+    """The pages of some subtrees side by side, padded to one width."""
+
+    def __init__(self, rows: list):
+        self.width = width = max((int(r.width) for r in rows), default=0)
+        exact = np.float32 if all(r.vecs[:1] in (b"b", b"h") for r in rows) else np.float64
+        ids = [np.frombuffer(r.ids, np.int64) for r in rows]
+        starts = [np.frombuffer(r.starts, np.int64) for r in rows]
+        sizes = np.array([i.size for i in ids], np.int64)
+        self.x, self.centers = np.zeros((sizes.sum(), width), exact), np.zeros((sum(s.size for s in starts), width))
+        at = page = 0
+        for r, i, s in zip(rows, ids, starts):
+            if r.width:
+                self.x[at : at + i.size, : r.width] = unpack(r.vecs, int(r.width))
+                self.centers[page : page + s.size, : r.width] = unpack(r.centers, int(r.width))
+            at, page = at + i.size, page + s.size
+        self.ids = np.concatenate(ids)
+        self.starts = np.concatenate([s + k for s, k in zip(starts, np.cumsum(sizes) - sizes)])
+        self.ends = np.append(self.starts[1:], self.ids.size)
+        self.parent = np.concatenate([np.frombuffer(r.parent, np.float64) for r in rows])
+        self.radius = np.concatenate([np.frombuffer(r.radius, np.float64) for r in rows])
+        self.subtree = np.repeat([int(r.subtree) for r in rows], [s.size for s in starts])
+        self.top = np.abs(self.x).max(initial=0)
+
+    def scores(self, q: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Exact inner products of queries (as wide as the pages) and entries: whole numbers, of any type."""
+        x, most = self.x[entries], float(np.abs(q).max(initial=0)) * float(self.top) * max(self.width, 1)
+        if most < EXACT_SINGLE:
+            return q.astype(np.float32) @ x.astype(np.float32, copy=False).T
+        return q @ x.astype(np.float64, copy=False).T if most < EXACT else inner(q, x.astype(np.float64, copy=False))
+
+    def search(self, queries: np.ndarray, own: np.ndarray, floors: np.ndarray, floor_ids: np.ndarray, k: int, skip: int | None = None):
+        """``scores, ids, found``: per query the k best entries (``found`` of them) that are above its floor, by score and then
+        smaller id; entries of the query's own id and of subtree ``skip`` are left out."""
+        floors, floor_ids = floors.copy(), floor_ids.copy()
+        length = np.sqrt((queries**2).sum(1))
+        q = widened(queries[:, : self.width], self.width)
+        near = q @ self.centers.T
+        slack = 1e-9 * (np.abs(near) + length[:, None] * self.radius) + 1e-6
+        bound = near + length[:, None] * self.radius + slack
+        best_s, best_i = np.full((own.size, k), LOWEST), np.full((own.size, k), -1, np.int64)
+        found = np.zeros(own.size, np.int64)
+        order = np.argsort(-bound.max(0, initial=-np.inf), kind="stable")
+        if skip is not None:
+            order = order[self.subtree[order] != skip]
+        for first in range(0, order.size, STEP):
+            pages = order[first : first + STEP]
+            low = np.where(floors == LOWEST, -np.inf, floors.astype(np.float64))
+            live = bound[:, pages] >= low[:, None]
+            rows, pages = np.flatnonzero(live.any(1)), pages[live.any(0)]
+            if not rows.size:
+                continue
+            short = (low[rows, None] - near[np.ix_(rows, pages)] - slack[np.ix_(rows, pages)]) / np.where(length[rows] > 0, length[rows], 1)[:, None]
+            least = np.where(length[rows, None] > 0, short, -np.inf).min(0)
+            many = self.ends[pages] - self.starts[pages]
+            entries = np.arange(many.sum()) + np.repeat(self.starts[pages] - np.cumsum(many) + many, many)
+            entries = entries[self.parent[entries] >= np.repeat(least, many)]
+            if not entries.size:
+                continue
+            s, ids = self.scores(q[rows], entries), self.ids[entries]
+            reach = low[rows] if s.dtype.kind == "f" else floors[rows]
+            r, c = np.nonzero(s >= reach.astype(s.dtype)[:, None])
+            if r.size > 4 * k * rows.size:
+                s = np.where(ids == own[rows][:, None], LOWEST if s.dtype.kind == "i" else -np.inf, s)
+                kth = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
+                r, c = np.nonzero(s >= np.maximum(kth, reach.astype(s.dtype))[:, None])
+            s, i, r = s[r, c], ids[c], rows[r]
+            other = i != own[r]
+            s, i, r = s[other].astype(np.int64), i[other], r[other]
+            good = (s > floors[r]) | (s == floors[r]) & (i < floor_ids[r])
+            s, i, r = s[good], i[good], r[good]
+            if not r.size:
+                continue
+            new = np.unique(r)
+            old = np.repeat(new, found[new])
+            place = np.arange(old.size) - np.repeat(np.cumsum(found[new]) - found[new], found[new])
+            s, i, r = np.append(s, best_s[old, place]), np.append(i, best_i[old, place]), np.append(r, old)
+            ranked = np.lexsort((i, ~s, r))
+            s, i, r = s[ranked], i[ranked], r[ranked]
+            place = np.arange(r.size) - np.searchsorted(r, r)
+            top = place < k
+            best_s[r[top], place[top]], best_i[r[top], place[top]] = s[top], i[top]
+            found[new] = np.bincount(r[top], minlength=own.size)[new]
+            full = new[found[new] == k]
+            floors[full], floor_ids[full] = best_s[full, -1], best_i[full, -1]
+        return best_s, best_i, found
+
+
+def grid(subtrees: int, tasks: int) -> tuple[int, int]:
+    """Rows (of query blocks) and columns (of subtrees) of the grid: at least about ``tasks / 2`` cells, none too large."""
+    columns = max(-(-subtrees // CELL), min(subtrees, math.isqrt(2 * tasks)))
+    rows = max(-(-subtrees // (16 * CELL)), min(subtrees, -(-tasks // (2 * columns)) if columns else 0))
+    return max(rows, 1), max(columns, 1)
 
 
 def query_key(vector: np.ndarray) -> int:
@@ -213,57 +266,61 @@ def top_inner_products(
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
-                t = Subtree(row)
+                t = Pages([row])
                 asked = np.flatnonzero(t.ids % every == 0)
                 if not asked.size:
                     continue
                 seen = {(int(t.ids[j]), t.x[j].tobytes()): j for j in asked}
                 asked = np.array(sorted(seen.values()))
-                own, q = t.ids[asked], t.x[asked]
-                found = search(t, q, own, np.full(asked.size, -np.inf), k)
-                best_s = np.full((asked.size, k), np.iinfo(np.int64).min)
-                best_i = np.full((asked.size, k), -1, np.int64)
-                for j, (s, i) in enumerate(found):
-                    best_s[j, : s.size], best_i[j, : s.size] = s, i
+                own, q = t.ids[asked], t.x[asked].astype(np.float64)
+                none = np.full(asked.size, LOWEST)
+                best_s, best_i, found = t.search(q, own, none, np.full(asked.size, HIGHEST), k)
+                full = found == k
+                floors, floor_ids = np.where(full, best_s[:, -1], LOWEST), np.where(full, best_i[:, -1], HIGHEST)
                 yield pd.DataFrame({
                     "block": [row.subtree], "query_ids": [own.tobytes()], "queries": [pack(q)], "width": [t.width],
+                    "floors": [floors.tobytes()], "floor_ids": [floor_ids.tobytes()],
                     "best_ids": [best_i.tobytes()], "best_scores": [best_s.tobytes()],
                 })
 
-    def hits(own, keys, found) -> pd.DataFrame:
-        sizes = [s.size for s, _ in found]
+    def hits(own, keys, scores, ids, found) -> pd.DataFrame:
+        some = np.arange(k) < found[:, None]
         return pd.DataFrame({
-            "query_id": np.repeat(own, sizes), "query_key": np.repeat(keys, sizes),
-            "vec_id": np.concatenate([i for _, i in found]), "score": np.concatenate([s for s, _ in found]),
+            "query_id": np.repeat(own, found), "query_key": np.repeat(keys, found), "vec_id": ids[some], "score": scores[some],
         })
 
     def opened(row):
         own = np.frombuffer(row.query_ids, np.int64)
-        width = int(row.q_width)
+        width = int(row.width)
         q = unpack(row.queries, width) if width else np.zeros((own.size, 0))
-        scores = np.frombuffer(row.best_scores, np.int64).reshape(own.size, k)
-        ids = np.frombuffer(row.best_ids, np.int64).reshape(own.size, k)
-        return own, q, scores, ids, np.array([query_key(v) for v in q], np.int64)
+        return own, q, np.array([query_key(v) for v in q], np.int64)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
-                own, _, scores, ids, keys = opened(row)
-                some = [np.count_nonzero(s != np.iinfo(np.int64).min) for s in scores]
-                yield hits(own, keys, [(s[:n], i[:n]) for s, i, n in zip(scores, ids, some)])
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples():
-                own, q, scores, _, keys = opened(row)
-                floors = np.where(scores[:, -1] == np.iinfo(np.int64).min, -np.inf, scores[:, -1].astype(np.float64))
-                yield hits(own, keys, search(Subtree(row), q, own, floors, k))
-
-    blocks = written(tree.mapInPandas(home, BLOCK), "query-blocks").withColumnRenamed("width", "q_width")
-    meeting = blocks.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))).join(
-        tree.withColumn("_group", F.pmod(F.xxhash64("subtree"), F.lit(GROUPS)).cast("int")), "_group"
-    ).filter(F.col("block") != F.col("subtree"))
-    found = blocks.mapInPandas(first, HITS).unionByName(meeting.drop("_group").mapInPandas(visit, HITS))
+                own, _, keys = opened(row)
+                scores, ids = (np.frombuffer(x, np.int64).reshape(own.size, k) for x in (row.best_scores, row.best_ids))
+                yield hits(own, keys, scores, ids, (scores != LOWEST).sum(1))
+
+    def visit(queries: pd.DataFrame, subtrees: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "query_key", "vec_id", "score")})]
+        pages = Pages(list(subtrees.itertuples())) if len(subtrees) and len(queries) else None
+        for row in queries.itertuples() if pages else ():
+            own, q, keys = opened(row)
+            floors, floor_ids = (np.frombuffer(x, np.int64) for x in (row.floors, row.floor_ids))
+            out.append(hits(own, keys, *pages.search(q, own, floors, floor_ids, k, row.block)))
+        return pd.concat(out, ignore_index=True)
+
+    blocks = written(tree.mapInPandas(home, BLOCK), "query-blocks")
+    rows, columns = grid(tree.count(), int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(frame: DataFrame, own: str, name: str, most: int, other: str, copies: int):
+        placed = frame.withColumn(own, F.pmod(F.xxhash64(name), F.lit(most)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        return placed.repartition(rows * columns, "_row", "_column").groupBy("_row", "_column")
+
+    asked = dealt(blocks.drop("best_ids", "best_scores"), "_row", "block", rows, "_column", columns)
+    meeting = asked.cogroup(dealt(tree, "_column", "subtree", columns, "_row", rows)).applyInPandas(visit, HITS)
+    found = blocks.mapInPandas(first, HITS).unionByName(meeting)
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

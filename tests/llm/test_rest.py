@@ -9,6 +9,7 @@ import re
 import time
 import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -110,6 +111,42 @@ def test_search_equals_brute_force(spark, options):
     assert mtree.top_inner_products(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("cell, step", [(1, 1), (3, 2)])
+def test_search_in_cells_equals_brute_force(spark, monkeypatch, cell, step):
+    """Where the grid has many cells, and a vector that a third of the rows share."""
+    monkeypatch.setattr(mtree, "CELL", cell)
+    monkeypatch.setattr(mtree, "STEP", step)
+    draw = np.random.default_rng(6)
+    rows = [(int(i), x) for i, x in zip(draw.permutation(600), draw.normal(size=(400, 6)).tolist() + [[0.75] * 6] * 200)]
+    got = defaultdict(list)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in mtree.top_inner_products(frame, page=4, subtree=32, most_routes=5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert dict(got) == brute_top(rows, 20)
+
+
+def test_tasks_of_the_search_grow_with_cells_of_fixed_size():
+    """Not with pairs of query blocks and subtrees; a cell holds a bounded part of either side."""
+    for subtrees, tasks in ((0, 12), (1, 12), (25, 12), (7300, 600), (36_500, 3000)):
+        rows, columns = mtree.grid(subtrees, tasks)
+        assert subtrees <= columns * mtree.CELL and subtrees <= rows * 16 * mtree.CELL
+        assert rows * columns <= max(2 * tasks, 4)
+
+
+def test_a_cell_returns_only_what_beats_the_floor():
+    """Equal scores of larger ids are no hits: copies of a common vector leave their own subtree once."""
+    n = 500
+    row = SimpleNamespace(
+        subtree=7, ids=np.arange(n).tobytes(), vecs=mtree.pack(np.ones((n, 4))), width=4, starts=np.arange(0, n, 100).tobytes(),
+        centers=mtree.pack(np.ones((5, 4))), parent=np.zeros(n).tobytes(), radius=np.zeros(5).tobytes(),
+    )
+    ask = lambda floor, i: mtree.Pages([row]).search(np.ones((1, 4)), np.array([3]), np.array([floor]), np.array([i]), 20)
+    assert ask(4, 0)[2].tolist() == [0]
+    scores, ids, found = ask(4, 6)
+    assert found.tolist() == [5] and ids[0, :5].tolist() == [0, 1, 2, 4, 5] and set(scores[0, :5]) == {4}
+    assert ask(3, 0)[1][0].tolist() == [i for i in range(21) if i != 3]
+
+
 def test_subtrees_have_numbers_of_their_own(spark):
     """Also where ids are one apart and routes 31, and where ids are near the largest long."""
     draw = np.random.default_rng(4)
