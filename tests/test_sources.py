@@ -14,6 +14,7 @@ from siltmark.operators.longform import with_window
 from siltmark.sources import artifacts, files, ingest, partitions, zones
 from siltmark.sources.manifest import Manifest
 from siltmark.sources.runs import RunStore
+from siltmark.sources.workspace import stored
 from siltmark.streaming import jobs
 
 FEATURES = [Feature("annual_income"), Feature("credit_score"), Feature("kind", CATEGORICAL)]
@@ -98,6 +99,27 @@ def test_missing_cells_in_training_and_scoring(spark):
     assert twice.filter("prediction_score IS NULL OR model_version <> 'v2'").count() == 0
 
 
+def test_training_rows_of_one_task_are_shared_by_all(spark, monkeypatch):
+    """Every pass over the training rows reads the stored files, not what they were made from; rows keep their order."""
+    monkeypatch.setattr(model, "PASS_ROWS", 10)
+    seen = []
+    monkeypatch.setattr(model, "stored", lambda *args: seen.append(stored(*args)) or seen[-1])
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    df = spark.range(60, numPartitions=1).selectExpr("100.0D * id AS annual_income", "500.0D + id AS credit_score", "CASE id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS kind", "int(id % 2) AS label", "NULL AS gone")
+    once = df.drop("gone").mapInPandas(counted, df.drop("gone").schema).withColumn("gone", F.lit(None))
+    fitted = model.train_challenger(once, (f for f in [*FEATURES, Feature("gone")]), iterations=3, depth=2)
+    assert made.value == 60 and len(seen) == 1
+    files = seen[0].groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.min("credit_score").alias("a"), F.max("credit_score").alias("b")).collect()
+    assert sorted((r.n, r.b - r.a) for r in files) == [(10, 9.0)] * 6
+    assert model.score_batch(df, fitted, "v1").filter("prediction_score IS NULL").count() == 0
+
+
 def test_unknown_scores_and_incomes(spark):
     df = spark.createDataFrame([(float("nan"),), (None,), (0.7,)], "prediction_score double")
     assert [r[0] for r in df.select(model.training_label(df)).collect()] == [0, 0, 1]
